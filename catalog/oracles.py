@@ -275,21 +275,29 @@ def _missing_kinds() -> str:
     return f"{SURVEY}SELECT resp_id, survey_year, {', '.join(map(kind, columns))} FROM survey"
 
 
-def _logit_2x2() -> str:
-    """Closed form of a logistic fit on one binary predictor."""
+def _two_by_two(w: str = "1") -> str:
+    """Closed form of a logistic fit on one binary predictor, from its 2x2 table."""
     return (
         ANALYTIC
-        + """, cell AS (
-  SELECT CAST(sum(flag_diabetes * flag_obese) AS DOUBLE) AS a,
-         CAST(sum((1 - flag_diabetes) * flag_obese) AS DOUBLE) AS b,
-         CAST(sum(flag_diabetes * (1 - flag_obese)) AS DOUBLE) AS c,
-         CAST(sum((1 - flag_diabetes) * (1 - flag_obese)) AS DOUBLE) AS d
+        + f""", cell AS (
+  SELECT CAST(sum({w} * flag_diabetes * flag_obese) AS DOUBLE) AS a,
+         CAST(sum({w} * (1 - flag_diabetes) * flag_obese) AS DOUBLE) AS b,
+         CAST(sum({w} * flag_diabetes * (1 - flag_obese)) AS DOUBLE) AS c,
+         CAST(sum({w} * (1 - flag_diabetes) * (1 - flag_obese)) AS DOUBLE) AS d
   FROM analytic WHERE flag_diabetes IS NOT NULL AND flag_obese IS NOT NULL),
 est AS (
   SELECT 0 AS position, 'const' AS variable, ln(c / d) AS coefficient,
          sqrt(1 / c + 1 / d) AS se FROM cell
   UNION ALL
   SELECT 1, 'flag_obese', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM cell)
+"""
+    )
+
+
+def _logit_2x2() -> str:
+    return (
+        _two_by_two()
+        + """
 SELECT position, variable, round(coefficient, 4) AS coefficient, round(se, 4) AS se,
   round(exp(coefficient), 4) AS odds_ratio,
   round(exp(coefficient - 1.959963984540054 * se), 4) AS ci_lower,
@@ -347,7 +355,7 @@ def _standardise() -> str:
 
 def _quantiles() -> str:
     probs = (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)
-    at = ", ".join(f"quantile_cont({{c}}, {p}) AS p{100 * p:g}" for p in probs)
+    at = ", ".join(f"round(quantile_cont({{c}}, {p}), 6) AS p{100 * p:g}" for p in probs)
     parts = [
         f"SELECT survey_year, '{c}' AS variable, count({c}) AS known, {at.format(c=c)} "
         f"FROM analytic WHERE {c} IS NOT NULL GROUP BY survey_year"
@@ -520,6 +528,9 @@ SELECT *, diabetes_pct / (SELECT diabetes_pct FROM t WHERE bmi_cat = 'Normal')
     # models
     "q_complete_cases": _complete_cases(),
     "q_logit_2x2": _logit_2x2(),
+    "q_logit_weighted": _two_by_two("_LLCPWT")
+    + "SELECT position, variable, round(coefficient, 4) AS coefficient, round(se, 4) AS se, "
+    "round(exp(coefficient), 4) AS odds_ratio FROM est",
     "q_fit_summary": _fit_summary(),
     "q_hash_split": SURVEY
     + """SELECT resp_id,

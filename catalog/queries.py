@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.survey_view import PUBLISHED, SPEC, survey, table, with_state
 from cohortkit import sinks
+from cohortkit.health_survey import ANY_PA, BMI, CKD, DIABETES, HTN, OBESITY
 from cohortkit.operators import characteristics as C
 from cohortkit.operators import distribution as D
 from cohortkit.operators import evaluate as E
@@ -46,17 +47,6 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(n).alias(n.lower().strip("_")) for n in names))
 
 
-DIABETES = {"diabetes_pct": "flag_diabetes"}
-HTN = {"htn_pct": "flag_htn"}
-CKD = {"ckd_pct": "flag_ckd"}
-CHD = {"chd_pct": "flag_chd"}
-OBESITY = {"obesity_pct": "flag_obese"}
-MENTAL = {"mental_burden_pct": "flag_mental_burden"}
-ANY_PA = {"any_pa_pct": "pa_any"}
-BMI = {"mean_bmi": "bmi"}
-SLEEP = {"mean_sleep_hrs": "sleep_hrs"}
-
-
 # ------------------------------------------------------------------- scans and sinks
 
 
@@ -195,57 +185,18 @@ def analysis_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -------------------------------------------------------------------- summary tables
 
 
-@query
-def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = {
-        "mean_age": "_AGE80",
-        **BMI,
-        **SLEEP,
-        "mean_pa_min_wk": "pa_min_week",
-        "mean_mental_bad_days": "mental_hlth_days",
-    }
-    return rounded(P.prevalence(analytic(spark, sf_dir), means=means), list(means))
-
-
-@query
-def by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.prevalence(survey(spark, sf_dir), ["survey_year"])
-
-
-@query
-def prevalence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {**DIABETES, **HTN, **CKD, **CHD, **OBESITY}
-    return P.prevalence(analytic(spark, sf_dir), flags=flags)
-
+def _summary(name: str) -> Query:
+    spec = next(s for s in SPEC.report.summaries if s.name == name)
 
-@query
-def yearly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {**DIABETES, **HTN, **CKD, **OBESITY, **ANY_PA}
-    trend = P.prevalence(analytic(spark, sf_dir), ["survey_year"], flags, SLEEP)
-    return rounded(trend, list(SLEEP))
-
-
-def _by(key: str, flags: dict[str, str], means: dict[str, str] | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(P.prevalence(analytic(spark, sf_dir), [key], flags, means), list(means or {}))
+        return rounded(P.summary(analytic(spark, sf_dir), spec), list(spec.means))
 
     return run
 
 
-QUERIES["q_by_guideline"] = _by(
-    "meets_pa_guidelines", {**DIABETES, **HTN, **CKD, **OBESITY}, {**BMI, **SLEEP}
-)
-QUERIES["q_by_sleep"] = _by("flag_poor_sleep", {**DIABETES, **HTN, **CKD, **MENTAL})
-QUERIES["q_by_bmi"] = _by("bmi_cat", {**DIABETES, **HTN, **CKD, **ANY_PA})
-QUERIES["q_by_sex"] = _by("sex_label", {**DIABETES, **HTN, **CKD}, BMI)
-QUERIES["q_by_age"] = _by("age_group", {**DIABETES, **HTN, **CKD, **OBESITY, **ANY_PA})
-
-
-@query
-def score_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.prevalence(
-        analytic(spark, sf_dir), ["lifestyle_score"], {**DIABETES, **CKD}, share="share_pct"
-    )
+for _spec in SPEC.report.summaries:
+    QUERIES[f"q_{_spec.name}"] = _summary(_spec.name)
+yearly_trend = QUERIES["q_yearly_trend"]
 
 
 @query
@@ -330,8 +281,11 @@ def weighted_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    respondents = with_state(analytic(spark, sf_dir), spark, sf_dir)
-    return P.prevalence(respondents, ["state"], {**DIABETES, **OBESITY})
+    flags = {**DIABETES, **OBESITY}
+    # Combine per household before the join, so that no household's rows, however
+    # many, travel further than the task that read them.
+    per_household = P.cells(analytic(spark, sf_dir), ["household"], list(flags.values()))
+    return P.rates(with_state(per_household, spark, sf_dir), ["state"], flags)
 
 
 @query
@@ -345,7 +299,8 @@ def state_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = {"sleep_hrs": (1, 24), "pa_min_week": (0, 10000)}
     probs = (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)
-    return D.exact_quantiles(analytic(spark, sf_dir), ranges, probs, ["survey_year"])
+    found = D.exact_quantiles(analytic(spark, sf_dir), ranges, probs, ["survey_year"])
+    return rounded(found, found.columns[3:])
 
 
 @query
@@ -436,6 +391,14 @@ def logit_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fit_summary(df, fit).withColumn("auc", F.lit(fit.auc(df)))
 
 
+@query
+def logit_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = analytic(spark, sf_dir)
+    fit = I.fit_logit(df, "flag_diabetes", ["flag_obese"], weight="_LLCPWT")
+    wald = I.wald_table(df, fit).select("position", "variable", "coefficient", "se", "odds_ratio")
+    return rounded(wald, ("coefficient", "se", "odds_ratio"), 4)
+
+
 @query
 def logit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(

@@ -110,10 +110,10 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.col("ck").alias("household"), *columns)
 
 
-def with_state(respondents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Add ``state``.  No hint: Spark broadcasts the customers only while their
-    measured size allows, and otherwise splits an oversized household at run time."""
+def with_state(households: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add ``state`` by ``household``.  No hint: Spark broadcasts the customers only
+    while their measured size allows."""
     homes = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("household"), F.col("c_nationkey").alias("state")
     )
-    return respondents.join(homes, "household", "left")
+    return households.join(homes, "household", "left")

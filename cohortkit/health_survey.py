@@ -27,6 +27,7 @@ from cohortkit.spec import (
     Rule,
     Score,
     SourceSpec,
+    Summary,
     SurveySpec,
     Table1Row,
 )
@@ -123,6 +124,44 @@ TABLE1 = (
     Table1Row("flag_mental_burden", "Mental health burden ≥14 days (%)", "share"),
 )
 
+DIABETES = {"diabetes_pct": "flag_diabetes"}
+HTN = {"htn_pct": "flag_htn"}
+CKD = {"ckd_pct": "flag_ckd"}
+CHD = {"chd_pct": "flag_chd"}
+OBESITY = {"obesity_pct": "flag_obese"}
+MENTAL = {"mental_burden_pct": "flag_mental_burden"}
+ANY_PA = {"any_pa_pct": "pa_any"}
+BMI = {"mean_bmi": "bmi"}
+SLEEP = {"mean_sleep_hrs": "sleep_hrs"}
+AVERAGES = {
+    "mean_age": "_AGE80",
+    **BMI,
+    **SLEEP,
+    "mean_pa_min_wk": "pa_min_week",
+    "mean_mental_bad_days": "mental_hlth_days",
+}
+
+# The summary tables of the analysis, all taken from one scan (see tabulate.summaries).
+SUMMARIES = (
+    Summary("overview", means=AVERAGES),
+    Summary("by_year", ("survey_year",)),
+    Summary("prevalence_overall", flags={**DIABETES, **HTN, **CKD, **CHD, **OBESITY}),
+    Summary(
+        "yearly_trend", ("survey_year",), {**DIABETES, **HTN, **CKD, **OBESITY, **ANY_PA}, SLEEP
+    ),
+    Summary(
+        "by_guideline",
+        ("meets_pa_guidelines",),
+        {**DIABETES, **HTN, **CKD, **OBESITY},
+        {**BMI, **SLEEP},
+    ),
+    Summary("by_sleep", ("flag_poor_sleep",), {**DIABETES, **HTN, **CKD, **MENTAL}),
+    Summary("by_bmi", ("bmi_cat",), {**DIABETES, **HTN, **CKD, **ANY_PA}),
+    Summary("score_share", ("lifestyle_score",), {**DIABETES, **CKD}, share="share_pct"),
+    Summary("by_sex", ("sex_label",), {**DIABETES, **HTN, **CKD}, BMI),
+    Summary("by_age", ("age_group",), {**DIABETES, **HTN, **CKD, **OBESITY, **ANY_PA}),
+)
+
 # Columns of the exported analytic table.
 EXPORT = (
     "survey_year", "_STATE", "sex_label", "age_group", "bmi_cat", "bmi", "sleep_hrs",
@@ -212,7 +251,7 @@ def default_spec(path: str = "data/{year}", base_year: int = YEARS[0]) -> Survey
                 base_year, Between("flag_healthy_bmi", "bmi", BMI_CUTS[0], BMI_CUTS[1]), None
             )
         ),
-        report=ReportSpec(age="_AGE80", table1=TABLE1),
+        report=ReportSpec(SUMMARIES, TABLE1),
         model=_model("female", base_year),
         state="_STATE",
         weight="_LLCPWT",

@@ -7,7 +7,8 @@ only that matrix and the p coefficients reach the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import erfc, log, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.ml.regression import (
     GeneralizedLinearRegressionModel,
 )
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -27,6 +28,7 @@ from cohortkit.operators.stages import require
 
 VECTOR = "features"
 CONSTANT = "const"
+ROWS, SIZE, RATE = "rows:", "size:", "rate:"
 
 
 class SingularDesignError(ValueError):
@@ -56,25 +58,22 @@ class LogitFit:
     coefficients: tuple[float, ...]  # constant first
     standard_errors: tuple[float, ...]
     p_values: tuple[float, ...]
-    deviance: float
-    null_deviance: float
-
-    @property
-    def log_likelihood(self) -> float:
-        return -self.deviance / 2
+    log_likelihood: float
+    null_log_likelihood: float
 
     @property
     def pseudo_r2(self) -> float:
         """McFadden: one minus the ratio of log-likelihoods."""
-        return 1 - self.deviance / self.null_deviance
+        return 1 - self.log_likelihood / self.null_log_likelihood
+
+    def log_odds(self) -> Column:
+        terms = [F.lit(b) * F.col(c) for b, c in zip(self.coefficients[1:], self.features)]
+        return sum(terms, F.lit(self.coefficients[0]))
 
     def predict(self, df: DataFrame, into: str = "probability") -> DataFrame:
         """``df`` with the fitted probability; null where a feature is missing."""
         require(df, self.features)
-        terms = [F.lit(self.coefficients[0])]
-        terms += [F.lit(b) * F.col(c) for b, c in zip(self.coefficients[1:], self.features)]
-        log_odds = sum(terms[1:], terms[0])
-        return df.withColumn(into, 1 / (1 + F.exp(-log_odds)))
+        return df.withColumn(into, 1 / (1 + F.exp(-self.log_odds())))
 
     def auc(self, df: DataFrame) -> float:
         """Exact area under the ROC curve over the complete cases of ``df``."""
@@ -110,88 +109,97 @@ def fit_logit(
 ) -> LogitFit:
     """Maximum-likelihood logistic regression with a constant and no penalty.
 
-    ``collapse=True`` first counts equal rows and fits the counts: the same estimates
-    from one row per covariate pattern.  Use it when the features take few values.
+    ``collapse=True`` first combines rows with equal features into one row holding
+    their share of yes-answers and their number: the same estimates from one row per
+    covariate pattern.  Use it when the features take few values.
 
     With ``weight`` the point estimates are the weighted ones; the standard errors
     treat weights as frequencies and are not design-based.
     """
     features = tuple(features)
     cases = complete_cases(df, outcome, features, weight)
-    frequency = weight
+    size = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     if collapse:
-        times = F.count(F.lit(1)) if weight is None else F.sum(weight)
-        cases = cases.groupBy(outcome, *features).agg(
-            times.cast("double").alias("frequency"), F.count(F.lit(1)).alias("rows")
+        cases = cases.groupBy(*features).agg(
+            F.count(F.lit(1)).alias(ROWS),
+            F.sum(size).alias(SIZE),
+            F.try_divide(F.sum(size * F.col(outcome)), F.sum(size)).alias(RATE),
         )
-        frequency = "frequency"
-    assembled = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(cases)
-    # Every Newton step reads the cases again; a lost block is recomputed from the scan.
-    assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        rate = F.col(outcome).cast("double")
+        cases = cases.select(
+            *features, F.lit(1).alias(ROWS), size.alias(SIZE), rate.alias(RATE)
+        )
+    # Every Newton step reads the cases again.  Plain columns compress in the cache,
+    # vectors would not; a lost block is recomputed from the scan.
+    cases = cases.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        size = F.sum("rows") if collapse else F.count(F.lit(1))
-        extents = [f(c) for c in (outcome, *features) for f in (F.min, F.max)]
-        n, *ends = assembled.agg(size, *extents).head()
-        if (ends[0], ends[1]) != (0, 1):
+        assembled = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(cases)
+        yes = F.sum(F.col(SIZE) * F.col(RATE))
+        extents = [f(c) for c in features for f in (F.min, F.max)]
+        n, total, yes, largest, *ends = cases.agg(
+            F.sum(ROWS), F.sum(SIZE), yes, F.max(SIZE), *extents
+        ).head()
+        if not n or not 0 < yes < total:
             raise ValueError(f"{n or 0} complete cases; {outcome} must take the values 0 and 1")
-        constant = [c for c, lo, hi in zip(features, ends[2::2], ends[3::2]) if lo == hi]
+        constant = [c for c, lo, hi in zip(features, ends[::2], ends[1::2]) if lo == hi]
         if constant:
             raise SingularDesignError(f"singular design: constant {', '.join(constant)}")
         check_design(assembled, features)
-        estimator = GeneralizedLinearRegression(
-            family="binomial",
-            link="logit",
-            regParam=0.0,
-            maxIter=max_iter,
-            tol=tol,
-            labelCol=outcome,
-            featuresCol=VECTOR,
+        # Newton starts from (size * rate + 1/2) / (size + 1); sizes of at most 1 keep
+        # that start near the middle, where the iteration is safe.
+        scaled = assembled.withColumn(SIZE, F.col(SIZE) / F.lit(largest))
+        model, coefficients, errors = _newton(scaled, max_iter, tol)
+        fit = LogitFit(
+            model=model,
+            outcome=outcome,
+            features=features,
+            n=int(n),
+            iterations=int(model.summary.numIterations),
+            coefficients=coefficients,
+            standard_errors=(errors := tuple(se / sqrt(largest) for se in errors)),
+            p_values=tuple(erfc(abs(b / se) / sqrt(2)) for b, se in zip(coefficients, errors)),
+            log_likelihood=0.0,
+            null_log_likelihood=yes * log(yes / total) + (total - yes) * log(1 - yes / total),
         )
-        if frequency is not None:
-            estimator = estimator.setWeightCol(frequency)
-        return _inference(estimator, assembled, outcome, features, int(n), max_iter)
+        return replace(fit, log_likelihood=_log_likelihood(cases, fit))
     finally:
-        assembled.unpersist()
-
-
-def _inference(
-    estimator: GeneralizedLinearRegression,
-    assembled: DataFrame,
-    outcome: str,
-    features: tuple[str, ...],
-    n: int,
-    max_iter: int,
-) -> LogitFit:
-    model = estimator.fit(assembled)
-    summary = model.summary
-    if summary.numIterations >= max_iter:
+        cases.unpersist()
+
+
+def _newton(
+    cases: DataFrame, max_iter: int, tol: float
+) -> tuple[GeneralizedLinearRegressionModel, tuple[float, ...], tuple[float, ...]]:
+    """The model, its coefficients and standard errors, constant first."""
+    model = GeneralizedLinearRegression(
+        family="binomial",
+        link="logit",
+        regParam=0.0,
+        maxIter=max_iter,
+        tol=tol,
+        labelCol=RATE,
+        weightCol=SIZE,
+        featuresCol=VECTOR,
+    ).fit(cases)
+    if model.summary.numIterations >= max_iter:
         raise NotConvergedError(
             f"no convergence in {max_iter} iterations: a feature may separate the outcome"
         )
     try:
-        errors = list(summary.coefficientStandardErrors)
-        p_values = list(summary.pValues)
-    except Exception as e:  # the JVM side reports a singular normal matrix this way
+        *errors, constant_error = model.summary.coefficientStandardErrors
+    except Exception as e:  # how Spark reports a normal matrix it could not invert
         raise SingularDesignError("singular design: no standard errors") from e
-    coefficients = [*model.coefficients, model.intercept]
-    if not np.isfinite([*errors, *coefficients]).all():
+    coefficients = (float(model.intercept), *(float(b) for b in model.coefficients))
+    errors = (float(constant_error), *(float(se) for se in errors))
+    if not np.isfinite([*coefficients, *errors]).all():
         raise SingularDesignError("singular design: estimates are not finite")
+    return model, coefficients, errors
 
-    def constant_first(values: Sequence[float]) -> tuple[float, ...]:
-        return (float(values[-1]), *(float(v) for v in values[:-1]))
-
-    return LogitFit(
-        model=model,
-        outcome=outcome,
-        features=features,
-        n=n,
-        iterations=int(summary.numIterations),
-        coefficients=constant_first(coefficients),
-        standard_errors=constant_first(errors),
-        p_values=constant_first(p_values),
-        deviance=float(summary.deviance),
-        null_deviance=float(summary.nullDeviance),
-    )
+
+def _log_likelihood(cases: DataFrame, fit: LogitFit) -> float:
+    eta = fit.log_odds()
+    softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+    return cases.agg(F.sum(F.col(SIZE) * (F.col(RATE) * eta - softplus))).head()[0]
 
 
 def wald_table(
@@ -264,7 +272,7 @@ def fit_summary(df: DataFrame, fit: LogitFit) -> DataFrame:
         True,
         fit.iterations,
         fit.log_likelihood,
-        -fit.null_deviance / 2,
+        fit.null_log_likelihood,
         fit.pseudo_r2,
     )
     return df.sparkSession.createDataFrame(

@@ -15,6 +15,18 @@ def _is_code(column: str, codes: Mapping[str, Sequence[float]]) -> Column:
     return F.col(column).isin(*listed) if listed else F.col(column).isNotNull() & F.lit(False)
 
 
+def few_rows(table: DataFrame, at_most: int = 10_000) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``at_most`` rows, else as it is.
+
+    The check fetches one row more than the limit and no further; a small table then
+    goes on as those fetched rows and is not computed again.
+    """
+    head = table.take(at_most + 1)
+    if len(head) > at_most:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(head, table.schema))
+
+
 def availability(
     raw: DataFrame,
     columns: Sequence[str],
@@ -64,8 +76,8 @@ def missing_kinds(
     """Add ``<column>_kind`` per row: ``answered``, ``non_response``, ``blank`` or
     ``not_asked`` (nobody in that row's ``by`` group was asked).
 
-    What each group was asked is one row per group; it joins back to the data, and
-    Spark broadcasts it when its measured size allows.
+    What each group was asked is one row per group, joined back to the data: as a
+    broadcast when the groups are few (counted, see ``few_rows``), else as a shuffle.
     """
     require(raw, [by, *columns])
     group = F.col(by).alias("group:")
@@ -79,5 +91,5 @@ def missing_kinds(
         .otherwise("not_asked")
         for i, c in enumerate(columns)
     }
-    joined = raw.join(asked, F.col(by).eqNullSafe(F.col("`group:`")), "left")
+    joined = raw.join(few_rows(asked), F.col(by).eqNullSafe(F.col("`group:`")), "left")
     return joined.withColumns(kinds).drop("group:", *(f"asked_{i}" for i in range(len(columns))))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import exprs as X
 from cohortkit.operators.stages import require
+from cohortkit.spec import Summary
 
 
 def _sum(column: str) -> str:
@@ -142,6 +143,32 @@ def _ordered(
     return out.orderBy(*by) if by else out
 
 
+def summary(df: DataFrame, spec: Summary, weight: str | None = None, digits: int | None = None):
+    """The table ``spec`` describes, straight from the data."""
+    return prevalence(df, spec.by, spec.flags, spec.means, weight, spec.share, digits)
+
+
+def summary_cells(
+    df: DataFrame, specs: Sequence[Summary], weight: str | None = None
+) -> DataFrame:
+    """The cells all of ``specs`` can be read from: one scan for all tables."""
+    keys = list(dict.fromkeys(k for s in specs for k in s.by))
+    columns = list(dict.fromkeys(c for s in specs for c in _measured(s.flags, s.means)))
+    return cells(df, keys, columns, weight)
+
+
+def summaries(
+    table: DataFrame,
+    specs: Sequence[Summary],
+    weight: str | None = None,
+    digits: int | None = None,
+) -> dict[str, DataFrame]:
+    """Every table of ``specs``, by name, from their ``summary_cells``."""
+    return {
+        s.name: rates(table, s.by, s.flags, s.means, weight, s.share, digits) for s in specs
+    }
+
+
 def prevalence_sets(
     df: DataFrame,
     sets: Sequence[str],

@@ -201,10 +201,23 @@ class Table1Row:
 
 
 @dataclass(frozen=True)
-class ReportSpec:
-    """Columns of the summary tables: output name -> flag or number column."""
+class Summary:
+    """One summary table: per cents of 0/1 ``flags`` and ``means`` per group of ``by``.
+
+    ``flags`` and ``means`` map output names to columns; ``share`` names a column for
+    the group's per cent of all rows.
+    """
+
+    name: str
+    by: tuple[str, ...] = ()
+    flags: Mapping[str, str] = field(default_factory=dict)
+    means: Mapping[str, str] = field(default_factory=dict)
+    share: str | None = None
+
 
-    age: str
+@dataclass(frozen=True)
+class ReportSpec:
+    summaries: tuple[Summary, ...]
     table1: tuple[Table1Row, ...]
     denominator: str = "observed"  # or "stratum"
     digits: int | None = None
@@ -222,6 +235,8 @@ class ModelSpec:
     max_iter: int = 200
     trees: int = 50
     depth: int = 6
+    impute: str | None = None  # None drops rows with a missing forest feature
+    split_key: str | None = None  # None splits with Spark's seeded randomSplit
 
 
 @dataclass(frozen=True)
