@@ -21,10 +21,12 @@ from cohortkit.spec import SurveySpec
 
 YEARS = tuple(range(1995, 2002))
 
-BASE = """
-SELECT o_orderkey AS k, o_custkey AS ck, CAST(year(o_orderdate) AS INT) AS yr,
-       CAST(floor(o_totalprice) AS BIGINT) AS tp
-FROM orders"""
+BASE = (
+    "o_orderkey AS k",
+    "o_custkey AS ck",
+    "CAST(year(o_orderdate) AS INT) AS yr",
+    "CAST(floor(o_totalprice) AS BIGINT) AS tp",
+)
 
 RESPONDENT = {
     "resp_id": "k",
@@ -68,9 +70,7 @@ RESPONDENT = {
 }
 
 SURVEY_CTE = (
-    "b AS ("
-    + BASE
-    + "),\nsurvey AS (\n  SELECT ck AS household,\n"
+    f"b AS (SELECT {', '.join(BASE)} FROM orders),\nsurvey AS (\n  SELECT ck AS household,\n"
     + ",\n".join(f"    {text} AS {name}" for name, text in RESPONDENT.items())
     + "\n  FROM b)"
 )
@@ -100,14 +100,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw respondents, codes and all."""
-    base = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"),
-        F.col("o_custkey").alias("ck"),
-        F.expr("CAST(year(o_orderdate) AS INT)").alias("yr"),
-        F.expr("CAST(floor(o_totalprice) AS BIGINT)").alias("tp"),
+    base = table(spark, sf_dir, "orders").selectExpr(*BASE)
+    return base.selectExpr(
+        "ck AS household", *(f"{text} AS {name}" for name, text in RESPONDENT.items())
     )
-    columns = [F.expr(text).alias(name) for name, text in RESPONDENT.items()]
-    return base.select(F.col("ck").alias("household"), *columns)
 
 
 def with_state(households: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

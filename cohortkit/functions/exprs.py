@@ -42,30 +42,30 @@ def rescaled(
     if zero_codes:
         c = F.when(c.isin(*zero_codes), 0.0).otherwise(c)
     if divisor != 1.0:
-        c = c / F.lit(divisor)
+        c = c / divisor
     return in_range(c, lo, hi)
 
 
 def reverse_scale(c: Column, lo: float, hi: float) -> Column:
-    return F.when(c.between(lo, hi), F.lit(lo + hi) - c)
+    return F.when(c.between(lo, hi), (lo + hi) - c)
 
 
 def compare_flag(c: Column, op: str, cut: float) -> Column:
     """0/1 for ``c <op> cut``, null for null."""
-    return COMPARE[op](c, F.lit(cut)).cast("int")
+    return COMPARE[op](c, cut).cast("int")
 
 
 def between_flag(c: Column, lo: float, hi: float, closed: bool = False) -> Column:
-    upper = c <= F.lit(hi) if closed else c < F.lit(hi)
-    return ((c >= F.lit(lo)) & upper).cast("int")
+    upper = c <= hi if closed else c < hi
+    return ((c >= lo) & upper).cast("int")
 
 
 def recode(c: Column, mapping: Mapping[Any, Any]) -> Column:
     """New value per listed code, null for the rest."""
-    cases = [(c == F.lit(code), F.lit(value)) for code, value in mapping.items()]
-    chain = F.when(*cases[0])
-    for condition, value in cases[1:]:
-        chain = chain.when(condition, value)
+    (code, value), *rest = mapping.items()
+    chain = F.when(c == code, value)
+    for code, value in rest:
+        chain = chain.when(c == code, value)
     return chain
 
 
@@ -80,11 +80,11 @@ def band(
     """Half-open bands: below ``cuts[0]``, ``[cuts[0], cuts[1])``, ..., from ``cuts[-1]`` up."""
     if len(labels) != len(cuts) + 1 or list(cuts) != sorted(cuts):
         raise ValueError("bands need ascending cuts and one label more than cuts")
-    chain = F.when(c < F.lit(cuts[0]), F.lit(labels[0]))
+    chain = F.when(c < cuts[0], labels[0])
     for cut, label in zip(cuts[1:], labels[1:]):
-        chain = chain.when(c < F.lit(cut), F.lit(label))
-    chain = chain.when(c.isNotNull(), F.lit(labels[-1]))
-    return chain if missing is None else chain.otherwise(F.lit(missing))
+        chain = chain.when(c < cut, label)
+    chain = chain.when(c.isNotNull(), labels[-1])
+    return chain if missing is None else chain.otherwise(missing)
 
 
 def outcome_flag(c: Column, yes: Iterable[float]) -> Column:
@@ -111,7 +111,7 @@ def log_positive(c: Column, missing: float | None = None) -> Column:
 
 
 def offset(c: Column, base: float) -> Column:
-    return (c - F.lit(base)).cast("double")
+    return (c - base).cast("double")
 
 
 def stars(p: Column) -> Column:

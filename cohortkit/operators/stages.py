@@ -116,20 +116,20 @@ def derive(df: DataFrame, rules: Sequence[S.Rule], on_missing: str = "error") ->
     """
     if on_missing not in ("error", "skip"):
         raise ValueError("on_missing is 'error' or 'skip'")
+    have = set(df.columns)
     made = {rule.name for rule in rules}
     lacking = [
         c
         for rule in rules
         if not isinstance(rule, S.Outcome)
         for c in inputs(rule)
-        if c not in df.columns and c not in made
+        if c not in have and c not in made
     ]
     if lacking and on_missing == "error":
         raise MissingColumnsError(lacking)
 
     waiting = list(rules)
     while waiting:
-        have = set(df.columns)
         level: dict[str, Column] = {}
         later: list[S.Rule] = []
         for rule in waiting:
@@ -144,6 +144,7 @@ def derive(df: DataFrame, rules: Sequence[S.Rule], on_missing: str = "error") ->
             raise ValueError(f"rules depend on each other: {[r.name for r in later]}")
         if level:
             df = df.withColumns(level)
+            have.update(level)
         waiting = later
     return df
 
