@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.health_survey import COLUMNS, default_spec, published_spec
+from cohortkit.session import tune
 from cohortkit.spec import SurveySpec
 
 YEARS = tuple(range(1995, 2002))
@@ -100,7 +101,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw respondents, codes and all."""
-    base = table(spark, sf_dir, "orders").selectExpr(*BASE)
+    base = table(tune(spark), sf_dir, "orders").selectExpr(*BASE)
     return base.selectExpr(
         "ck AS household", *(f"{text} AS {name}" for name, text in RESPONDENT.items())
     )

@@ -11,11 +11,11 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cohortkit.functions import exprs as X
 from cohortkit.operators.evaluate import accuracy, auc
 from cohortkit.operators.stages import require
+from cohortkit.session import held
 
 RAW, SCALED = "features_raw", "features"
 
@@ -102,8 +102,7 @@ def fit_forest(
     keep = [split_key] if split_key else []
     frame = model_frame(df, outcome, features, required, keep)
     numbers = {c: F.col(c).cast("double") for c in dict.fromkeys([outcome, *features])}
-    frame = frame.withColumns(numbers).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(frame.withColumns(numbers)) as frame:
         if split_key:
             chosen = in_training(split_key, seed, share)
             train, test = frame.filter(chosen), frame.filter(~chosen)
@@ -121,14 +120,9 @@ def fit_forest(
         scored = model.transform(test).select(
             outcome, "prediction", vector_to_array("probability")[1].alias("score")
         )
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with held(scored) as scored:
             area = auc(scored, outcome, "score")
             right = scored.agg(accuracy(outcome, "prediction")).head()[0]
-        finally:
-            scored.unpersist()
-    finally:
-        frame.unpersist()
     return ForestFit(
         model=model,
         features=tuple(features),

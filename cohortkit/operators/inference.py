@@ -20,11 +20,11 @@ from pyspark.ml.regression import (
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cohortkit.functions import exprs as X
 from cohortkit.operators.evaluate import auc
 from cohortkit.operators.stages import require
+from cohortkit.session import held
 
 VECTOR = "features"
 CONSTANT = "const"
@@ -131,10 +131,8 @@ def fit_logit(
             *features, F.lit(1).alias(ROWS), size.alias(SIZE), rate.alias(RATE)
         )
     # Every Newton step reads the cases again.  Plain columns compress in the cache,
-    # vectors would not; a lost block is recomputed from the scan.
-    cases = cases.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        assembled = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(cases)
+    # vectors would not.
+    with held(cases) as cases:
         yes = F.sum(F.col(SIZE) * F.col(RATE))
         extents = [f(c) for c in features for f in (F.min, F.max)]
         n, total, yes, largest, *ends = cases.agg(
@@ -145,11 +143,13 @@ def fit_logit(
         constant = [c for c, lo, hi in zip(features, ends[::2], ends[1::2]) if lo == hi]
         if constant:
             raise SingularDesignError(f"singular design: constant {', '.join(constant)}")
-        check_design(assembled, features)
         # Newton starts from (size * rate + 1/2) / (size + 1); sizes of at most 1 keep
         # that start near the middle, where the iteration is safe.
-        scaled = assembled.withColumn(SIZE, F.col(SIZE) / F.lit(largest))
-        model, coefficients, errors = _newton(scaled, max_iter, tol)
+        sized = cases.withColumn(SIZE, F.col(SIZE) / largest)
+        assembled = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(sized)
+        check_design(assembled, features)
+        model, coefficients, errors = _newton(assembled, max_iter, tol)
+        errors = tuple(se / sqrt(largest) for se in errors)
         fit = LogitFit(
             model=model,
             outcome=outcome,
@@ -157,14 +157,12 @@ def fit_logit(
             n=int(n),
             iterations=int(model.summary.numIterations),
             coefficients=coefficients,
-            standard_errors=(errors := tuple(se / sqrt(largest) for se in errors)),
+            standard_errors=errors,
             p_values=tuple(erfc(abs(b / se) / sqrt(2)) for b, se in zip(coefficients, errors)),
             log_likelihood=0.0,
             null_log_likelihood=yes * log(yes / total) + (total - yes) * log(1 - yes / total),
         )
         return replace(fit, log_likelihood=_log_likelihood(cases, fit))
-    finally:
-        cases.unpersist()
 
 
 def _newton(

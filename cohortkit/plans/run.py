@@ -12,6 +12,7 @@ from cohortkit.operators import forest as R
 from cohortkit.operators import inference as I
 from cohortkit.operators import tabulate as P
 from cohortkit.operators.stages import analytic, present
+from cohortkit.session import tune
 from cohortkit.sources.yearly import load_years
 from cohortkit.spec import SurveySpec
 
@@ -44,7 +45,7 @@ def prepare(spark: SparkSession, spec: SurveySpec) -> DataFrame:
     Every later stage scans that table for the few columns it needs.  The yearly files
     are read once, and a lost executor costs no recomputation of them.
     """
-    df = analytic(load_years(spark, spec.source), spec)
+    df = analytic(load_years(tune(spark), spec.source), spec)
     df = df.select(present(df, needed(spec)))
     path = f"{sinks.shared_folder(spark)}/analytic"
     return sinks.stage(df, path, partition_by=spec.source.year_column)
