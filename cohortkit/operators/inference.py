@@ -7,7 +7,7 @@ only that matrix and the p coefficients reach the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from math import erfc, log, sqrt
 from statistics import NormalDist
 
@@ -17,7 +17,7 @@ from pyspark.ml.regression import (
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
 )
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,30 +127,30 @@ def fit_logit(
         )
     else:
         rate = F.col(outcome).cast("double")
-        cases = cases.select(
-            *features, F.lit(1).alias(ROWS), size.alias(SIZE), rate.alias(RATE)
-        )
-    # Every Newton step reads the cases again.  Plain columns compress in the cache,
-    # vectors would not.
-    with held(cases) as cases:
-        yes = F.sum(F.col(SIZE) * F.col(RATE))
-        extents = [f(c) for c in features for f in (F.min, F.max)]
-        n, total, yes, largest, *ends = cases.agg(
-            F.sum(ROWS), F.sum(SIZE), yes, F.max(SIZE), *extents
+        cases = cases.select(*features, F.lit(1).alias(ROWS), size.alias(SIZE), rate.alias(RATE))
+    vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(cases)
+    # Every Newton step reads the cases again.
+    with held(vectors.select(VECTOR, ROWS, SIZE, RATE)) as cases:
+        n, total, yes, largest, saturated, extent = cases.agg(
+            F.sum(ROWS),
+            F.sum(SIZE),
+            F.sum(F.col(SIZE) * F.col(RATE)),
+            F.max(SIZE),
+            F.sum(F.col(SIZE) * (_x_log_x(F.col(RATE)) + _x_log_x(1 - F.col(RATE)))),
+            Summarizer.metrics("min", "max").summary(F.col(VECTOR)),
         ).head()
         if not n or not 0 < yes < total:
             raise ValueError(f"{n or 0} complete cases; {outcome} must take the values 0 and 1")
-        constant = [c for c, lo, hi in zip(features, ends[::2], ends[1::2]) if lo == hi]
+        constant = [c for c, lo, hi in zip(features, extent.min, extent.max) if lo == hi]
         if constant:
             raise SingularDesignError(f"singular design: constant {', '.join(constant)}")
+        check_design(cases, features)
         # Newton starts from (size * rate + 1/2) / (size + 1); sizes of at most 1 keep
         # that start near the middle, where the iteration is safe.
-        sized = cases.withColumn(SIZE, F.col(SIZE) / largest)
-        assembled = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(sized)
-        check_design(assembled, features)
-        model, coefficients, errors = _newton(assembled, max_iter, tol)
+        scaled = cases.withColumn(SIZE, F.col(SIZE) / largest)
+        model, coefficients, errors = _newton(scaled, max_iter, tol)
         errors = tuple(se / sqrt(largest) for se in errors)
-        fit = LogitFit(
+        return LogitFit(
             model=model,
             outcome=outcome,
             features=features,
@@ -159,10 +159,14 @@ def fit_logit(
             coefficients=coefficients,
             standard_errors=errors,
             p_values=tuple(erfc(abs(b / se) / sqrt(2)) for b, se in zip(coefficients, errors)),
-            log_likelihood=0.0,
+            # The deviance is measured from the saturated model, which is 0 for 0/1 rates.
+            log_likelihood=saturated - largest * model.summary.deviance / 2,
             null_log_likelihood=yes * log(yes / total) + (total - yes) * log(1 - yes / total),
         )
-        return replace(fit, log_likelihood=_log_likelihood(cases, fit))
+
+
+def _x_log_x(p: Column) -> Column:
+    return F.when(p > 0, p * F.log(p)).otherwise(0.0)
 
 
 def _newton(
@@ -194,12 +198,6 @@ def _newton(
     return model, coefficients, errors
 
 
-def _log_likelihood(cases: DataFrame, fit: LogitFit) -> float:
-    eta = fit.log_odds()
-    softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    return cases.agg(F.sum(F.col(SIZE) * (F.col(RATE) * eta - softplus))).head()[0]
-
-
 def wald_table(
     df: DataFrame,
     fit: LogitFit,
