@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.functions import exprs as X
+from cohortkit.sources import xport
 from cohortkit.spec import SourceSpec
 
 log = logging.getLogger(__name__)
@@ -42,14 +43,27 @@ def to_canonical(raw: DataFrame, year: int, spec: SourceSpec) -> DataFrame:
     return raw.select(*columns, F.lit(year).cast("int").alias(spec.year_column))
 
 
-def read_year(spark: SparkSession, year: int, spec: SourceSpec) -> DataFrame | None:
-    """One year's canonical table, or None (with a warning) when its files are absent."""
-    path = spec.path.format(year=year)
+def _read(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame | None:
+    reader = spark.read.format(spec.format).options(**spec.options)
+    if spec.format == xport.XportSource.name():
+        if not xport.exists(path):
+            return None
+        spark.dataSource.register(xport.XportSource)
+        names = [a for c in spec.columns for a in spec.aliases.get(c, (c,))]
+        return reader.option("columns", ",".join(names)).load(path)
     try:
-        raw = spark.read.format(spec.format).options(**spec.options).load(path)
+        return reader.load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+
+
+def read_year(spark: SparkSession, year: int, spec: SourceSpec) -> DataFrame | None:
+    """One year's canonical table, or None (with a warning) when its files are absent."""
+    path = spec.path.format(year=year)
+    raw = _read(spark, path, spec)
+    if raw is None:
         log.warning("no files for %d, skipped: %s", year, path)
         return None
     return to_canonical(raw, year, spec)
