@@ -173,6 +173,21 @@ def _sets() -> str:
     )
 
 
+def _stacked_summaries() -> str:
+    keys = {
+        "by_year": "survey_year", "yearly_trend": "survey_year",
+        "by_guideline": "meets_pa_guidelines", "by_sleep": "flag_poor_sleep",
+        "by_bmi": "bmi_cat", "score_share": "lifestyle_score", "by_sex": "sex_label",
+        "by_age": "age_group",
+    }
+    return ANALYTIC + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS summary, CAST({key} AS VARCHAR) AS level, count(*) AS n, "
+        + ("CAST(NULL AS DOUBLE) AS diabetes_pct" if name == "by_year" else DIABETES)
+        + f" FROM analytic GROUP BY {key}"
+        for name, key in keys.items()
+    )
+
+
 def _table1(
     published: bool = False, weighted: bool = False, sd: bool = False
 ) -> str:
@@ -465,7 +480,12 @@ ORACLES: dict[str, str] = {
     ),
     "q_by_sex": _grouped("sex_label", DIABETES, HTN, CKD, _mean("bmi", "mean_bmi")),
     "q_by_age": _grouped("age_group", DIABETES, HTN, CKD, OBESITY, ANY_PA),
+    "q_summaries_one_scan": _stacked_summaries(),
     "q_prevalence_multi": _sets(),
+    "q_published_overview": f"""{PUB}SELECT count(*) AS n,
+        round(avg(_AGE80), 1) AS mean_age, round(avg(bmi), 1) AS mean_bmi,
+        round(avg(sleep_hrs), 1) AS mean_sleep_hrs, round(avg(pa_min_week), 0) AS mean_pa_min_wk,
+        round(avg(mental_hlth_days), 1) AS mean_mental_bad_days FROM analytic""",
     "q_published_by_age": _grouped(
         "age_group",
         *(

@@ -19,6 +19,7 @@ from cohortkit.operators import inference as I
 from cohortkit.operators import missingness as M
 from cohortkit.operators import stages as G
 from cohortkit.operators import tabulate as P
+from cohortkit.plans.run import describe
 from cohortkit.sources.yearly import load_years
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,6 +200,32 @@ for _spec in SPEC.report.summaries:
 yearly_trend = QUERIES["q_yearly_trend"]
 
 
+@query
+def summaries_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grouped tables of a run, all merged from one scan's cells, stacked."""
+    tables = describe(analytic(spark, sf_dir), SPEC)
+    stacked = []
+    for spec in SPEC.report.summaries:
+        if spec.by:
+            level = F.col(spec.by[0]).cast("string").alias("level")
+            pct = F.col("diabetes_pct") if "diabetes_pct" in spec.flags else F.lit(None)
+            stacked.append(
+                tables[spec.name].select(
+                    F.lit(spec.name).alias("summary"),
+                    level,
+                    "n",
+                    pct.cast("double").alias("diabetes_pct"),
+                )
+            )
+    return reduce(DataFrame.unionByName, stacked)
+
+
+@query
+def published_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = PUBLISHED.report.summaries[0]
+    return P.summary(published(spark, sf_dir), spec, digits=PUBLISHED.report.digits)
+
+
 @query
 def prevalence_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = (

@@ -143,7 +143,7 @@ AVERAGES = {
 
 # The summary tables of the analysis, all taken from one scan (see tabulate.summaries).
 SUMMARIES = (
-    Summary("overview", means=AVERAGES),
+    Summary("overview", means=AVERAGES, digits={"mean_pa_min_wk": 0}),
     Summary("by_year", ("survey_year",)),
     Summary("prevalence_overall", flags={**DIABETES, **HTN, **CKD, **CHD, **OBESITY}),
     Summary(

@@ -28,6 +28,14 @@ def _known(column: str) -> str:
 
 ROWS, WEIGHT = "rows", "weight"
 
+# Decimals for all measures, or per output name; without an entry a value is not rounded.
+Digits = int | Mapping[str, int] | None
+
+
+def _rounded(c: Column, name: str, digits: Digits) -> Column:
+    places = digits.get(name) if isinstance(digits, Mapping) else digits
+    return c if places is None else F.round(c, places)
+
 
 def _parts(columns: Sequence[str], weight: str | None) -> list[Column]:
     parts = [F.count(F.lit(1)).alias(ROWS)]
@@ -56,20 +64,18 @@ def _measured(flags: Mapping[str, str], means: Mapping[str, str]) -> list[str]:
 
 
 def _finish(
-    flags: Mapping[str, str], means: Mapping[str, str], weight: str | None, digits: int | None
+    flags: Mapping[str, str], means: Mapping[str, str], weight: str | None, digits: Digits
 ) -> list[Column]:
-    def rounded(c: Column) -> Column:
-        return c if digits is None else F.round(c, digits)
 
     out = [F.col(ROWS).alias("n")]
     if weight is not None:
         out.append(F.col(WEIGHT).alias("weighted_n"))
     for name, c in flags.items():
         ratio = X.per_cent(F.col(f"`{_sum(c)}`"), F.col(f"`{_known(c)}`"))
-        out.append(rounded(ratio).alias(name))
+        out.append(_rounded(ratio, name, digits).alias(name))
     for name, c in means.items():
         ratio = F.try_divide(F.col(f"`{_sum(c)}`"), F.col(f"`{_known(c)}`"))
-        out.append(rounded(ratio).alias(name))
+        out.append(_rounded(ratio, name, digits).alias(name))
     return out
 
 
@@ -93,7 +99,7 @@ def rates(
     means: Mapping[str, str] | None = None,
     weight: str | None = None,
     share: str | None = None,
-    digits: int | None = None,
+    digits: Digits = None,
 ) -> DataFrame:
     """Merge ``cells`` up to ``by`` and turn the parts into per cents and means."""
     flags, means = flags or {}, means or {}
@@ -108,7 +114,7 @@ def prevalence(
     means: Mapping[str, str] | None = None,
     weight: str | None = None,
     share: str | None = None,
-    digits: int | None = None,
+    digits: Digits = None,
 ) -> DataFrame:
     """Per group of ``by``: row count, per cent of each 0/1 flag, mean of each number.
 
@@ -130,7 +136,7 @@ def _ordered(
     means: Mapping[str, str],
     weight: str | None,
     share: str | None,
-    digits: int | None,
+    digits: Digits,
 ) -> DataFrame:
     columns = [F.col(b) for b in by] + _finish(flags, means, weight, digits)
     if share is not None:
@@ -138,14 +144,17 @@ def _ordered(
         # The window runs over the finished groups, not over rows of data.
         total = F.sum(F.col(size)).over(Window.partitionBy(F.lit(1)))
         part = X.per_cent(F.col(size), total)
-        columns.append((part if digits is None else F.round(part, digits)).alias(share))
+        columns.append(_rounded(part, share, digits).alias(share))
     out = table.select(*columns)
     return out.orderBy(*by) if by else out
 
 
-def summary(df: DataFrame, spec: Summary, weight: str | None = None, digits: int | None = None):
+def summary(
+    df: DataFrame, spec: Summary, weight: str | None = None, digits: int | None = None
+) -> DataFrame:
     """The table ``spec`` describes, straight from the data."""
-    return prevalence(df, spec.by, spec.flags, spec.means, weight, spec.share, digits)
+    rounding = spec.rounding(digits)
+    return prevalence(df, spec.by, spec.flags, spec.means, weight, spec.share, rounding)
 
 
 def summary_cells(
@@ -165,7 +174,8 @@ def summaries(
 ) -> dict[str, DataFrame]:
     """Every table of ``specs``, by name, from their ``summary_cells``."""
     return {
-        s.name: rates(table, s.by, s.flags, s.means, weight, s.share, digits) for s in specs
+        s.name: rates(table, s.by, s.flags, s.means, weight, s.share, s.rounding(digits))
+        for s in specs
     }
 
 
@@ -175,7 +185,7 @@ def prevalence_sets(
     flags: Mapping[str, str] | None = None,
     means: Mapping[str, str] | None = None,
     weight: str | None = None,
-    digits: int | None = None,
+    digits: Digits = None,
 ) -> DataFrame:
     """One table per key in ``sets``, stacked as (dimension, level), in one scan.
 

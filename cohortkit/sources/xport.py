@@ -13,12 +13,13 @@ per task), ``encoding`` of text.  Executors need this package (``--py-files``).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem, FileType
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -50,9 +51,9 @@ class Layout:
 
 
 def _filesystem(path: str) -> tuple[FileSystem, str]:
-    if "://" not in path:
-        path = "file://" + path.removeprefix("file:")
-    return FileSystem.from_uri(path)
+    if "://" in path:
+        return FileSystem.from_uri(path)
+    return LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
 
 
 def exists(path: str) -> bool:

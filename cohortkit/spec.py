@@ -205,7 +205,8 @@ class Summary:
     """One summary table: per cents of 0/1 ``flags`` and ``means`` per group of ``by``.
 
     ``flags`` and ``means`` map output names to columns; ``share`` names a column for
-    the group's per cent of all rows.
+    the group's per cent of all rows.  Where a report rounds, ``digits`` holds the
+    decimals of outputs that differ from the report's.
     """
 
     name: str
@@ -213,6 +214,14 @@ class Summary:
     flags: Mapping[str, str] = field(default_factory=dict)
     means: Mapping[str, str] = field(default_factory=dict)
     share: str | None = None
+    digits: Mapping[str, int] = field(default_factory=dict)
+
+    def rounding(self, digits: int | None) -> dict[str, int]:
+        """Decimals per output column when the report uses ``digits`` (none: no rounding)."""
+        if digits is None:
+            return {}
+        names = [*self.flags, *self.means, *([self.share] if self.share else [])]
+        return {name: self.digits.get(name, digits) for name in names}
 
 
 @dataclass(frozen=True)
