@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 from dataclasses import replace
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalog.queries import QUERIES, yearly_files
 from catalog.survey_view import SPEC
+from cohortkit import sinks
 from cohortkit.plans.run import run
 
 HEADLINE = (
@@ -57,7 +57,7 @@ def whole_analysis(spark: SparkSession, sf_dir: str) -> float:
     files = yearly_files(spark, sf_dir)
     model = replace(SPEC.model, impute="median", split_key="resp_id")
     spec = replace(SPEC.at(files + "/survey_year={year}"), model=model)
-    output = tempfile.mkdtemp(prefix="cohortkit-bench-")
+    output = sinks.shared_folder(spark)
 
     def work() -> None:
         analysis = run(spark, spec, output)
