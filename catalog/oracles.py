@@ -258,6 +258,15 @@ def _table1(
     return (PUB if published else ANALYTIC) + "\nUNION ALL ".join(lines)
 
 
+def _texts(stratum: str) -> str:
+    """A number of Table 1 as text: 1,234 or 27.3 or 12.3% or a dash."""
+    fixed = f"printf('%.1f', round(CAST({stratum} AS DECIMAL(30, 6)), 1))"
+    return (
+        f"COALESCE(CASE kind WHEN 'count' THEN format('{{:,}}', CAST({stratum} AS BIGINT)) "
+        f"WHEN 'mean' THEN {fixed} ELSE {fixed} || '%' END, '—') AS {stratum}"
+    )
+
+
 def _availability() -> str:
     columns = ("SLEPTIM1", "BPHIGH6", "CHCKDNY2", "DIABETE4", "GENHLTH", "PA1MIN_")
     parts = []
@@ -328,6 +337,48 @@ FROM est"""
     )
 
 
+def _logit_newton(
+    with_: str, source: str, outcome: str, one: str, two: str, steps: int = 12
+) -> str:
+    """Newton's method on a constant and two features, one CTE per step."""
+    ctes = [
+        f"""data AS (SELECT CAST(y AS DOUBLE) AS y, x1, x2
+  FROM (SELECT {outcome} AS y, {one} AS x1, {two} AS x2 FROM {source})
+  WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)""",
+        "b0 AS (SELECT 0e0 AS c0, 0e0 AS c1, 0e0 AS c2)",
+    ]
+    for k in range(steps + 1):
+        ctes.append(
+            f"""s{k} AS (SELECT c0, c1, c2, count(*) AS n,
+    sum(y - p) AS g0, sum((y - p) * x1) AS g1, sum((y - p) * x2) AS g2,
+    sum(w) AS h00, sum(w * x1) AS h01, sum(w * x2) AS h02,
+    sum(w * x1 * x1) AS h11, sum(w * x1 * x2) AS h12, sum(w * x2 * x2) AS h22,
+    sum(y * ln(p) + (1 - y) * ln(1 - p)) AS ll
+  FROM (SELECT *, p * (1 - p) AS w FROM (
+    SELECT *, 1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2))) AS p FROM data CROSS JOIN b{k}))
+  GROUP BY c0, c1, c2),
+i{k} AS (SELECT *,
+    (h11 * h22 - h12 * h12) / d AS v00, (h02 * h12 - h01 * h22) / d AS v01,
+    (h01 * h12 - h02 * h11) / d AS v02, (h00 * h22 - h02 * h02) / d AS v11,
+    (h01 * h02 - h00 * h12) / d AS v12, (h00 * h11 - h01 * h01) / d AS v22
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02)
+                  + h02 * (h01 * h12 - h11 * h02) AS d FROM s{k})),
+b{k + 1} AS (SELECT c0 + v00 * g0 + v01 * g1 + v02 * g2 AS c0,
+    c1 + v01 * g0 + v11 * g1 + v12 * g2 AS c1, c2 + v02 * g0 + v12 * g1 + v22 * g2 AS c2
+  FROM i{k})"""
+        )
+    last = f"i{steps}"
+    lines = "\nUNION ALL ".join(
+        f"SELECT {i} AS position, '{name}' AS variable, round(c{i}, 6) AS coefficient, "
+        f"round(sqrt(v{i}{i}), 6) AS se, round(exp(c{i}), 6) AS odds_ratio, "
+        f"round(exp(c{i} - 1.959963984540054 * sqrt(v{i}{i})), 6) AS ci_lower, "
+        f"round(exp(c{i} + 1.959963984540054 * sqrt(v{i}{i})), 6) AS ci_upper, "
+        f"round(c{i} / sqrt(v{i}{i}), 4) AS z, n, round(ll, 4) AS log_likelihood FROM {last}"
+        for i, name in enumerate(("const", one, two))
+    )
+    return with_ + ",\n".join(ctes) + "\n" + lines
+
+
 def _fit_summary() -> str:
     return (
         ANALYTIC
@@ -506,6 +557,9 @@ ORACLES: dict[str, str] = {
     # Table 1
     "q_table1": _table1(),
     "q_table1_published": _table1(published=True),
+    "q_table1_formatted": f"""SELECT variable,
+        {_texts("diabetic")}, {_texts("no_diabetes")}, {_texts("overall")}
+        FROM ({_table1(published=True)})""",
     "q_table1_weighted": _table1(weighted=True),
     "q_table1_sd": _table1(sd=True),
     # weights, states, distributions, change, ratios, missingness
@@ -548,6 +602,17 @@ SELECT *, diabetes_pct / (SELECT diabetes_pct FROM t WHERE bmi_cat = 'Normal')
     # models
     "q_complete_cases": _complete_cases(),
     "q_logit_2x2": _logit_2x2(),
+    "q_logit_two_features": _logit_newton(
+        ANALYTIC + ", ", "analytic", "flag_diabetes", "_AGE80", "bmi"
+    ),
+    "q_logit_documents": _logit_newton(
+        """WITH rated AS (SELECT quality, ln(1 + n_chars) AS log_chars, toxic
+  FROM labels JOIN documents USING (doc_id)), """,
+        "rated",
+        "quality",
+        "log_chars",
+        "toxic",
+    ),
     "q_logit_weighted": _two_by_two("_LLCPWT")
     + "SELECT position, variable, round(coefficient, 4) AS coefficient, round(se, 4) AS se, "
     "round(exp(coefficient), 4) AS odds_ratio FROM est",

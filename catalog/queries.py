@@ -409,7 +409,8 @@ def _fit_full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, I.LogitFit]:
 
 @query
 def logit_wald(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.wald_table(*_fit_full(spark, sf_dir), labels=SPEC.model.labels)
+    wald = I.wald_table(*_fit_full(spark, sf_dir), labels=SPEC.model.labels)
+    return I.formatted_wald(wald)
 
 
 @query
@@ -418,6 +419,21 @@ def logit_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fit_summary(df, fit).withColumn("auc", F.lit(fit.auc(df)))
 
 
+def _estimates(df: DataFrame, outcome: str, features: Sequence[str]) -> DataFrame:
+    fit = I.fit_logit(df, outcome, features)
+    wald = I.wald_table(df, fit).select(
+        "position", "variable", "coefficient", "se", "odds_ratio", "ci_lower", "ci_upper",
+        F.round("z", 4).alias("z"), F.lit(fit.n).cast("bigint").alias("n"),
+        F.round(F.lit(fit.log_likelihood), 4).alias("log_likelihood"),
+    )
+    return rounded(wald, ("coefficient", "se", "odds_ratio", "ci_lower", "ci_upper"))
+
+
+@query
+def logit_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates(analytic(spark, sf_dir), "flag_diabetes", ["_AGE80", "bmi"])
+
+
 @query
 def logit_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = analytic(spark, sf_dir)
@@ -432,8 +448,7 @@ def logit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.log1p("n_chars").alias("log_chars")
     )
     rated = table(spark, sf_dir, "labels").join(documents, "doc_id")
-    fit = I.fit_logit(rated, "quality", ["log_chars", "toxic"])
-    return I.formatted_wald(I.wald_table(rated, fit))
+    return _estimates(rated, "quality", ["log_chars", "toxic"])
 
 
 @query
