@@ -27,7 +27,7 @@ CODES = {
     "EXERHMM1": "777, 999",
 }
 FLAT = "7, 9, 77, 99, 777, 999"
-UNCODED = ("_AGE80", "_IMPRACE", "_TOTINDA", "_BMI5", "_BMI5CAT", "_RFCHOL3", "_LLCPWT")
+UNCODED = ("_STATE", "_AGE80", "_IMPRACE", "_TOTINDA", "_BMI5", "_BMI5CAT", "_RFCHOL3", "_LLCPWT")
 
 
 def _coded(column: str, codes: str | None) -> str:
@@ -149,7 +149,7 @@ def _pick(columns: str, cte: str, source: str) -> str:
 
 
 EXPORT = (
-    "survey_year, sex_label, age_group, bmi_cat, bmi, sleep_hrs, pa_min_week, "
+    "survey_year, _STATE AS state, sex_label, age_group, bmi_cat, bmi, sleep_hrs, pa_min_week, "
     "meets_pa_guidelines, mental_hlth_days, gen_health, lifestyle_score, disease_burden, "
     "flag_diabetes, flag_htn, flag_ckd, flag_chd, flag_obese, flag_poor_sleep, "
     "flag_mental_burden, _LLCPWT AS weight"
@@ -581,11 +581,23 @@ ends AS (
   SELECT 'bottom', CAST(bottom_rank AS INT), state, n, diabetes_pct, obesity_pct
   FROM ranked WHERE bottom_rank <= 10)
 SELECT ends.*, n_name AS state_name FROM ends LEFT JOIN nation ON n_nationkey = state""",
+    "q_state_ranking": f"""{ANALYTIC}, t AS (
+  SELECT _STATE, count(*) AS n, {DIABETES}, {OBESITY} FROM analytic GROUP BY _STATE),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY diabetes_pct DESC, _STATE) AS top_rank,
+            row_number() OVER (ORDER BY diabetes_pct ASC, _STATE) AS bottom_rank
+  FROM t WHERE diabetes_pct IS NOT NULL)
+SELECT 'top' AS "end", CAST(top_rank AS INT) AS rank, _STATE, n, diabetes_pct, obesity_pct
+FROM ranked WHERE top_rank <= 5
+UNION ALL
+SELECT 'bottom', CAST(bottom_rank AS INT), _STATE, n, diabetes_pct, obesity_pct
+FROM ranked WHERE bottom_rank <= 5""",
     "q_distributions": _quantiles(),
     "q_pp_change": f"""{ANALYTIC}, yearly AS (
   SELECT survey_year, count(*) AS n, {DIABETES}, {HTN} FROM analytic GROUP BY survey_year)
 SELECT *,
-  round(diabetes_pct - first_value(diabetes_pct IGNORE NULLS) OVER w, 6) AS diabetes_pct_since_first,
+  round(diabetes_pct - first_value(diabetes_pct IGNORE NULLS) OVER w, 6)
+    AS diabetes_pct_since_first,
   round(diabetes_pct - last_value(diabetes_pct IGNORE NULLS) OVER before, 6)
     AS diabetes_pct_since_last,
   round(htn_pct - first_value(htn_pct IGNORE NULLS) OVER w, 6) AS htn_pct_since_first,

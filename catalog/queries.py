@@ -19,7 +19,7 @@ from cohortkit.operators import inference as I
 from cohortkit.operators import missingness as M
 from cohortkit.operators import stages as G
 from cohortkit.operators import tabulate as P
-from cohortkit.plans.run import describe
+from cohortkit.plans import run
 from cohortkit.sources.yearly import load_years
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,8 @@ def union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.shared_folder(spark)
     sinks.write_parquet(analytic(spark, sf_dir), path, SPEC.export, partition_by="survey_year")
-    return spark.read.parquet(path).withColumnRenamed("_LLCPWT", "weight")
+    names = {"_LLCPWT": "weight", "_STATE": "state"}
+    return spark.read.parquet(path).withColumnsRenamed(names)
 
 
 @query
@@ -97,25 +98,21 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(trend.schema).option("header", True).csv(path)
 
 
-ANALYTIC_COLUMNS = tuple(c for c in SPEC.export if c not in ("_STATE", "_LLCPWT"))
+def _exported(df: DataFrame, *extra: str) -> DataFrame:
+    names = {"_LLCPWT": "weight", "_STATE": "state"}
+    table = df.select("resp_id", *SPEC.export, *extra, "phys_hlth_days", "log_pa_min")
+    return rounded(table.withColumnsRenamed(names), ["log_pa_min"])
 
 
 @query
 def analytic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = analytic(spark, sf_dir).select(
-        "resp_id", *ANALYTIC_COLUMNS, F.col("_LLCPWT").alias("weight"), "disease_burden_n",
-        "lifestyle_score_n", "female", "phys_hlth_days", "log_pa_min",
-    )
-    return rounded(df, ["log_pa_min"])
+    df = analytic(spark, sf_dir)
+    return _exported(df, "disease_burden_n", "lifestyle_score_n", "female")
 
 
 @query
 def published_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = published(spark, sf_dir).select(
-        "resp_id", *ANALYTIC_COLUMNS, F.col("_LLCPWT").alias("weight"), "sex",
-        "phys_hlth_days", "log_pa_min",
-    )
-    return rounded(df, ["log_pa_min"])
+    return _exported(published(spark, sf_dir), "sex")
 
 
 # -------------------------------------------------------------------------- cleaning
@@ -140,17 +137,17 @@ def nullify_flat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(*names: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def query_(spark: SparkSession, sf_dir: str) -> DataFrame:
         return columns(G.clean(survey(spark, sf_dir), SPEC.clean), "resp_id", *names)
 
-    return run
+    return query_
 
 
 def _featured(*names: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def query_(spark: SparkSession, sf_dir: str) -> DataFrame:
         return columns(analytic(spark, sf_dir), "resp_id", *names)
 
-    return run
+    return query_
 
 
 QUERIES["q_rescale_guard"] = _cleaned("_BMI5", "bmi")
@@ -189,10 +186,10 @@ def analysis_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _summary(name: str) -> Query:
     spec = next(s for s in SPEC.report.summaries if s.name == name)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def query_(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(P.summary(analytic(spark, sf_dir), spec), list(spec.means))
 
-    return run
+    return query_
 
 
 for _spec in SPEC.report.summaries:
@@ -203,7 +200,7 @@ yearly_trend = QUERIES["q_yearly_trend"]
 @query
 def summaries_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grouped tables of a run, all merged from one scan's cells, stacked."""
-    tables = describe(analytic(spark, sf_dir), SPEC)
+    tables = run.describe(analytic(spark, sf_dir), SPEC)
     stacked = []
     for spec in SPEC.report.summaries:
         if spec.by:
@@ -322,6 +319,11 @@ def state_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_label(ends, nation, "state", "n_nationkey", "n_name", "state_name")
 
 
+@query
+def state_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.state_ranking(analytic(spark, sf_dir), SPEC, 5)
+
+
 @query
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = {"sleep_hrs": (1, 24), "pa_min_week": (0, 10000)}

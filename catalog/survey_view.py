@@ -5,8 +5,9 @@ arithmetic only.  It holds every kind of missing data: non-response codes, value
 of range, blanks, and questions not asked in some years (sleep in odd years, blood
 pressure in even years, kidney disease in 1995).
 
-The state of a respondent is the nation of the order's customer.  Only queries by
-state join the customers; the others read one table and never shuffle a row.
+A respondent's household is the order's customer, its home state that customer's nation.
+Only queries by home state join the customers; the others read one table and never
+shuffle a row.  (``_STATE`` is a bare code, as survey files carry one.)
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ RESPONDENT = {
     "survey_year": "yr",
     "IYEAR": "CASE WHEN k % 101 = 0 THEN 'x' WHEN k % 103 = 0 THEN '' "
     "ELSE CAST(yr AS STRING) END",
+    "_STATE": "CAST(1 + ck % 56 AS DOUBLE)",
     "SEXVAR": "CAST(CASE WHEN k % 50 = 49 THEN 9 WHEN k % 10 < 5 THEN 1 ELSE 2 END AS DOUBLE)",
     "_AGE80": "CAST(CASE WHEN k % 41 = 0 THEN NULL ELSE 18 + (ck * 13 + k) % 63 END AS DOUBLE)",
     "_IMPRACE": "CAST(1 + ck % 6 AS DOUBLE)",
@@ -84,7 +86,7 @@ def _adapted(spec: SurveySpec) -> SurveySpec:
         source=replace(
             spec.source,
             years=(*YEARS, 2002),
-            columns=("resp_id", *(c for c in COLUMNS if c != "_STATE")),
+            columns=("resp_id", *COLUMNS),
             types={"resp_id": "bigint", "IYEAR": "string"},
         ),
         clean=replace(spec.clean, keep_as_is=(*ids, *spec.clean.keep_as_is)),

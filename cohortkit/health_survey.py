@@ -251,7 +251,12 @@ def default_spec(path: str = "data/{year}", base_year: int = YEARS[0]) -> Survey
                 base_year, Between("flag_healthy_bmi", "bmi", BMI_CUTS[0], BMI_CUTS[1]), None
             )
         ),
-        report=ReportSpec(SUMMARIES, TABLE1),
+        report=ReportSpec(
+            SUMMARIES,
+            TABLE1,
+            states=Summary("by_state", ("_STATE",), {**DIABETES, **OBESITY}),
+            distributions=("pa_min_week", "sleep_hrs"),
+        ),
         model=_model("female", base_year),
         state="_STATE",
         weight="_LLCPWT",

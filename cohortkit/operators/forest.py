@@ -21,7 +21,11 @@ RAW, SCALED = "features_raw", "features"
 
 
 def model_frame(
-    df: DataFrame, outcome: str, features: Sequence[str], required: Sequence[str], keep: Sequence[str] = ()
+    df: DataFrame,
+    outcome: str,
+    features: Sequence[str],
+    required: Sequence[str],
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Outcome and features of the rows whose ``required`` columns are all known."""
     columns = list(dict.fromkeys([*keep, outcome, *features]))

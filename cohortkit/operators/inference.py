@@ -236,7 +236,9 @@ def wald_table(
             (b / F.col("se")).alias("z"),
             "p_value",
             X.stars(F.col("p_value")).alias("significance"),
-            F.when(is_feature, F.when(b > 0, "increases").otherwise("decreases")).alias("direction"),
+            F.when(is_feature & (b > 0), "increases")
+            .when(is_feature, "decreases")
+            .alias("direction"),
             F.when(is_feature, F.abs(F.exp(b) - 1) * 100).alias("odds_change_pct"),
         )
         .orderBy("position")

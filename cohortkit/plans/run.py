@@ -11,16 +11,25 @@ from cohortkit.operators import characteristics as C
 from cohortkit.operators import forest as R
 from cohortkit.operators import inference as I
 from cohortkit.operators import tabulate as P
+from cohortkit.operators.distribution import approximate_quantiles
+from cohortkit.operators.missingness import availability
 from cohortkit.operators.stages import analytic, present
 from cohortkit.session import tune
 from cohortkit.sources.yearly import load_years
 from cohortkit.spec import SurveySpec
 
 
+QUARTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
 @dataclass(frozen=True)
 class Analysis:
+    """Results of a run; the DataFrames are computed when used."""
+
     table: DataFrame
     summaries: dict[str, DataFrame]
+    states: DataFrame | None
+    distributions: DataFrame
     table1: DataFrame
     logit: I.LogitFit
     table2: DataFrame
@@ -33,7 +42,7 @@ def needed(spec: SurveySpec) -> list[str]:
     used = [*spec.export, spec.state, spec.weight, spec.source.year_column, model.outcome]
     for s in report.summaries:
         used += [*s.by, *s.flags.values(), *s.means.values()]
-    used += [row.column for row in report.table1]
+    used += [row.column for row in report.table1] + [*report.distributions]
     used += [*model.inference_features, *model.forest_features, *model.forest_required]
     used += [model.split_key] if model.split_key else []
     return list(dict.fromkeys(used))
@@ -59,6 +68,22 @@ def describe(df: DataFrame, spec: SurveySpec, weight: str | None = None) -> dict
     return P.summaries(cells, report.summaries, weight, report.digits)
 
 
+def state_ranking(df: DataFrame, spec: SurveySpec, k: int = 10) -> DataFrame | None:
+    """The ``k`` states with the highest and lowest prevalence of the first flag."""
+    states = spec.report.states
+    if states is None or not present(df, states.by):
+        return None
+    table = P.summary(df, states, digits=spec.report.digits)
+    return P.extremes(table, states.by[0], next(iter(states.flags)), k)
+
+
+def question_availability(spark: SparkSession, spec: SurveySpec) -> DataFrame:
+    """Which questions each year asked, and how they were answered (one raw scan)."""
+    raw = load_years(tune(spark), spec.source)
+    asked = present(raw, list(spec.clean.codes))
+    return availability(raw, asked, spec.clean.codes, spec.source.year_column)
+
+
 def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None = None) -> Analysis:
     """Run every stage and write the analytic table and Tables 1 and 2 under ``output``.
 
@@ -92,4 +117,13 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
     sinks.write_parquet(exported, f"{output}/analytic", columns, partition_by=year)
     sinks.write_table_csv(C.formatted(table1), f"{output}/table1")
     sinks.write_table_csv(I.formatted_wald(table2), f"{output}/table2")
-    return Analysis(df, summaries, table1, logit, table2, forest)
+    return Analysis(
+        table=df,
+        summaries=summaries,
+        states=state_ranking(df, spec),
+        distributions=approximate_quantiles(df, spec.report.distributions, QUARTILES, [year]),
+        table1=table1,
+        logit=logit,
+        table2=table2,
+        forest=forest,
+    )

@@ -125,7 +125,9 @@ def decode_numbers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, missing
 
 
-def decode(raw: bytes, layout: Layout, columns: Sequence[Variable], encoding: str) -> pa.RecordBatch:
+def decode(
+    raw: bytes, layout: Layout, columns: Sequence[Variable], encoding: str
+) -> pa.RecordBatch:
     table = np.frombuffer(raw, dtype=np.uint8).reshape(-1, layout.row_bytes)
     arrays = []
     for v in columns:

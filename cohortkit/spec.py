@@ -228,6 +228,8 @@ class Summary:
 class ReportSpec:
     summaries: tuple[Summary, ...]
     table1: tuple[Table1Row, ...]
+    states: Summary | None = None  # ranked by its first flag
+    distributions: tuple[str, ...] = ()
     denominator: str = "observed"  # or "stratum"
     digits: int | None = None
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from catalog.queries import analytic, yearly_files
 from catalog.survey_view import PUBLISHED, SPEC
+from cohortkit.__main__ import main
 from cohortkit.operators import characteristics as C
 from cohortkit.operators import tabulate as P
-from cohortkit.plans.run import run
+from cohortkit.plans.run import question_availability, run
 
 
 def spec_for(spec, files):
@@ -40,14 +41,33 @@ def test_summaries_equal_those_of_the_survey_view(spark, sf, done):
 def test_export(spark, done):
     analysis, out = done
     back = spark.read.parquet(f"{out}/analytic")
-    want = [c for c in SPEC.export if c != "_STATE"] + ["probability"]
-    assert sorted(back.columns) == sorted(want)
+    assert sorted(back.columns) == sorted([*SPEC.export, "probability"])
     assert back.count() == 1500
     known = back.filter("probability IS NOT NULL")
     assert known.filter("flag_diabetes IS NOT NULL").count() == analysis.logit.n
     assert known.filter(~F.col("probability").between(0, 1)).isEmpty()
 
 
+def test_states_and_distributions(done):
+    analysis, _ = done
+    states = analysis.states.collect()
+    assert [(r.end, r["rank"]) for r in states] == [
+        (end, i + 1) for end in ("top", "bottom") for i in range(10)
+    ]
+    assert states[0].diabetes_pct >= states[9].diabetes_pct >= states[10].diabetes_pct
+    sleep = analysis.distributions.filter("variable = 'sleep_hrs' AND known > 0").collect()
+    assert {r.survey_year for r in sleep} == {1996, 1998, 2000}
+    assert all(4 <= r.p5 <= r.p50 <= r.p95 <= 10 for r in sleep)
+
+
+def test_question_availability(spark, files):
+    t = question_availability(spark, spec_for(SPEC, files))
+    missing = {(r.survey_year, r.variable) for r in t.filter("status = 'not_asked'").collect()}
+    sleep = {(y, "SLEPTIM1") for y in (1995, 1997, 1999, 2001)}
+    pressure = {(y, "BPHIGH6") for y in (1996, 1998, 2000)}
+    assert missing == sleep | pressure | {(1995, "CHCKDNY2")}
+
+
 def test_tables_on_disk(spark, done):
     analysis, out = done
     t1 = spark.read.option("header", True).csv(f"{out}/table1")
@@ -78,3 +98,14 @@ def test_published_rules_end_to_end(spark, sf, files, tmp_path):
     trend = analysis.summaries["yearly_trend"].collect()
     assert all(round(r.diabetes_pct, 1) == r.diabetes_pct for r in trend)
     assert "sex" in analysis.logit.features and "female" not in analysis.logit.features
+
+
+def test_command_line(spark, files, tmp_path, capsys):
+    analysis = main(
+        [files + "/survey_year={year}", str(tmp_path), "--years", *map(str, range(1995, 2003)),
+         "--rules", "published", "--impute", "mean"]
+    )
+    shown = capsys.readouterr().out
+    assert "table2" in shown and "Self-rated health" in shown
+    assert analysis.logit.features[-1] == "years_since_1995"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["analytic", "table1", "table2"]
