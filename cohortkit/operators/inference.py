@@ -114,7 +114,7 @@ def fit_logit(
     covariate pattern.  Use it when the features take few values.
 
     With ``weight`` the point estimates are the weighted ones; the standard errors
-    treat weights as frequencies and are not design-based.
+    treat weights as frequencies and are not design-based.  Rows of weight 0 take no part.
     """
     features = tuple(features)
     cases = complete_cases(df, outcome, features, weight)
@@ -128,7 +128,8 @@ def fit_logit(
     else:
         rate = F.col(outcome).cast("double")
         cases = cases.select(*features, F.lit(1).alias(ROWS), size.alias(SIZE), rate.alias(RATE))
-    vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(cases)
+    weighing = cases.filter(F.col(SIZE) > 0)
+    vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(weighing)
     # Every Newton step reads the cases again.
     with held(vectors.select(VECTOR, ROWS, SIZE, RATE)) as cases:
         n, total, yes, largest, saturated, extent = cases.agg(

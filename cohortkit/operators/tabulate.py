@@ -2,8 +2,8 @@
 
 All tables come from the same additive parts (row count, and per column its sum and
 number of known values), so any coarser table can be merged from a finer one.  Only
-those parts are shuffled, already combined on the map side; a group holding a third of all
-rows therefore costs the reducer no more than any other.
+those parts are shuffled, already combined on the map side; a group holding a third of
+all rows therefore costs the reducer no more than any other.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def _known(column: str) -> str:
     return f"known:{column}"
 
 
-ROWS, WEIGHT = "rows", "weight"
+ROWS, WEIGHT = "rows:", "weight:"
 
 # Decimals for all measures, or per output name; without an entry a value is not rounded.
 Digits = int | Mapping[str, int] | None
@@ -66,7 +66,6 @@ def _measured(flags: Mapping[str, str], means: Mapping[str, str]) -> list[str]:
 def _finish(
     flags: Mapping[str, str], means: Mapping[str, str], weight: str | None, digits: Digits
 ) -> list[Column]:
-
     out = [F.col(ROWS).alias("n")]
     if weight is not None:
         out.append(F.col(WEIGHT).alias("weighted_n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from cohortkit.sources.yearly import load_years
 from cohortkit.spec import SurveySpec
 
 
-QUARTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+log = logging.getLogger(__name__)
+
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,7 @@ class Analysis:
     """Results of a run; the DataFrames are computed when used."""
 
     table: DataFrame
+    rows: int
     summaries: dict[str, DataFrame]
     states: DataFrame | None
     distributions: DataFrame
@@ -91,6 +95,8 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
     """
     model = spec.model
     df = prepare(spark, spec)
+    rows = df.count()  # from the file footers
+    log.info("analytic table: %d rows", rows)
     summaries = describe(df, spec)
     table1 = C.characteristics(
         df, model.outcome, spec.report.table1, denominator=spec.report.denominator
@@ -119,9 +125,10 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
     sinks.write_table_csv(I.formatted_wald(table2), f"{output}/table2")
     return Analysis(
         table=df,
+        rows=rows,
         summaries=summaries,
         states=state_ranking(df, spec),
-        distributions=approximate_quantiles(df, spec.report.distributions, QUARTILES, [year]),
+        distributions=approximate_quantiles(df, spec.report.distributions, QUANTILES, [year]),
         table1=table1,
         logit=logit,
         table2=table2,

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 # A rule set fuses into one generated method.  Past 8,000 bytes of bytecode the JVM
@@ -35,7 +36,8 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
     kept = [df.persist(StorageLevel.MEMORY_AND_DISK)]
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        if kept[0].rdd.getNumPartitions() < cores:
+        filled = kept[0].select(F.spark_partition_id()).distinct().count()  # fills the cache
+        if filled < cores:
             kept.append(kept[0].repartition(cores).persist(StorageLevel.MEMORY_AND_DISK))
         yield kept[-1]
     finally:

@@ -86,6 +86,14 @@ def test_heavy_patterns_still_converge(spark):
     assert fit.standard_errors[1] == pytest.approx(math.sqrt(1 / a + 1 / b + 1 / c + 1 / d), rel=1e-7)
 
 
+@pytest.mark.parametrize("collapse", [False, True])
+def test_rows_of_weight_zero_take_no_part(spark, collapse):
+    rows = [(1, 1, 2.0), (0, 1, 1.0), (1, 0, 1.0), (0, 0, 3.0), (1, 0, 0.0), (1, 2, 0.0)]
+    df = spark.createDataFrame(rows, "y int, x int, w double")
+    fit = I.fit_logit(df, "y", ["x"], weight="w", collapse=collapse)
+    assert fit.coefficients == pytest.approx((math.log(1 / 3), math.log(6)), rel=1e-8)
+
+
 def test_wald_table(respondents, fit):
     rows = I.wald_table(respondents, fit, {"bmi": "BMI"}).collect()
     assert [r.variable for r in rows] == ["const", *FEATURES]

@@ -80,6 +80,7 @@ def test_tables_on_disk(spark, done):
 
 def test_models(done):
     analysis, _ = done
+    assert analysis.rows == 1500
     assert analysis.logit.pseudo_r2 > 0.2
     assert analysis.forest.auc > 0.7
     assert len(analysis.forest.importances) == len(SPEC.model.forest_features)

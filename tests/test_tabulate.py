@@ -66,6 +66,12 @@ def test_weights_of_one_change_nothing(df):
     assert plain.collect() == weighted.drop("weighted_n").collect()
 
 
+def test_keys_may_have_any_name(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 0)], "rows string, weight int")
+    r = P.prevalence(df, ["rows"], {"pct": "weight"}, share="share").head()
+    assert (r["rows"], r.n, r.pct, r.share) == ("a", 2, 50.0, 100.0)
+
+
 def test_absent_columns_are_named(df):
     with pytest.raises(MissingColumnsError, match="nope"):
         P.prevalence(df, ["g"], {"pct": "nope"})
