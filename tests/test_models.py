@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from catalog.survey_view import SPEC
@@ -78,12 +79,14 @@ def test_collapsing_equal_rows_changes_nothing(respondents):
 
 def test_heavy_patterns_still_converge(spark):
     """Large cell counts push a naive start to probabilities of 0 and 1."""
-    table = [(1, 1, 2_340_000), (0, 1, 4_822_000), (1, 0, 368_000), (0, 0, 6_984_000)]
+    a, b, c, d = 2_340_000, 4_822_000, 368_000, 6_984_000
+    table = [(1, 1, a), (0, 1, b), (1, 0, c), (0, 0, d)]
     df = spark.createDataFrame(table, "y int, x int, w bigint")
     fit = I.fit_logit(df, "y", ["x"], weight="w")
-    a, b, c, d = 2_340_000, 4_822_000, 368_000, 6_984_000
-    assert fit.coefficients == pytest.approx((math.log(c / d), math.log(a * d / (b * c))), rel=1e-9)
-    assert fit.standard_errors[1] == pytest.approx(math.sqrt(1 / a + 1 / b + 1 / c + 1 / d), rel=1e-7)
+    estimates = (math.log(c / d), math.log(a * d / (b * c)))
+    assert fit.coefficients == pytest.approx(estimates, rel=1e-9)
+    error = math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    assert fit.standard_errors[1] == pytest.approx(error, rel=1e-7)
 
 
 @pytest.mark.parametrize("collapse", [False, True])
@@ -174,6 +177,22 @@ def test_auc_counts_ties_half(spark):
     assert E.auc(df, "y", "s") == pytest.approx((1 + 1 + 0.5 + 1) / 4)
 
 
+@pytest.mark.parametrize("distinct", [3, 5_000])
+def test_auc_equals_spark_evaluator(spark, distinct):
+    rng = np.random.default_rng(distinct)
+    score = rng.integers(0, distinct, 5_000) / distinct
+    yes = (rng.random(5_000) < score).astype(int)
+    df = spark.createDataFrame([(int(y), float(s)) for y, s in zip(yes, score)], "y int, s double")
+    evaluator = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="s", numBins=0)
+    assert E.auc(df.repartition(13), "y", "s") == pytest.approx(evaluator.evaluate(df), rel=1e-12)
+
+
+def test_auc_without_pairs(spark):
+    df = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
+    assert E.auc(df, "y", "s") is None
+    assert E.auc(df.limit(0), "y", "s") is None
+
+
 def test_auc_of_fit(respondents, fit, cases):
     scored = fit.predict(respondents).select("flag_diabetes", "probability").dropna().toPandas()
     ranks = scored.probability.rank()
