@@ -9,6 +9,8 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from brute import auc, newton
+from catalog.queries import ROTATING
 from catalog.survey_view import SPEC
 from cohortkit.operators import evaluate as E
 from cohortkit.operators import forest as R
@@ -17,23 +19,6 @@ from cohortkit.operators import inference as I
 FEATURES = ("_AGE80", "bmi", "female", "gen_health")
 
 
-def newton(x, y, w=None):
-    """Brute-force logistic fit: coefficients, standard errors, log-likelihood."""
-    w = np.ones(len(y)) if w is None else w
-    x = np.column_stack([np.ones(len(y)), x])
-    b = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ b))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x
-        step = np.linalg.solve(h, x.T @ (w * (y - p)))
-        b = b + step
-        if np.abs(step).max() < 1e-12:
-            break
-    p = 1 / (1 + np.exp(-x @ b))
-    ll = float((w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
-    return b, np.sqrt(np.diag(np.linalg.inv(h))), ll
-
-
 @pytest.fixture(scope="module")
 def cases(respondents):
     return I.complete_cases(respondents, "flag_diabetes", FEATURES, "_LLCPWT").toPandas()
@@ -162,7 +147,8 @@ def test_complete_cases_drop_nan_too(spark):
 
 def test_predictions_match_the_model(respondents, fit):
     scored = fit.predict(respondents).agg(
-        F.avg("probability"), F.avg(F.when(F.col("probability").isNotNull(), F.col("flag_diabetes")))
+        F.avg("probability"),
+        F.avg(F.when(F.col("probability").isNotNull(), F.col("flag_diabetes"))),
     )
     mean_p, share = scored.head()
     assert mean_p == pytest.approx(share, abs=0.02)
@@ -193,14 +179,10 @@ def test_auc_without_pairs(spark):
     assert E.auc(df.limit(0), "y", "s") is None
 
 
-def test_auc_of_fit(respondents, fit, cases):
+def test_auc_of_fit(respondents, fit):
     scored = fit.predict(respondents).select("flag_diabetes", "probability").dropna().toPandas()
-    ranks = scored.probability.rank()
-    yes = scored.flag_diabetes == 1
-    n1, n0 = yes.sum(), (~yes).sum()
-    assert fit.auc(respondents) == pytest.approx(
-        (ranks[yes].sum() - n1 * (n1 + 1) / 2) / (n1 * n0), rel=1e-9
-    )
+    want = auc(scored.flag_diabetes, scored.probability)
+    assert fit.auc(respondents) == pytest.approx(want, rel=1e-9)
 
 
 # ----------------------------------------------------------------------------- forest
@@ -232,7 +214,7 @@ def test_standardised(respondents):
 @pytest.fixture(scope="module")
 def forest(respondents):
     model = SPEC.model
-    features = [c for c in model.forest_features if c not in ("sleep_hrs", "flag_poor_sleep", "flag_htn")]
+    features = [c for c in model.forest_features if c not in ROTATING]
     return R.fit_forest(
         respondents, model.outcome, features, model.forest_required, model.seed, trees=10,
         depth=4, split_key="resp_id",
