@@ -155,7 +155,8 @@ Rule = (
 class SourceSpec:
     """Where the yearly files are and what their columns are called.
 
-    ``path`` contains ``{year}``.  ``aliases`` lists, per canonical column, the raw
+    ``options`` go to the reader; give JSON files a ``samplingRatio`` so that finding
+    their columns does not read them whole.  ``path`` contains ``{year}``.  ``aliases`` lists, per canonical column, the raw
     names in priority order.  ``recodes`` maps a *raw* name to a code map applied
     when that alias is the one found (codes not listed pass through).  ``types`` gives
     the Spark type of canonical columns that are not doubles.
