@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import exprs as X
 from cohortkit.operators.evaluate import accuracy, auc
-from cohortkit.operators.stages import require
+from cohortkit.operators.stages import all_known, require
 from cohortkit.session import held
 
 RAW, SCALED = "features_raw", "features"
@@ -30,7 +30,7 @@ def model_frame(
     """Outcome and features of the rows whose ``required`` columns are all known."""
     columns = list(dict.fromkeys([*keep, outcome, *features]))
     require(df, [*columns, *required])
-    return df.select(columns).dropna(subset=list(required))
+    return df.select(columns).filter(all_known(df, required))
 
 
 def in_training(key: str, seed: int, share: float) -> Column:
@@ -141,10 +141,7 @@ def fit_forest(
 
 
 def _sizes(part: DataFrame, features: Sequence[str], impute: str | None) -> tuple[int, int]:
-    complete = F.lit(True)
-    if impute is None:
-        for c in features:
-            complete = complete & F.col(c).isNotNull() & ~F.isnan(c)
+    complete = all_known(part, features if impute is None else [])
     n, used = part.agg(F.count(F.lit(1)), F.count(F.when(complete, 1))).head()
     return n, used
 

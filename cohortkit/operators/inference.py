@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import exprs as X
 from cohortkit.operators.evaluate import auc
-from cohortkit.operators.stages import require
+from cohortkit.operators.stages import all_known, require
 from cohortkit.session import held
 
 VECTOR = "features"
@@ -45,7 +45,7 @@ def complete_cases(
     """Outcome, features (and weight) of the rows where none is null or NaN."""
     columns = [outcome, *features, *([weight] if weight else [])]
     require(df, columns)
-    return df.select(*columns).dropna()
+    return df.select(*columns).filter(all_known(df, columns))
 
 
 @dataclass(frozen=True)

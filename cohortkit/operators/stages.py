@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterable, Sequence
-from functools import singledispatch
+from functools import reduce, singledispatch
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,20 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise MissingColumnsError(absent)
 
 
+def all_known(df: DataFrame, columns: Sequence[str]) -> Column:
+    """True where none of ``columns`` is null or NaN.
+
+    The null checks are separate conditions, which reach the file scan: row groups of
+    years that never asked a question are not read.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    checks = [F.col(c).isNotNull() for c in columns]
+    checks += [
+        ~F.isnan(c) for c in columns if isinstance(types[c], (T.DoubleType, T.FloatType))
+    ]
+    return reduce(operator.and_, checks, F.lit(True))
+
+
 @singledispatch
 def express(rule: S.Rule) -> Column:
     raise TypeError(f"not a rule: {rule!r}")

@@ -14,10 +14,14 @@ from cohortkit.operators.stages import present
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a temporary
-    folder instead.
+    A session on one machine may go without the setting and gets a temporary folder; on
+    a cluster its absence is an error, for executors share no such folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohortkit-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="cohortkit-")
     return f"{root.rstrip('/')}/cohortkit-{uuid.uuid4().hex}"
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cohortkit.operators.inference import complete_cases
 from cohortkit.session import SETTINGS, held, tune
 
 @pytest.fixture
@@ -56,6 +57,15 @@ def test_scans_read_only_the_columns_used(spark, sf):
     assert "ReadSchema: struct<event_type:string,value:double>" in plan
 
 
+def test_complete_cases_skip_row_groups_without_answers(spark, tmp_path):
+    """The null checks reach the scan; NaN is dropped after it."""
+    rows = [(1, 2.0), (0, None), (None, 1.0), (1, float("nan"))]
+    spark.createDataFrame(rows, "y int, x double").write.parquet(str(tmp_path / "t"))
+    cases = complete_cases(spark.read.parquet(str(tmp_path / "t")), "y", ["x"])
+    assert "PushedFilters: [IsNotNull(y), IsNotNull(x)]" in physical(cases)
+    assert [tuple(r) for r in cases.collect()] == [(1, 2.0)]
+
+
 def test_top_and_bottom_share_one_aggregation(spark, sf):
     df = entry.queries()["q_state_topk"](spark, sf)
     df.collect()

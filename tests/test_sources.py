@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,18 @@ def test_small_table_is_one_csv_file(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 10
 
 
+def session(master, root):
+    conf = SimpleNamespace(get=lambda key, default: root)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_shared_folder_on_a_cluster():
+    assert sinks.shared_folder(session("yarn", "hdfs://x/ck/")).startswith("hdfs://x/ck/cohortkit-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.shared_folder(session("yarn", None))
+    assert "cohortkit-" in sinks.shared_folder(session("local[2]", None))
+
+
 def test_shared_folder_follows_the_cluster_setting(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     one, two = sinks.shared_folder(spark), sinks.shared_folder(spark)
