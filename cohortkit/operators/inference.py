@@ -77,8 +77,7 @@ class LogitFit:
 
     def auc(self, df: DataFrame) -> float:
         """Exact area under the ROC curve over the complete cases of ``df``."""
-        scored = self.predict(complete_cases(df, self.outcome, self.features))
-        return auc(scored, self.outcome, "probability")
+        return auc(self.predict(df), self.outcome, "probability")
 
 
 def check_design(assembled: DataFrame, features: Sequence[str], tolerance: float = 1e-9) -> None:

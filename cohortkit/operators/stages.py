@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterable, Sequence
 from functools import reduce, singledispatch
@@ -38,15 +39,18 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def all_known(df: DataFrame, columns: Sequence[str]) -> Column:
-    """True where none of ``columns`` is null or NaN.
+    """True where none of ``columns`` is null or NaN, else false or null.
 
-    The null checks are separate conditions, which reach the file scan: row groups of
-    years that never asked a question are not read.
+    One plain condition per column, which reaches the file scan: row groups of years that
+    never asked a question are not read.  NaN is ordered above infinity, so a comparison
+    with it settles both kinds of missing number.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    checks = [F.col(c).isNotNull() for c in columns]
-    checks += [
-        ~F.isnan(c) for c in columns if isinstance(types[c], (T.DoubleType, T.FloatType))
+    checks = [
+        F.col(c) <= math.inf
+        if isinstance(types[c], (T.DoubleType, T.FloatType))
+        else F.col(c).isNotNull()
+        for c in columns
     ]
     return reduce(operator.and_, checks, F.lit(True))
 
