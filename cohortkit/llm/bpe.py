@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -29,14 +30,14 @@ from cohortkit.llm.common import limited
 from cohortkit.llm.pieces import gather, pieces
 
 #: Words kept between batches; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: Words of one recursive query.
 TOGETHER = 20_000
 #: The recursive query keeps the rows of all its steps, which for a word of n bytes are up
 #: to n * n / 2.  Longer words are contracted one by one with a heap, in the same order.
 LONG_WORD = 512
 #: Ids decoded by one aggregation (a longer document is one on its own).
-DECODED = 1_000_000
+DECODED = 250_000
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, place, id) AS (
@@ -78,7 +79,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _database() -> duckdb.DuckDBPyConnection:
     base = duckdb.connect()
     base.execute("SET threads = 1")
-    base.execute("SET memory_limit = '250MB'")
+    base.execute("SET memory_limit = '150MB'")
     return base
 
 
@@ -102,7 +103,12 @@ class Encoder:
         self.base.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of a word, whose ids lie between two ends
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Encoder:
@@ -110,8 +116,8 @@ class Encoder:
             cls._own = {(path, pattern): cls(path, pattern)}
         return cls._own[path, pattern]
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words, by the recursive query."""
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end and their number for each, by the recursive query."""
         sizes = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(words), np.uint8)
         place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -125,7 +131,7 @@ class Encoder:
         self.base.register("bytes_of_words", rows)
         done = self.base.execute(CONTRACT).fetchnumpy()
         counts = np.bincount(np.asarray(done["word"]), minlength=len(words))
-        return np.split(np.asarray(done["id"], np.int32), np.cumsum(counts)[:-1])
+        return np.asarray(done["id"], np.int32), counts
 
     def contract_long(self, word: bytes) -> np.ndarray:
         """Ids of one word: a heap of pairs by rank and place, over a linked list."""
@@ -155,41 +161,49 @@ class Encoder:
         return np.array([self.ranks[t] for t in token if t], np.int32)
 
     def learn(self, words: Iterable[str]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        plain: list[str] = []
-        for word in fresh:
+        names, parts, counts, plain = [], [self.ids], [], []
+        for word in words:
+            if word in self.known:
+                continue
             raw = word.encode()
             if raw in self.ranks:
-                self.known[word] = np.array([self.ranks[raw]], np.int32)
+                own = np.array([self.ranks[raw]], np.int32)
             elif len(raw) > LONG_WORD:
-                self.known[word] = self.contract_long(raw)
+                own = self.contract_long(raw)
             else:
                 plain.append(word)
+                continue
+            names.append(word)
+            parts.append(own)
+            counts.append([len(own)])
         for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            for word, ids in zip(part, self.contract([w.encode() for w in part]), strict=True):
-                self.known[word] = ids
+            ids, sizes = self.contract([w.encode() for w in plain[i : i + TOGETHER]])
+            parts.append(ids)
+            counts.append(sizes)
+        if counts:
+            first = len(self.known)
+            self.known.update(zip([*names, *plain], range(first, first + len(names) + len(plain)), strict=True))
+            self.ids = np.concatenate(parts)
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text starts."""
         different, numbers, first = pieces(texts)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         words = [self.split(piece) for piece in different.to_pylist()]
-        self.learn(dict.fromkeys(w for ws in words for w in ws))
-        parts = [self.known[w] for ws in words for w in ws]
-        per_word = np.fromiter(map(len, parts), np.int64, len(parts))
         per_piece = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(per_piece)])]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return gather(ids, ends, numbers, first)
+        all_words = list(chain.from_iterable(words))
+        self.learn(dict.fromkeys(all_words))
+        rows = np.fromiter(map(self.known.__getitem__, all_words), np.int64, len(all_words))
+        ids, bounds = gather(self.ids, self.ends, rows, np.concatenate([[0], np.cumsum(per_piece)]))
+        return gather(ids, bounds, numbers, first)
 
 
 def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array, of: str) -> pa.RecordBatch:
-    """``batch`` with ``column`` called ``name`` instead of the column ``of``."""
-    at = batch.schema.get_field_index(of)
-    columns = [*batch.columns[:at], *batch.columns[at + 1 :], column]
+    """``batch`` with ``column`` called ``name`` instead of the column ``of``, if it has that."""
     names = [n for n in batch.schema.names if n != of]
+    columns = [*(batch.column(batch.schema.get_field_index(n)) for n in names), column]
     return pa.RecordBatch.from_arrays(columns, names=[*names, name])
 
 
@@ -232,10 +246,17 @@ class Decoder:
             cls._own = {path: cls(path)}
         return cls._own[path]
 
-    def decode(self, lists: pa.ListArray) -> pa.Array:
-        """Bytes of each list of ids; a null list is empty."""
-        counts = np.asarray(lists.value_lengths().fill_null(0))
-        ids = np.asarray(lists.flatten(), np.int32)
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Bytes of each list of ids, the lists end to end between ``bounds``."""
+        out: list[bytes] = []
+        start = 0
+        while start < len(bounds) - 1:
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + DECODED, "right")) - 1)
+            out += self._decode(ids[bounds[start] : bounds[stop]], np.diff(bounds[start : stop + 1]))
+            start = stop
+        return out
+
+    def _decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         if len(ids) and (ids.min() < 0 or ids.max() > self.last):
             raise ValueError("ids outside the vocabulary")
         ends = np.cumsum(counts)
@@ -243,7 +264,7 @@ class Decoder:
             {
                 "row": np.repeat(np.arange(len(counts), dtype=np.int32), counts),
                 "place": (np.arange(len(ids)) - np.repeat(ends - counts, counts)).astype(np.int32),
-                "id": ids,
+                "id": ids.astype(np.int32),
             }
         )
         self.base.register("tokens", tokens)
@@ -251,7 +272,7 @@ class Decoder:
         out = [b""] * len(counts)
         for row, value in zip(done["row"].to_pylist(), done["bytes"].to_pylist(), strict=True):
             out[row] = value
-        return pa.array(out, pa.binary())
+        return out
 
 
 def decode(
@@ -263,14 +284,10 @@ def decode(
         decoder = Decoder.of(vocabulary)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            counts = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
-            start, base = 0, 0
-            while start < len(counts):
-                stop = max(start + 1, int(np.searchsorted(counts, base + DECODED, "right")))
-                part = batch.slice(start, stop - start)
-                bytes_ = decoder.decode(part.column(batch.schema.get_field_index(ids)))
-                yield _with_column(part, decoded, bytes_, ids)
-                start, base = stop, int(counts[stop - 1])
+            counts = np.asarray(lists.value_lengths().fill_null(0))
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            bytes_ = decoder.decode(np.asarray(lists.flatten(), np.int32), bounds)
+            yield _with_column(batch, decoded, pa.array(bytes_, pa.binary()), ids)
 
     kept = [f for f in df.schema.fields if f.name != ids]
     return df.mapInArrow(work, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))
@@ -280,15 +297,27 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool =
     """``docs`` without its text: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` instead.
 
     The first digest is of the decimal ids joined by spaces, the second of the bytes that
-    decoding these ids gives.  ``keep_ids`` adds the ids.
+    decoding these ids gives.  ``keep_ids`` adds the ids.  One task encodes and decodes, so
+    that a core has one Python worker.
     """
-    coded = encode(docs, vocabulary, pattern, ids="__ids")
-    listed = coded.withColumns(
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder.of(vocabulary, pattern), Decoder.of(vocabulary)
+        for batch in limited(batches):
+            ids, bounds = encoder.encode(batch.column(batch.schema.get_field_index("text")))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            back = pa.array(decoder.decode(ids, bounds), pa.binary())
+            yield _with_column(_with_column(batch, "__ids", lists, "text"), "__bytes", back, "")
+
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("__ids", T.ArrayType(T.IntegerType(), False)), T.StructField("__bytes", T.BinaryType())])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    done = docs.withColumn("text", text).mapInArrow(work, schema)
+    return done.withColumns(
         {
             "n_tokens": F.size("__ids").cast("long"),
             "ids_sha256": F.sha2(F.concat_ws(" ", F.col("__ids").cast("array<string>")), 256),
+            "decoded_sha256": F.sha2("__bytes", 256),
             **({"ids": F.col("__ids")} if keep_ids else {}),
         }
-    )
-    back = decode(listed, vocabulary, ids="__ids", decoded="__decoded")
-    return back.withColumn("decoded_sha256", F.sha2("__decoded", 256)).drop("__decoded")
+    ).drop("__ids", "__bytes")
