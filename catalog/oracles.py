@@ -49,14 +49,15 @@ def _raw_cte(flat: bool) -> str:
 
 def _cleaned_cte(published: bool) -> str:
     minutes = "PA1MIN_" if published else "pa_min_week"
+    mental, physical = ("" if published else f"WHEN {c} = 88 THEN 0" for c in ("MENTHLTH", "PHYSHLTH"))
     age_else = "'75+'" if published else "CASE WHEN _AGE80 IS NULL THEN NULL ELSE '75+' END"
     return f"""
 guarded AS (SELECT *,
     CASE WHEN _BMI5 / 100e0 BETWEEN 10 AND 80 THEN _BMI5 / 100e0 END AS bmi,
     CASE WHEN SLEPTIM1 BETWEEN 1 AND 24 THEN SLEPTIM1 END AS sleep_hrs,
     CASE WHEN GENHLTH BETWEEN 1 AND 5 THEN 6 - GENHLTH END AS gen_health,
-    CASE WHEN MENTHLTH BETWEEN 0 AND 30 THEN MENTHLTH END AS mental_hlth_days,
-    CASE WHEN PHYSHLTH BETWEEN 0 AND 30 THEN PHYSHLTH END AS phys_hlth_days,
+    CASE {mental} WHEN MENTHLTH BETWEEN 0 AND 30 THEN MENTHLTH END AS mental_hlth_days,
+    CASE {physical} WHEN PHYSHLTH BETWEEN 0 AND 30 THEN PHYSHLTH END AS phys_hlth_days,
     CASE WHEN PA1MIN_ BETWEEN 0 AND 10000 THEN PA1MIN_ END AS pa_min_week,
     CASE WHEN SEXVAR IN (1, 2) THEN CAST(SEXVAR AS INT) END AS sex,
     CASE WHEN _AGE80 < 30 THEN '18–29' WHEN _AGE80 < 45 THEN '30–44'

@@ -47,9 +47,9 @@ RESPONDENT = {
     "ELSE (tp * 3) % 900 END AS DOUBLE)",
     "SLEPTIM1": "CAST(CASE WHEN yr % 2 = 1 THEN NULL WHEN k % 29 = 0 THEN 77 "
     "WHEN k % 31 = 0 THEN 99 ELSE 4 + k % 7 END AS DOUBLE)",
-    "MENTHLTH": "CAST(CASE WHEN k % 37 = 0 THEN 77 WHEN k % 43 = 0 THEN 99 "
+    "MENTHLTH": "CAST(CASE WHEN k % 37 = 0 THEN 77 WHEN k % 43 = 0 THEN 99 WHEN k % 19 = 0 THEN 88 "
     "ELSE (k * 11) % 31 END AS DOUBLE)",
-    "PHYSHLTH": "CAST(CASE WHEN k % 33 = 0 THEN 31 WHEN k % 57 = 0 THEN 99 "
+    "PHYSHLTH": "CAST(CASE WHEN k % 33 = 0 THEN 31 WHEN k % 57 = 0 THEN 99 WHEN k % 17 = 0 THEN 88 "
     "ELSE (k * 13) % 31 END AS DOUBLE)",
     "GENHLTH": "CAST(CASE WHEN k % 47 = 0 THEN 7 WHEN k % 59 = 0 THEN 9 "
     "ELSE 1 + (k + ck) % 5 END AS DOUBLE)",

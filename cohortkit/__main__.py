@@ -37,9 +37,10 @@ def show(analysis: Analysis, labels: dict[str, str]) -> None:
         "table1": analysis.table1,
         "table2": analysis.table2,
         "fit": fit_summary(analysis.table, analysis.logit),
-        "forest": metrics_table(analysis.table, analysis.forest),
-        "importances": importance_table(analysis.table, analysis.forest, labels),
     }
+    if analysis.forest is not None:
+        tables["forest"] = metrics_table(analysis.table, analysis.forest)
+        tables["importances"] = importance_table(analysis.table, analysis.forest, labels)
     for name, table in tables.items():
         print(name)
         table.show(SHOWN_ROWS, truncate=False)

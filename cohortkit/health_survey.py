@@ -171,13 +171,19 @@ EXPORT = (
 )
 
 
-def _clean_rules(active_source: str, age_missing: str | None) -> tuple[Rule, ...]:
+# Fixed value: the public codebook's answer "none" to both questions on days.
+NO_DAYS = (88.0,)
+
+
+def _clean_rules(
+    active_source: str, age_missing: str | None, no_days: tuple[float, ...] = ()
+) -> tuple[Rule, ...]:
     return (
         Guard("bmi", "_BMI5", 10, 80, divisor=100.0),
         Guard("sleep_hrs", "SLEPTIM1", 1, 24),
         Reverse("gen_health", "GENHLTH", 1, 5),
-        Guard("mental_hlth_days", "MENTHLTH", 0, 30),
-        Guard("phys_hlth_days", "PHYSHLTH", 0, 30),
+        Guard("mental_hlth_days", "MENTHLTH", 0, 30, zero_codes=no_days),
+        Guard("phys_hlth_days", "PHYSHLTH", 0, 30, zero_codes=no_days),
         Guard("pa_min_week", "PA1MIN_", 0, 10000),
         Flag("meets_pa_guidelines", active_source, ">=", ACTIVE_MINUTES),
         Recode("sex", "SEXVAR", {1: 1, 2: 2}),
@@ -245,7 +251,7 @@ def default_spec(path: str = "data/{year}", base_year: int = YEARS[0]) -> Survey
     """Per-column missing codes, null kept as null, shared cut points, 0/1 sex."""
     return SurveySpec(
         source=SourceSpec(YEARS, path, COLUMNS, aliases=ALIASES),
-        clean=CleanSpec(MISSING_CODES, _clean_rules("pa_min_week", None)),
+        clean=CleanSpec(MISSING_CODES, _clean_rules("pa_min_week", None, NO_DAYS)),
         features=FeatureSpec(
             _feature_rules(
                 base_year, Between("flag_healthy_bmi", "bmi", BMI_CUTS[0], BMI_CUTS[1]), None
@@ -280,6 +286,7 @@ def published_spec(path: str = "data/{year}", base_year: int = YEARS[0]) -> Surv
             _clean_rules("PA1MIN_", AGE_LABELS[-1]),
             nan_as_null=False,
         ),
+        source=replace(spec.source, nan_as_null=False),
         features=FeatureSpec(
             _feature_rules(
                 base_year, Between("flag_healthy_bmi", "bmi", 18.5, 24.9, closed=True), 0.0

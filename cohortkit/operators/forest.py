@@ -17,7 +17,9 @@ from cohortkit.operators.evaluate import accuracy, auc
 from cohortkit.operators.stages import all_known, require
 from cohortkit.session import held
 
-RAW, SCALED = "features_raw", "features"
+RAW, SCALED = "unscaled", "scaled"
+#: Partitions of the rows that trees are grown on.
+DEALT = 256
 
 
 def model_frame(
@@ -34,8 +36,14 @@ def model_frame(
 
 
 def in_training(key: str, seed: int, share: float) -> Column:
-    """Row-wise split by a hash of its key, the same for any partitioning."""
-    return X.hash_share(F.col(key), seed) < F.lit(round(100 * share))
+    """Row-wise split by a hash of its key, the same for any partitioning.
+
+    ``share`` is a whole number of hundredths.
+    """
+    hundredths = round(100 * share)
+    if abs(100 * share - hundredths) > 1e-6 or not 0 < hundredths < 100:
+        raise ValueError(f"share must be a whole number of hundredths in 0.01..0.99, not {share}")
+    return X.hash_share(F.col(key), seed) < F.lit(hundredths)
 
 
 def random_split(df: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +79,10 @@ def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
     ).drop(RAW, SCALED)
 
 
+class NoRowsError(ValueError):
+    """No row knows all that training or scoring needs."""
+
+
 @dataclass(frozen=True)
 class ForestFit:
     model: PipelineModel
@@ -101,21 +113,24 @@ def fit_forest(
 
     With ``split_key`` the split is a hash of that column, otherwise ``randomSplit``.
     Rows with a missing feature are dropped unless ``impute`` ("mean" or "median") is
-    given; ``train_used`` and ``test_used`` count the rows that took part.
+    given; ``train_used`` and ``test_used`` count the rows that took part.  The split is
+    made on the rows as they come; the trees then draw their samples from rows dealt to a
+    fixed number of partitions by content, so neither cores nor files change a forest.
     """
     keep = [split_key] if split_key else []
     frame = model_frame(df, outcome, features, required, keep)
     numbers = {c: F.col(c).cast("double") for c in dict.fromkeys([outcome, *features])}
-    with held(frame.withColumns(numbers)) as frame:
-        if split_key:
-            chosen = in_training(split_key, seed, share)
-            train, test = frame.filter(chosen), frame.filter(~chosen)
-        else:
-            train, test = random_split(frame, share, seed)
-        sizes = [_sizes(part, features, impute) for part in (train, test)]
+    frame = frame.withColumns(numbers)
+    if split_key:
+        chosen = in_training(split_key, seed, share)
+        train, test = frame.filter(chosen), frame.filter(~chosen)
+    else:
+        train, test = random_split(frame, share, seed)
+    with held(_dealt(train)) as train, held(test) as test:
+        sizes = _sizes(train, test, features, impute)
         for name, (_, used) in zip(("training", "test"), sizes):
             if not used:
-                raise ValueError(f"no {name} rows left: every row misses one of {list(features)}")
+                raise NoRowsError(f"no {name} rows left: every row misses one of {list(features)}")
         forest = RandomForestClassifier(
             featuresCol=SCALED, labelCol=outcome, numTrees=trees, maxDepth=depth, seed=seed
         )
@@ -140,10 +155,21 @@ def fit_forest(
     )
 
 
-def _sizes(part: DataFrame, features: Sequence[str], impute: str | None) -> tuple[int, int]:
-    complete = all_known(part, features if impute is None else [])
-    n, used = part.agg(F.count(F.lit(1)), F.count(F.when(complete, 1))).head()
-    return n, used
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows in DEALT partitions and an order that follow from their content alone."""
+    columns = [F.col(c) for c in df.columns]
+    return df.repartition(DEALT, F.xxhash64(*columns)).sortWithinPartitions(*columns)
+
+
+def _sizes(
+    train: DataFrame, test: DataFrame, features: Sequence[str], impute: str | None
+) -> list[tuple[int, int]]:
+    """Rows and rows that can take part, of both parts, in one pass."""
+    complete = all_known(train, features if impute is None else [])
+    both = train.withColumn("part:", F.lit(0)).union(test.withColumn("part:", F.lit(1)))
+    rows = both.groupBy("part:").agg(F.count(F.lit(1)), F.count(F.when(complete, 1))).collect()
+    found = {part: (n, used) for part, n, used in rows}
+    return [found.get(part, (0, 0)) for part in (0, 1)]
 
 
 def importance_table(

@@ -131,6 +131,8 @@ def fit_logit(
     vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(weighing)
     # Every Newton step reads the cases again.
     with held(vectors.select(VECTOR, ROWS, SIZE, RATE)) as cases:
+        if cases.isEmpty():
+            raise ValueError(_no_cases(df, outcome, features))
         n, total, yes, largest, saturated, extent = cases.agg(
             F.sum(ROWS),
             F.sum(SIZE),
@@ -165,6 +167,14 @@ def fit_logit(
         )
 
 
+def _no_cases(df: DataFrame, outcome: str, features: Sequence[str]) -> str:
+    columns = [outcome, *features]
+    known = df.agg(*(F.count(F.when(all_known(df, [c]), 1)) for c in columns)).head()
+    empty = [c for c, n in zip(columns, known) if not n]
+    reason = f"; nothing is known of {', '.join(empty)}" if empty else ""
+    return f"0 complete cases of {', '.join(columns)}{reason}"
+
+
 def _x_log_x(p: Column) -> Column:
     return F.when(p > 0, p * F.log(p)).otherwise(0.0)
 

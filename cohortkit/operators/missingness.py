@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.functions import exprs as X
 from cohortkit.operators.stages import require
 
 
@@ -15,6 +16,14 @@ def _is_code(column: str, codes: Mapping[str, Sequence[float]]) -> Column:
     return F.col(column).isin(*listed) if listed else F.col(column).isNotNull() & F.lit(False)
 
 
+def _nan_blank(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``raw`` with NaN in ``columns`` read as blank: nobody answers "not a number"."""
+    kinds = dict(raw.dtypes)
+    return raw.withColumns(
+        {c: X.nan_to_null(F.col(c)) for c in columns if kinds[c] in ("double", "float")}
+    )
+
+
 def few_rows(table: DataFrame, at_most: int = 10_000) -> DataFrame:
     """``table`` marked for broadcast if it has at most ``at_most`` rows, else as it is.
 
@@ -40,6 +49,7 @@ def availability(
     One pass over the data.
     """
     require(raw, [by, *columns])
+    raw = _nan_blank(raw, columns)
     parts = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
         parts += [
@@ -74,12 +84,14 @@ def missing_kinds(
     by: str = "survey_year",
 ) -> DataFrame:
     """Add ``<column>_kind`` per row: ``answered``, ``non_response``, ``blank`` or
-    ``not_asked`` (nobody in that row's ``by`` group was asked).
+    ``not_asked`` (nobody in that row's ``by`` group was asked).  NaN is blank, in the
+    columns as well.
 
     What each group was asked is one row per group, joined back to the data: as a
     broadcast when the groups are few (counted, see ``few_rows``), else as a shuffle.
     """
     require(raw, [by, *columns])
+    raw = _nan_blank(raw, columns)
     group = F.col(by).alias("group:")
     asked = raw.groupBy(group).agg(
         *((F.count(c) > 0).alias(f"asked_{i}") for i, c in enumerate(columns))

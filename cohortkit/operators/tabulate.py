@@ -230,13 +230,9 @@ def ratio_to(
     table: DataFrame, key: str, reference: object, columns: Sequence[str], suffix: str = "_ratio"
 ) -> DataFrame:
     """Divide each column of a summary table by its value in the ``reference`` group."""
-    is_reference = F.col(key) == F.lit(reference)
-
-    def value_of_reference(c: str) -> Column:
-        return F.max(F.when(is_reference, F.col(c))).over(Window.partitionBy(F.lit(1)))
-
+    group = table.filter(F.col(key) == F.lit(reference))
     return table.withColumns(
-        {f"{c}{suffix}": F.try_divide(F.col(c), value_of_reference(c)) for c in columns}
+        {f"{c}{suffix}": F.try_divide(F.col(c), group.agg(F.max(c)).scalar()) for c in columns}
     )
 
 

@@ -6,6 +6,7 @@ import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortkit import sinks
 from cohortkit.operators import characteristics as C
@@ -14,7 +15,7 @@ from cohortkit.operators import inference as I
 from cohortkit.operators import tabulate as P
 from cohortkit.operators.distribution import approximate_quantiles
 from cohortkit.operators.missingness import availability
-from cohortkit.operators.stages import analytic, present
+from cohortkit.operators.stages import all_known, analytic, present
 from cohortkit.session import tune
 from cohortkit.sources.yearly import load_years
 from cohortkit.spec import SurveySpec
@@ -37,7 +38,8 @@ class Analysis:
     table1: DataFrame
     logit: I.LogitFit
     table2: DataFrame
-    forest: R.ForestFit
+    forest: R.ForestFit | None
+    notes: tuple[str, ...] = ()
 
 
 def needed(spec: SurveySpec) -> list[str]:
@@ -88,10 +90,19 @@ def question_availability(spark: SparkSession, spec: SurveySpec) -> DataFrame:
     return availability(raw, asked, spec.clean.codes, spec.source.year_column)
 
 
+def _asked(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The features of which anything is known, and a note on each of the others."""
+    known = df.agg(*(F.count(F.when(all_known(df, [c]), 1)) for c in features)).head()
+    notes = [f"{c} left out: no year asked it" for c, n in zip(features, known) if not n]
+    return [c for c, n in zip(features, known) if n], notes
+
+
 def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None = None) -> Analysis:
     """Run every stage and write the analytic table and Tables 1 and 2 under ``output``.
 
-    ``score`` names an extra exported column with the fitted probability.
+    ``score`` names an extra exported column with the fitted probability.  Features nobody
+    was asked are left out of the models, and without complete rows there is no forest;
+    ``notes`` says so.  What is ready is written before the next model is fitted.
     """
     model = spec.model
     df = prepare(spark, spec)
@@ -101,28 +112,38 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
     table1 = C.characteristics(
         df, model.outcome, spec.report.table1, denominator=spec.report.denominator
     )
-    logit = I.fit_logit(df, model.outcome, model.inference_features, max_iter=model.max_iter)
-    table2 = I.wald_table(df, logit, model.labels)
-    forest = R.fit_forest(
-        df,
-        model.outcome,
-        model.forest_features,
-        model.forest_required,
-        model.seed,
-        model.train_share,
-        model.trees,
-        model.depth,
-        split_key=model.split_key,
-        impute=model.impute,
-    )
-
-    exported, columns = df, list(spec.export)
-    if score is not None:
-        exported, columns = logit.predict(df, into=score), [*columns, score]
-    year = spec.source.year_column
-    sinks.write_parquet(exported, f"{output}/analytic", columns, partition_by=year)
     sinks.write_table_csv(C.formatted(table1), f"{output}/table1")
+    year = spec.source.year_column
+    if score is None:
+        sinks.write_parquet(df, f"{output}/analytic", spec.export, partition_by=year)
+    asked, notes = _asked(df, model.inference_features)
+    logit = I.fit_logit(df, model.outcome, asked, max_iter=model.max_iter)
+    table2 = I.wald_table(df, logit, model.labels)
     sinks.write_table_csv(I.formatted_wald(table2), f"{output}/table2")
+    if score is not None:
+        exported, columns = logit.predict(df, into=score), [*spec.export, score]
+        sinks.write_parquet(exported, f"{output}/analytic", columns, partition_by=year)
+    usable, more = _asked(df, model.forest_features)
+    notes += [note for note in more if note not in notes]
+    forest = None
+    try:
+        forest = R.fit_forest(
+            df,
+            model.outcome,
+            usable,
+            [c for c in model.forest_required if c in usable or c not in model.forest_features],
+            model.seed,
+            model.train_share,
+            model.trees,
+            model.depth,
+            split_key=model.split_key,
+            impute=model.impute,
+        )
+    except R.NoRowsError as e:
+        notes.append(f"no forest: {e}")
+    for note in notes:
+        log.warning(note)
+
     return Analysis(
         table=df,
         rows=rows,
@@ -133,4 +154,5 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
         logit=logit,
         table2=table2,
         forest=forest,
+        notes=tuple(notes),
     )

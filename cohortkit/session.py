@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 # A rule set fuses into one generated method.  Past 8,000 bytes of bytecode the JVM
@@ -20,8 +19,10 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Set those of SETTINGS that the caller has left unset."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -29,17 +30,11 @@ def tune(spark: SparkSession) -> SparkSession:
 def held(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` cached for the passes of an iterative fit, spilling to disk.
 
-    Data in fewer partitions than there are cores (a small file) is spread over all of
-    them first; at scale there are always more and nothing is shuffled.  A block lost
-    with its executor is recomputed from the scan.
+    The rows stay in the partitions they are in, so what is fitted does not follow the
+    machine.  A block lost with its executor is recomputed from the scan.
     """
-    kept = [df.persist(StorageLevel.MEMORY_AND_DISK)]
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        filled = kept[0].select(F.spark_partition_id()).distinct().count()  # fills the cache
-        if filled < cores:
-            kept.append(kept[0].repartition(cores).persist(StorageLevel.MEMORY_AND_DISK))
-        yield kept[-1]
+        yield kept
     finally:
-        for frame in reversed(kept):
-            frame.unpersist()
+        kept.unpersist()

@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Fixed values of the file format.
 RECORD = 80
+LIBRARY = b"HEADER RECORD*******LIBRARY HEADER RECORD!!!!!!!"
 MEMBER = b"HEADER RECORD*******MEMBER  HEADER RECORD!!!!!!!"
 NAMESTR = b"HEADER RECORD*******NAMESTR HEADER RECORD!!!!!!!"
 OBSERVATIONS = b"HEADER RECORD*******OBS     HEADER RECORD!!!!!!!"
@@ -71,6 +72,8 @@ def read_layout(path: str) -> Layout:
     size = fs.get_file_info(inner).size
     with fs.open_input_file(inner) as f:
         name_bytes, count = 140, 0
+        if not f.read(RECORD).startswith(LIBRARY):
+            raise ValueError(f"not a SAS transport file: {path}")
         while record := f.read(RECORD):
             if record.startswith(MEMBER):
                 name_bytes = int(record[74:78])
@@ -168,7 +171,10 @@ class XportReader(DataSourceReader):
             left = partition.count
             while left:
                 rows = min(left, BATCH_ROWS)
-                yield decode(f.read(rows * width), self.layout, self.columns, self.encoding)
+                raw = f.read(rows * width)
+                if MEMBER in raw:
+                    raise ValueError(f"more than one member in the transport file: {self.path}")
+                yield decode(raw, self.layout, self.columns, self.encoding)
                 left -= rows
 
 

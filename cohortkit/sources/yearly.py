@@ -29,6 +29,8 @@ def _canonical_column(raw: DataFrame, canonical: str, spec: SourceSpec) -> Colum
     if actual is None:
         return F.lit(None).cast(wanted).alias(canonical)
     c = F.col(actual).try_cast(wanted)
+    if spec.nan_as_null and wanted in ("double", "float"):
+        c = X.nan_to_null(c)
     if actual in spec.recodes:
         c = X.overlay_codes(c, spec.recodes[actual])
     return c.alias(canonical)
@@ -45,6 +47,8 @@ def to_canonical(raw: DataFrame, year: int, spec: SourceSpec) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame | None:
     reader = spark.read.format(spec.format).options(**spec.options)
+    if spec.schema is not None:
+        reader = reader.schema(spec.schema)
     if spec.format == xport.XportSource.name():
         if not xport.exists(path):
             return None

@@ -155,11 +155,13 @@ Rule = (
 class SourceSpec:
     """Where the yearly files are and what their columns are called.
 
-    ``options`` go to the reader; give JSON files a ``samplingRatio`` so that finding
-    their columns does not read them whole.  ``path`` contains ``{year}``.  ``aliases`` lists, per canonical column, the raw
+    ``options`` go to the reader.  ``schema`` (a DDL string) names the raw columns of CSV
+    or JSON files, so that neither a header nor a sample decides what is read; columns a
+    file lacks are null.  ``path`` contains ``{year}``.  ``aliases`` lists, per canonical column, the raw
     names in priority order.  ``recodes`` maps a *raw* name to a code map applied
     when that alias is the one found (codes not listed pass through).  ``types`` gives
-    the Spark type of canonical columns that are not doubles.
+    the Spark type of canonical columns that are not doubles.  NaN is read as null
+    unless ``nan_as_null`` is off.
     """
 
     years: tuple[int, ...]
@@ -171,6 +173,8 @@ class SourceSpec:
     recodes: Mapping[str, Mapping[float, float]] = field(default_factory=dict)
     types: Mapping[str, str] = field(default_factory=dict)
     year_column: str = "survey_year"
+    schema: str | None = None
+    nan_as_null: bool = True
 
 
 @dataclass(frozen=True)

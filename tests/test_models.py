@@ -249,3 +249,35 @@ def test_imputed_forest_uses_every_row(respondents):
     )
     required = respondents.dropna(subset=list(model.forest_required)).count()
     assert fit.train_n + fit.test_n == fit.train_used + fit.test_used == required
+
+
+def test_forest_does_not_follow_the_layout(respondents):
+    from catalog.survey_view import SPEC
+    from cohortkit.operators.forest import fit_forest
+
+    model = SPEC.model
+    fits = [
+        fit_forest(
+            part, model.outcome, ["bmi", "_AGE80"], [model.outcome, "bmi", "_AGE80"], 7, trees=5, depth=3, split_key="resp_id"
+        )
+        for part in (respondents.repartition(3), respondents.repartition(7, "bmi"))
+    ]
+    assert fits[0].train_n == fits[1].train_n
+    assert fits[0].importances == fits[1].importances
+    assert fits[0].auc == fits[1].auc
+
+
+def test_shares_beyond_hundredths_are_refused():
+    from cohortkit.operators.forest import in_training
+
+    for share in (0.125, 0.995, 1.0):
+        with pytest.raises(ValueError, match="hundredths"):
+            in_training("resp_id", 1, share)
+
+
+def test_no_complete_cases_names_the_empty_columns(spark):
+    from cohortkit.operators.inference import fit_logit
+
+    df = spark.createDataFrame([(1, None, 2.0), (0, None, 1.0)], "y int, x double, z double")
+    with pytest.raises(ValueError, match="nothing is known of x"):
+        fit_logit(df, "y", ["x", "z"])

@@ -10,11 +10,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+import catalog.queries
 import check
 from brute import auc, newton
 from catalog.survey_view import SPEC
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {n: q for n, q in entry.queries().items() if n in catalog.queries.QUERIES}
+SQL = {n: s for n, s in entry.oracle_sql().items() if n in QUERIES}
 
 
 @pytest.fixture(scope="module")

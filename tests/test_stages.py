@@ -161,3 +161,16 @@ def test_rules_run_on_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(raw(spark).schema).parquet(str(tmp_path / "in"))
     out = analytic(stream, default_spec())
     assert out.isStreaming and "flag_obese" in out.columns
+
+
+def test_nan_is_blank_not_an_answer(spark):
+    from cohortkit.operators.missingness import availability, missing_kinds
+
+    rows = [(2017, float("nan")), (2017, float("nan")), (2018, 3.0), (2018, float("nan"))]
+    raw = spark.createDataFrame(rows, "survey_year int, x double")
+    got = {r.survey_year: (r.answered, r.blank, r.status) for r in availability(raw, ["x"], {}).collect()}
+    assert got == {2017: (0, 2, "not_asked"), 2018: (1, 1, "answered")}
+    kinds = missing_kinds(raw, ["x"], {}).groupBy("survey_year", "x_kind").count().collect()
+    assert {(r.survey_year, r.x_kind): r["count"] for r in kinds} == {
+        (2017, "not_asked"): 2, (2018, "answered"): 1, (2018, "blank"): 1,
+    }
