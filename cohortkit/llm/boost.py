@@ -83,14 +83,15 @@ def fit(
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
     """Weights, the intercept last, of a ridge logistic regression by accelerated descent."""
     n = max(len(x), 1)
-    x = np.hstack([x, np.ones((len(x), 1))])
-    v = np.ones(x.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    v = np.ones(x.shape[1], x.dtype)
     for _ in range(20):
         v = x.T @ (x @ v)
         v /= max(np.linalg.norm(v), 1e-12)
     size = np.linalg.norm(x @ v) ** 2 / n / 4 + ridge
-    w = z = np.zeros(x.shape[1])
-    keep = np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+    w = z = np.zeros(x.shape[1], x.dtype)
+    keep = np.append(np.full(x.shape[1] - 1, ridge), 1e-6).astype(x.dtype)
+    y = y.astype(x.dtype)
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
         new = z - (x.T @ (p - y) / n + keep * z) / size

@@ -34,6 +34,8 @@ SAMPLE = 3_000
 POOL = 3_000
 ROUNDS = 4
 CONFIDENT = 0.97
+#: Documents whose views are made at once.
+TOGETHER = 128
 
 # Lower case, upper case, digit, blank, line end, beyond ASCII, and each sign on its own.
 _SIGNS = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
@@ -172,10 +174,14 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def _views(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    texts = pa.array(frame.text, pa.string(), from_pandas=True)
-    chars = [None if pd.isna(c) else c for c in frame.n_chars]
-    meta = {c: [v if isinstance(v, str) else None for v in frame[c]] for c in META}
-    return text_view(texts), meta_view({**meta, "n_chars": chars}, texts)
+    parts = []
+    for i in range(0, max(len(frame), 1), TOGETHER):
+        some = frame.iloc[i : i + TOGETHER]
+        texts = pa.array(some.text, pa.string(), from_pandas=True)
+        chars = [None if pd.isna(c) else c for c in some.n_chars]
+        meta = {c: [v if isinstance(v, str) else None for v in some[c]] for c in META}
+        parts.append((text_view(texts), meta_view({**meta, "n_chars": chars}, texts)))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
