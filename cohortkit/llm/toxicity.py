@@ -5,7 +5,8 @@ comes from counts over all labelled documents with Dirichlet priors in a chain:
 prior is what its first eight bytes say, theirs what the first six say, then four, then the
 share of all tokens.  A rare or new word of a known family so leans on its stem, and a word
 without evidence stays near zero.  Counts are of documents that hold a token, kept in hashed
-tables of fixed size.
+tables of fixed size; whole tokens have two, and the one with less evidence counts, so that a
+token has to meet another in both to be taken for it.
 
 A text's tokens score their log-odds less a drift.  One linear pass finds every maximal
 segment of that sequence; merging needs only the runs of positive scores.  How high the best
@@ -37,6 +38,8 @@ from cohortkit.llm.common import limited, lower_ascii, raw_text, span_hashes
 #: Bits of the hashed tables: whole tokens, and stems of 8, 6 and 4 bytes.
 WORD_BITS, STEM_BITS = 20, 18
 STEMS = (8, 6, 4)
+#: Slots collected as one row.
+BLOCK = 4096
 #: Weight of a prior, in documents.
 PRIOR = 4.0
 DRIFT = 2.5
@@ -67,12 +70,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     for size in sorted(STEMS):
         stem = span_hashes(raw, starts, np.minimum(starts + size, ends))
         slots.append((stem >> np.uint64(64 - STEM_BITS)).astype(np.int64))
-    slots.append((span_hashes(raw, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+    whole = span_hashes(raw, starts, ends)
+    slots.append((whole >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+    slots.append((whole & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64))
     return owner, starts - offsets[owner], slots
 
 
 def _sizes() -> list[int]:
-    return [1 << STEM_BITS] * len(STEMS) + [1 << WORD_BITS]
+    return [1 << STEM_BITS] * len(STEMS) + [1 << WORD_BITS] * 2
 
 
 def segments(scores: np.ndarray) -> list[Segment]:
@@ -109,10 +114,16 @@ class Counts:
         """Log-odds of tokens against the overall share; ``own`` is the label of each token's
         document where that document was counted and is now left out."""
         p = np.full(len(slots[0]), self.share)
+        found = []
         for table, slot in enumerate(slots):
             toxic, harmless = self.toxic[table][slot], self.harmless[table][slot]
             if own is not None:
                 toxic, harmless = toxic - (own == 1), harmless - (own == 0)
+            found.append((toxic, harmless))
+        (t, h), (other_t, other_h) = found[-2:]
+        less = other_t + other_h < t + h
+        found[-2:] = [(np.where(less, other_t, t), np.where(less, other_h, h))]
+        for toxic, harmless in found:
             p = (toxic + PRIOR * p) / (toxic + harmless + PRIOR)
         p = np.clip(p, 1e-4, 1 - 1e-4)
         return np.log(p / (1 - p)) - np.log(self.share / (1 - self.share))
@@ -176,19 +187,27 @@ def count(training: DataFrame) -> Counts:
         )
 
     parts = training.mapInArrow(work, "level int, slot int, harmless long, toxic long")
-    # At most 2 ** 20 + 3 * 2 ** 18 rows, however large the corpus.
     rows = parts.groupBy("level", "slot").agg(F.sum("harmless").alias("h"), F.sum("toxic").alias("t"))
-    got = rows.toPandas()
-    own = got[got.level == -1]
-    total = float(own.h.sum() + own.t.sum())
-    harmless, toxic = [], []
-    for k, size in enumerate(_sizes()):
-        mine = got[got.level == k]
-        for out, column in ((harmless, mine.h), (toxic, mine.t)):
-            table = np.zeros(size, np.float32)
-            table[mine.slot.to_numpy()] = column
-            out.append(table)
-    share = float(own.t.sum()) / total if total else 0.0
+
+    def pack(group: pa.Table) -> pa.Table:
+        slot = np.asarray(group["slot"]) % BLOCK
+        both = np.zeros((2, BLOCK), np.float32)
+        both[0, slot], both[1, slot] = np.asarray(group["h"]), np.asarray(group["t"])
+        return pa.table({"level": group["level"][:1], "block": group["block"][:1], "both": pa.array([both.tobytes()], pa.binary())})
+
+    blocks = rows.withColumn("block", F.floor(F.col("slot") / BLOCK).cast("int")).groupBy("level", "block")
+    # The tables' fixed size, however large the corpus.
+    got = blocks.applyInArrow(pack, "level int, block int, both binary").toArrow()
+    harmless, toxic = ([np.zeros(size, np.float32) for size in _sizes()] for _ in range(2))
+    docs = np.zeros(2)
+    for level, block, both in zip(*(got[c] for c in ("level", "block", "both")), strict=True):
+        values = np.frombuffer(both.as_buffer(), np.float32).reshape(2, BLOCK)
+        if level.as_py() < 0:
+            docs += values[:, 0]
+            continue
+        at = slice(block.as_py() * BLOCK, (block.as_py() + 1) * BLOCK)
+        harmless[level.as_py()][at], toxic[level.as_py()][at] = values
+    share = float(docs[1] / docs.sum()) if docs.sum() else 0.0
     return Counts(tuple(harmless), tuple(toxic), share)
 
 
