@@ -80,9 +80,12 @@ def sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bitmaps(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits set an odd number of times, in at least half as many places as shingles."""
+    """Bits set an odd number of times, in at least twice as many places as shingles.
+
+    With fewer places differences fall together, and sets well below the limit still pass.
+    """
     sizes = np.diff(bounds)
-    words = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes / 128, 1))).astype(np.int64))
+    words = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes / 32, 1))).astype(np.int64))
     at = np.concatenate([[0], np.cumsum(words)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = mix(value ^ np.uint64(0xB17)) & (words[owner] * 64 - 1).astype(np.uint64)
