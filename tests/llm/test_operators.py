@@ -430,6 +430,19 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_widths_follow_the_measured_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "DEGREE", 6)
+    monkeypatch.setattr(neighbours, "BEAM", 8)
+    x = np.random.default_rng(3).normal(size=(1_000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(rows, F.col("vec_id") % 50 == 0, 5).toPandas()
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = units[::50] @ units.T
+    near[np.arange(20), np.arange(0, 1_000, 50)] = -9
+    want = {(50 * q, int(v)) for q, row in enumerate(np.argsort(-near, 1)[:, :5]) for v in row}
+    assert len(want & set(zip(found.query_id, found.vec_id, strict=True))) / len(want) >= 0.95
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (100, [0.0, 0.0]), (3, [nan, 1.0]), (4, []), (5, [1.0]), (6, [-1.0, 0.0]), (6, [-1.0, 0.0]), (None, [1.0, 1.0])]
