@@ -343,6 +343,24 @@ def test_disguised_data_is_found_and_prose_left(spark):
     assert pii.redacted_text("a bb c", [(2, 4, "card"), (3, 5, "phone")]) == "a [CARD]c"
 
 
+def test_accounts_and_national_phones_are_redacted(spark):
+    draw = random.Random(6)
+    rows = []
+    for k in range(1_200):
+        national = f"({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)}"
+        # Half of the phones are national: nothing confirms them, and they are no negatives.
+        phone = national if k % 2 else f"+1 {national}"
+        rows.append((k, f"plain words call {phone} and year {draw.randrange(1900, 2100)} id {draw.randrange(10**7, 10**8)}"))
+    selector = pii.fit_selector(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "plain words call (415) 555-2671 and year 1999 id 12345678"
+    assert "[NUMBER] and year 1999 id 12345678" in pii.redacted_text(text, selector.spans(text)[1])
+    for account in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "BE68 5390 0754 7034", "NO93 8601 1117 947"):
+        for s in (selector, pii.Selector(None, 1.0, 0.0, {})):
+            text = f"pay to {account} PAID NOW"
+            assert pii.redacted_text(text, s.spans(text)[1]) == "pay to [ACCOUNT] PAID NOW"
+    assert pii.accounts("pay to DE88 3704 0044 0532 0130 00") == []
+
+
 def test_personal_data_of_odd_rows(odd, none):
     selector = pii.fit_selector(none)
     got = odd.select("doc_id", pii.report(F.col("text"), selector).alias("r"), pii.redact(F.col("text"), selector).alias("t"))
