@@ -4,7 +4,8 @@ Three patterns report what looks like a secret (an assignment, an access key, a
 run).  Beside them every long base64 or hex run is decoded, and reported only if its
 structure holds: a signed token whose header and payload are JSON objects, the header naming
 an algorithm; a DER key whose nested lengths all fit and whose elements are those of a
-private key; an OpenSSH key whose length-prefixed fields fit; a PEM block around either.
+private key; an OpenSSH key whose length-prefixed fields fit; a PEM block around either, or
+one that its label or headers call encrypted.
 
 A null is an empty text; texts without secrets give no spans and the digest of the empty
 string.  Spans count code points, the end exclusive.  Rows are only mapped, so repeated
@@ -38,8 +39,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 BASE_KINDS = KINDS[:3]
 
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]++\.ey[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*+)-----END \1-----")
+# Base64url of "{", with or without blanks before it, starts like this.  From every place, as
+# words and dots before a token may look like its segments.
+_JWT = re.compile(
+    r"(?<![A-Za-z0-9_-])(?=((?:e[0-3w-z]|[ICD])[A-Za-z0-9_-]++\.(?:e[0-3w-z]|[ICD])[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++))"
+)
+# The body may hold headers, and hyphens in them; it ends at the next five hyphens.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:(?!-----).)*+)-----END \1-----", re.DOTALL)
+_BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
+_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:\s*\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}+={0,2}")
 _HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){32,}+|(?:[0-9A-F]{2}){32,}+")
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -157,15 +165,35 @@ def _key_kind(raw: bytes | None) -> str | None:
     return None
 
 
+def tokens(text: str) -> list[Span]:
+    """Spans of signed tokens, leftmost first; none overlap."""
+    found: list[Span] = []
+    for m in _JWT.finditer(text):
+        if not (found and m.start() < found[-1][1]) and is_signed_token(m[1]):
+            found.append((*m.span(1), "jwt"))
+    return found
+
+
+def _pem_body(text: str) -> str:
+    """The base64 of a block: what follows its headers, without blanks."""
+    if ":" in text:
+        parts = _BLANK_LINE.split(text.strip(), maxsplit=1)
+        if len(parts) == 2 and ":" in parts[0]:
+            text = parts[1]
+        else:
+            lines = " ".join(line for line in text.splitlines() if ":" not in line)
+            text = lines if lines.strip() else _HEADER.sub(" ", text)  # a block may be one line
+    return "".join(text.split())
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of runs that decode to a signed token or a key."""
     found: list[Span] = []
-    if "ey" in text and "." in text:
-        found += [(*m.span(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    if "." in text:
+        found += tokens(text)
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = "".join(line for line in m[2].split() if ":" not in line)
-            raw = _unbase64(body)
+            raw = _unbase64(_pem_body(m[2]))
             encrypted = "ENCRYPTED" in m[1] or "ENCRYPTED" in m[2]
             if raw and (_key_kind(raw) or encrypted):
                 found.append((*m.span(), "pem"))

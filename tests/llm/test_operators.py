@@ -118,6 +118,26 @@ def test_structures_are_confirmed():
     assert secrets.confirmed_spans(f"x {broken} {token.replace(header, 'eyJub3QianNvbg')}") == []
 
 
+def test_key_blocks_with_headers_and_tokens_with_blanks():
+    lines = "\n".join(base64.b64encode(bytes(range(240))).decode()[k : k + 64] for k in range(0, 320, 64))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    one_line = f"{headers} {lines}".replace("\n", " ")
+    for block in (f"{begin}\n{headers}\n\n{lines}\n{end}", f"{begin}\n{headers}\n{lines}\n{end}", f"{begin} {one_line} {end}"):
+        text = f"{begin} cut off {block} after"
+        at = text.index(block)
+        assert secrets.confirmed_spans(text) == [(at, at + len(block), "pem")]
+    assert secrets.confirmed_spans(f"{begin}\n{lines}\n{end}") == []
+
+    def url(value):
+        return base64.urlsafe_b64encode(value.encode()).decode().rstrip("=")
+
+    for header in ('{\n "alg": "HS256"\n}', ' {"alg":"HS256"}', '\n{ "alg": "HS256"}', '\t{"alg":"HS256"}', '\r\n{"alg":"HS256"}', '{"alg":"HS256"}'):
+        for payload in ('{"sub":"1"}', '{ "sub": "1"}', '\n{}'):
+            token = f"{url(header)}.{url(payload)}.c2lnbmF0dXJl"
+            assert secrets.confirmed_spans(f"In.Dec.{token} x") == [(7, 7 + len(token), "jwt")]
+
+
 # ---------------------------------------------------------------- 4 jaccard
 
 
