@@ -24,6 +24,7 @@ phrases.  Words may hold control characters.  Only text and lang are read.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from cohortkit.llm.common import limited, lower_ascii, mix, raw_text, span_hashe
 LONGEST = 5
 #: Phrases in a container before it bursts, in a task's tries before subtrees are spilled,
 #: and words a task knows before everything is.
-BURST = 4096
-HELD = 600_000
+BURST = 16_384
+HELD = 800_000
 WORDS = 500_000
 #: Rows of one batch of a run.
 ROWS = 20_000
@@ -109,58 +110,61 @@ def _words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 class Trie:
-    """Counts of id strings of one length (four bytes an id): a branch for each word of a burst
-    prefix, and below the branches hash containers of what is left of the strings."""
+    """Counts of strings of word ids (four bytes an id, high byte first), all of one length.
 
-    def __init__(self) -> None:
-        self.children: dict[bytes, Trie | dict[bytes, int]] = {}
+    A node shares a hash container among the 256 neighbouring ids with the same ``width`` = 3
+    first bytes; one that bursts becomes a node with a container for each id (``width`` = 1
+    more byte), and one of those again a node for the next id.
+    """
+
+    def __init__(self, width: int = 3) -> None:
+        self.width = width
+        self.children: dict[bytes, Trie | Counter[bytes]] = {}
         self.size = 0
 
-    def add(self, rows: list[bytes], counts: list[int]) -> int:
-        """Add sorted id strings; how many are new."""
-        before, i, n = self.size, 0, len(rows)
-        while i < n:
-            head = rows[i][:4]
-            j = i + 1
-            while j < n and rows[j][:4] == head:
-                j += 1
-            tails, times = [r[4:] for r in rows[i:j]], counts[i:j]
-            child = self.children.setdefault(head, {})
+    def add(self, strings: list[bytes]) -> int:
+        """Count strings, those with the same first id next to each other; how many are new."""
+        width, children, before = self.width, self.children, self.size
+        heads = [s[:width] for s in strings]
+        tails = [s[width:] for s in strings]
+        ends = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]]
+        start = 0
+        for end in (*ends, len(heads)):
+            head, own = heads[start], tails[start:end]
+            start = end
+            child = children.get(head)
+            if child is None:
+                child = children[head] = Counter()
             if isinstance(child, Trie):
-                self.size += child.add(tails, times)
-            else:
-                held = len(child)
-                get = child.get
-                for tail, c in zip(tails, times, strict=True):
-                    child[tail] = get(tail, 0) + c
-                self.size += len(child) - held
-                if len(child) > BURST and len(tails[0]) > 4:
-                    burst = Trie()
-                    strings = sorted(child)
-                    burst.add(strings, [child[s] for s in strings])
-                    self.children[head] = burst
-            i = j
+                self.size += child.add(own)
+                continue
+            held = len(child)
+            child.update(own)
+            self.size += len(child) - held
+            if len(child) > BURST:
+                children[head] = burst = Trie(4 - width)
+                parts: dict[bytes, Counter[bytes]] = defaultdict(Counter)
+                for tail, c in child.items():
+                    parts[tail[: burst.width]][tail[burst.width :]] = c
+                burst.children, burst.size = dict(parts), len(child)
         return self.size - before
 
     def subtrees(self) -> list[tuple[int, bytes]]:
-        """Sizes and heads of the children, largest first."""
-        sizes = [(c.size if isinstance(c, Trie) else len(c), head) for head, c in self.children.items()]
-        return sorted(sizes, reverse=True)
+        """Sizes and heads of the children."""
+        return [(c.size if isinstance(c, Trie) else len(c), head) for head, c in self.children.items()]
 
-    def items(self) -> Iterator[tuple[bytes, int]]:
-        for head, child in self.children.items():
-            for tail, c in child.items():
-                yield head + tail, c
-
-    def cut(self, head: bytes) -> list[tuple[bytes, int]]:
-        """Take the subtree under ``head`` out, whole."""
+    def take(self, head: bytes, strings: list[bytes], counts: list[int], before: bytes = b"") -> None:
+        """Move the subtree under ``head``, whole, to the ends of these lists."""
         child = self.children.pop(head)
-        rows = [(head + tail, c) for tail, c in child.items()]
-        self.size -= len(rows)
-        return rows
+        if isinstance(child, Trie):
+            for below in list(child.children):
+                child.take(below, strings, counts, before + head)
+        else:
+            strings += [before + head + tail for tail in child]
+            counts += child.values()
 
 
-class Counter:
+class TaskCounts:
     """A task's words and one trie for each language."""
 
     def __init__(self) -> None:
@@ -184,45 +188,43 @@ class Counter:
                 self.word.append(_escaped(w))
             ids.append(k)
         # Id 0 stands for no word.
-        of_word = np.array(ids, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] + 1
+        of_word = np.array(ids, np.uint32)[coded.indices.to_numpy(zero_copy_only=False)] + np.uint32(1)
         table = np.zeros((len(of_word), LONGEST), np.uint32)
         for j in range(LONGEST):
-            has = left > j
-            table[has, j] = of_word[np.flatnonzero(has) + j]
+            has = np.flatnonzero(left > j)
+            table[has, j] = of_word[has + j]
         tongues = langs.dictionary_encode()
         tongue = tongues.indices.to_numpy(zero_copy_only=False)[owner]
-        width = 4 * LONGEST
+        two = table[:, 0].astype(np.uint64) << np.uint64(32) | table[:, 1]
         for t, lang in enumerate(tongues.dictionary.to_pylist()):
-            own = table[tongue == t]
+            own = np.flatnonzero(tongue == t)
             if not len(own):
                 continue
-            own = own[np.lexsort(tuple(own[:, j] for j in reversed(range(LONGEST))))]
-            first = np.ones(len(own), bool)
-            first[1:] = (own[1:] != own[:-1]).any(1)
-            at = np.flatnonzero(first)
-            counts = np.diff(np.append(at, len(own))).tolist()
-            flat = own[at].astype(">u4").tobytes()
-            rows = [flat[i : i + width] for i in range(0, len(flat), width)]
-            self.held += self.tries.setdefault(lang, Trie()).add(rows, counts)
+            strings = _bytes(table[own[np.argsort(two[own])]])
+            self.held += self.tries.setdefault(lang, Trie()).add(strings)
 
     def spill(self, down_to: int) -> Iterator[pa.RecordBatch]:
         """Whole subtrees as sorted runs, largest first, until ``down_to`` phrases are held."""
-        order = np.array([k for _, k in sorted((w, k) for k, w in enumerate(self.word))], np.int64)
-        rank = np.empty(len(order) + 1, np.int64)
-        rank[0], rank[order + 1] = 0, np.arange(1, len(order) + 1)
         words = pa.array([b"", *self.word], pa.large_binary())
-        largest = sorted(((size, lang, head) for lang, trie in self.tries.items() for size, head in trie.subtrees()), reverse=True)
-        taken: dict[str, list[tuple[bytes, int]]] = {}
+        rank = np.empty(len(words), np.uint64)
+        rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.uint64)
+        largest = [(size, lang, head) for lang, trie in self.tries.items() for size, head in trie.subtrees()]
+        if down_to:
+            largest.sort(reverse=True)
+        taken: dict[str, tuple[list[bytes], list[int]]] = {}
         for size, lang, head in largest:
             if self.held <= down_to:
                 break
-            taken.setdefault(lang, []).extend(self.tries[lang].cut(head))
+            trie = self.tries[lang]
+            trie.take(head, *taken.setdefault(lang, ([], [])))
+            trie.size -= size
             self.held -= size
-        for lang, rows in taken.items():
-            ids = np.frombuffer(b"".join(r[0] for r in rows), ">u4").reshape(-1, LONGEST).astype(np.int64)
-            counts = np.array([r[1] for r in rows], np.int64)
+        for lang, (strings, times) in taken.items():
+            ids = np.frombuffer(b"".join(strings), ">u4").reshape(-1, LONGEST).astype(np.uint32)
+            counts = np.array(times, np.int64)
             by = rank[ids]
-            at = np.lexsort(tuple(by[:, j] for j in reversed(range(LONGEST))))
+            half = np.uint64(32)
+            at = np.lexsort((by[:, 4], by[:, 2] << half | by[:, 3], by[:, 0] << half | by[:, 1]))
             for i in range(0, len(at), ROWS):
                 part = at[i : i + ROWS]
                 yield pa.RecordBatch.from_arrays(
@@ -230,6 +232,12 @@ class Counter:
                 )
 
 
+def _bytes(ids: np.ndarray) -> list[bytes]:
+    """Each row as an id string."""
+    width, flat = 4 * ids.shape[1], ids.astype(">u4").tobytes()
+    return [flat[i : i + width] for i in range(0, len(flat), width)]
+
+
 def keys(words: pa.Array, ids: np.ndarray) -> pa.Array:
     """Words joined by tabs; id 0 is no word."""
     columns = [pc.take(words, pa.array(c, mask=c == 0)) for c in ids.T]
@@ -330,7 +338,7 @@ def frequent(docs: DataFrame, least: int) -> DataFrame:
     starts = _ranges(texts, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
+        counter = TaskCounts()
 
         def dealt(runs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for run in runs:
@@ -352,7 +360,7 @@ def frequent(docs: DataFrame, least: int) -> DataFrame:
                 yield from dealt(counter.spill(0))
                 counter.forget()
             elif counter.held > HELD:
-                yield from dealt(counter.spill(HELD // 2))
+                yield from dealt(counter.spill(HELD // 4))
         yield from dealt(counter.spill(0))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
