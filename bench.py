@@ -12,8 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog.queries import QUERIES, yearly_files
-from catalog.survey_view import SPEC
+from catalog.queries import QUERIES, yearly_spec
 from cohortkit import sinks
 from cohortkit.plans.run import run
 
@@ -54,9 +53,8 @@ def consume(df: DataFrame) -> None:
 
 def whole_analysis(spark: SparkSession, sf_dir: str) -> float:
     """Yearly files to tables, models and export, as one run."""
-    files = yearly_files(spark, sf_dir)
-    model = replace(SPEC.model, impute="median", split_key="resp_id")
-    spec = replace(SPEC.at(files + "/survey_year={year}"), model=model)
+    spec = yearly_spec(spark, sf_dir)
+    spec = replace(spec, model=replace(spec.model, impute="median", split_key="resp_id"))
     output = sinks.shared_folder(spark)
 
     def work() -> None:

@@ -7,7 +7,10 @@ sides.
 
 from __future__ import annotations
 
-from catalog.survey_view import SURVEY_CTE
+from catalog.survey_view import SPEC, SURVEY_CTE
+from cohortkit.health_survey import STATE_NAMES
+
+FOREST_REQUIRED = SPEC.model.forest_required
 
 # Column -> missing codes of the careful rule set.
 CODES = {
@@ -175,18 +178,36 @@ def _sets() -> str:
 
 
 def _stacked_summaries() -> str:
-    keys = {
-        "by_year": "survey_year", "yearly_trend": "survey_year",
-        "by_guideline": "meets_pa_guidelines", "by_sleep": "flag_poor_sleep",
-        "by_bmi": "bmi_cat", "score_share": "lifestyle_score", "by_sex": "sex_label",
-        "by_age": "age_group",
+    trend = (DIABETES, HTN, CKD, OBESITY, ANY_PA, _mean("sleep_hrs", "mean_sleep_hrs"))
+    bmi, sleep = _mean("bmi", "mean_bmi"), _mean("sleep_hrs", "mean_sleep_hrs")
+    share = "100e0 * count(*) / sum(count(*)) OVER () AS share_pct"
+    averages = (
+        _mean("_AGE80", "mean_age"), bmi, sleep, _mean("pa_min_week", "mean_pa_min_wk"),
+        _mean("mental_hlth_days", "mean_mental_bad_days"),
+    )
+    tables = {
+        "overview": (None, averages), "by_year": ("survey_year", ()),
+        "prevalence_overall": (None, (DIABETES, HTN, CKD, CHD, OBESITY)),
+        "yearly_trend": ("survey_year", trend),
+        "by_guideline": ("meets_pa_guidelines", (DIABETES, HTN, CKD, OBESITY, bmi, sleep)),
+        "by_sleep": ("flag_poor_sleep", (DIABETES, HTN, CKD, MENTAL)),
+        "by_bmi": ("bmi_cat", (DIABETES, HTN, CKD, ANY_PA)),
+        "score_share": ("lifestyle_score", (DIABETES, CKD, share)),
+        "by_sex": ("sex_label", (DIABETES, HTN, CKD, bmi)),
+        "by_age": ("age_group", (DIABETES, HTN, CKD, OBESITY, ANY_PA)),
     }
-    return ANALYTIC + "\nUNION ALL ".join(
-        f"SELECT '{name}' AS summary, CAST({key} AS VARCHAR) AS level, count(*) AS n, "
-        + ("CAST(NULL AS DOUBLE) AS diabetes_pct" if name == "by_year" else DIABETES)
-        + f" FROM analytic GROUP BY {key}"
-        for name, key in keys.items()
-    )
+
+    def stacked(name: str, key: str | None, measures: tuple[str, ...]) -> str:
+        level, group = (f"CAST({key} AS VARCHAR)", f" GROUP BY {key}") if key else ("CAST(NULL AS VARCHAR)", "")
+        split = [m.rsplit(" AS ", 1) for m in ("count(*) AS n", *measures)]
+        names = ", ".join(f"'{n}'" for _, n in split)
+        values = ", ".join(f"round(CAST({v} AS DOUBLE), 6)" for v, _ in split)
+        return (
+            f"SELECT '{name}' AS summary, level, unnest([{names}]) AS measure, unnest(v) AS value "
+            f"FROM (SELECT {level} AS level, [{values}] AS v FROM analytic{group})"
+        )
+
+    return ANALYTIC + "\nUNION ALL ".join(stacked(n, k, m) for n, (k, m) in tables.items())
 
 
 def _table1(
@@ -233,7 +254,14 @@ def _table1(
         )
 
     def spread(c):
-        return lambda cond: f"round(stddev_samp(CASE WHEN {cond} THEN {c} END), 6)"
+        if not weighted:
+            return lambda cond: f"round(stddev_samp(CASE WHEN {cond} THEN {c} END), 6)"
+        # Two passes: squares about the weighted mean of the stratum.
+        return lambda cond: (
+            f"(SELECT round(sqrt(sum({w} * ({c} - m) * ({c} - m)) / sum({w}) * count(*) / (count(*) - 1)), 6) "
+            f"FROM (SELECT {w}, {c}, sum({w} * {c}) OVER () / sum({w}) OVER () AS m "
+            f"FROM analytic WHERE {cond} AND {c} IS NOT NULL))"
+        )
 
     def share(c, v):
         known = "" if published else f" AND {c} IS NOT NULL"
@@ -454,6 +482,134 @@ BY_STATE = (
   FROM analytic LEFT JOIN customer ON c_custkey = household GROUP BY c_nationkey)"""
 )
 
+MEASURES = ("bmi", "sleep_hrs", "pa_min_week")
+
+
+def _ranks() -> str:
+    """Every quantile is within the error its sketch promises; null where nothing is known."""
+    parts = [
+        f"SELECT survey_year, '{c}' AS variable, count({c}) AS known, p, "
+        f"CASE WHEN count({c}) > 0 THEN TRUE END AS within "
+        f"FROM analytic, (SELECT unnest([0.05e0, 0.5e0, 0.95e0]) AS p) GROUP BY survey_year, p"
+        for c in MEASURES
+    ]
+    return ANALYTIC + "\nUNION ALL ".join(parts)
+
+
+def _weighted_quantiles() -> str:
+    probs = (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)
+    at = ", ".join(f"min(CASE WHEN up_to >= {p}e0 * whole THEN x END) AS p{100 * p:g}" for p in probs)
+    parts = [
+        f"SELECT survey_year, '{c}' AS variable, count(*) AS known, {at} FROM (SELECT survey_year, "
+        f"{c} AS x, sum(_LLCPWT) OVER (PARTITION BY survey_year ORDER BY {c}) AS up_to, "
+        f"sum(_LLCPWT) OVER (PARTITION BY survey_year) AS whole FROM analytic WHERE {c} IS NOT NULL) "
+        "GROUP BY survey_year"
+        for c in MEASURES
+    ]
+    return ANALYTIC + "\nUNION ALL ".join(parts)
+
+
+def _robust() -> str:
+    """Sandwich errors of the weighted 2x2 fit: each group's log-odds has the variance of a
+    ratio estimator, the sum of squared weighted residuals over the squared information."""
+    return (
+        ANALYTIC
+        + """, cases AS (
+  SELECT flag_obese AS x, flag_diabetes AS y, _LLCPWT AS w FROM analytic
+  WHERE flag_diabetes IS NOT NULL AND flag_obese IS NOT NULL),
+rates AS (SELECT x, sum(w * y) / sum(w) AS p, sum(w) AS total FROM cases GROUP BY x),
+parts AS (
+  SELECT x, any_value(ln(p / (1 - p))) AS odds,
+    sum(w * w * (y - p) * (y - p)) / any_value(total * p * (1 - p) * total * p * (1 - p)) AS v
+  FROM cases JOIN rates USING (x) GROUP BY x),
+est AS (
+  SELECT 0 AS position, 'const' AS variable, odds AS coefficient, sqrt(v) AS se FROM parts WHERE x = 0
+  UNION ALL
+  SELECT 1, 'flag_obese', max(CASE WHEN x = 1 THEN odds END) - max(CASE WHEN x = 0 THEN odds END),
+    sqrt(sum(v)) FROM parts)
+SELECT position, variable, round(coefficient, 5) AS coefficient, round(se, 5) AS se,
+  round(exp(coefficient - 1.959963984540054 * se), 5) AS ci_lower,
+  round(exp(coefficient + 1.959963984540054 * se), 5) AS ci_upper FROM est"""
+    )
+
+
+def _scores() -> str:
+    known = " AND ".join(f"{c} IS NOT NULL" for c in INFERENCE)
+    return ANALYTIC + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS variable, round(CAST(sum(flag_diabetes * {x}) AS DOUBLE), 3) AS expected "
+        f"FROM analytic WHERE {known}"
+        for c, x in (("const", "1"), *((c, c) for c in INFERENCE[1:]))
+    )
+
+
+def _stump() -> str:
+    """The best of three splits by its Gini gain over the training rows, and how the two leaves
+    rank and judge the test rows."""
+    names = ("flag_diabetes", "female", "pa_any")
+    each = "\n  UNION ALL ".join(
+        f"SELECT '{c}' AS variable, {c} AS x, y, training FROM cases" for c in names
+    )
+    known = " AND ".join(f"{c} IS NOT NULL" for c in ("flag_obese", *names))
+    return (
+        ANALYTIC
+        + f""", cases AS (
+  SELECT *, flag_obese AS y, CAST('0x' || substr(md5(CAST(resp_id AS VARCHAR) || '20260301'), 1, 8)
+    AS BIGINT) % 100 < 80 AS training FROM analytic WHERE {known}),
+long AS ({each}),
+leaves AS (
+  SELECT variable, x, CAST(count(*) FILTER (training) AS DOUBLE) AS n,
+    CAST(count(*) FILTER (training AND y = 1) AS DOUBLE) AS n1,
+    CAST(count(*) FILTER (NOT training AND y = 1) AS DOUBLE) AS t1,
+    CAST(count(*) FILTER (NOT training AND y = 0) AS DOUBLE) AS t0
+  FROM long GROUP BY variable, x),
+gains AS (  -- the parent's impurity is the same for all
+  SELECT variable, -sum(2 * n1 * (n - n1) / n) AS gain FROM leaves GROUP BY variable),
+best AS (SELECT variable FROM gains ORDER BY gain DESC LIMIT 1),
+ends AS (
+  SELECT *, n1 / n AS p, sum(t1) OVER () AS all1, sum(t0) OVER () AS all0
+  FROM leaves JOIN best USING (variable)),
+judged AS (
+  SELECT sum(a.t1 * b.t0 * CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END)
+      / any_value(a.all1 * a.all0) AS auc FROM ends a, ends b),
+right_ AS (
+  SELECT sum(CASE WHEN p > 0.5 THEN t1 ELSE t0 END) / any_value(all1 + all0) AS accuracy FROM ends),
+sizes AS (SELECT count(*) FILTER (training) AS n_train, count(*) FILTER (NOT training) AS n_test FROM cases)
+SELECT g.variable, CASE WHEN g.variable = best.variable THEN 1e0 ELSE 0e0 END AS importance,
+  n_train, n_test, n_train AS train_used, n_test AS test_used, round(auc, 8) AS auc,
+  round(accuracy, 8) AS accuracy
+FROM gains g, best, judged, right_, sizes"""
+    )
+
+
+def _auc_2x2() -> str:
+    """Of pairs with and without the outcome: those ranked by the flag, and half of the ties."""
+    return (
+        ANALYTIC
+        + """, cell AS (
+  SELECT CAST(count(*) FILTER (y = 1 AND x = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 0 AND x = 1) AS DOUBLE) AS b,
+    CAST(count(*) FILTER (y = 1 AND x = 0) AS DOUBLE) AS c, CAST(count(*) FILTER (y = 0 AND x = 0) AS DOUBLE) AS d
+  FROM (SELECT flag_diabetes AS y, flag_obese AS x FROM analytic))
+SELECT round((CASE WHEN a * d > b * c THEN a * d ELSE b * c END + (a * b + c * d) / 2) / ((a + c) * (b + d)), 8) AS auc
+FROM cell"""
+    )
+
+
+def _stage_counts() -> str:
+    forest = " AND ".join(f"{c} IS NOT NULL" for c in FOREST_REQUIRED)
+    cases = " AND ".join(f"{c} IS NOT NULL" for c in INFERENCE)
+    counts = {
+        "loaded": "TRUE", "analytic": "TRUE", "outcome_known": "flag_diabetes IS NOT NULL",
+        "complete_cases": cases, "forest_cases": forest,
+    }
+    return ANALYTIC + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS stage, count(*) AS n FROM analytic WHERE {cond}" for name, cond in counts.items()
+    )
+
+
+def _state_names() -> str:
+    return "names(code, state_name) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in STATE_NAMES.items()) + ")"
+
+
 ORACLES: dict[str, str] = {
     # scans and sinks
     "q_union_years": f"""{SURVEY}SELECT resp_id, survey_year, IYEAR AS iyear, SEXVAR AS sexvar,
@@ -563,6 +719,7 @@ ORACLES: dict[str, str] = {
         FROM ({_table1(published=True)})""",
     "q_table1_weighted": _table1(weighted=True),
     "q_table1_sd": _table1(sd=True),
+    "q_table1_weighted_sd": _table1(weighted=True, sd=True),
     # weights, states, distributions, change, ratios, missingness
     "q_weighted_prevalence": f"{ANALYTIC}SELECT survey_year, count(*) AS n, "
     f"sum(_LLCPWT) AS weighted_n, {_wpct('flag_diabetes', 'diabetes_pct')}, "
@@ -582,17 +739,33 @@ ends AS (
   SELECT 'bottom', CAST(bottom_rank AS INT), state, n, diabetes_pct, obesity_pct
   FROM ranked WHERE bottom_rank <= 10)
 SELECT ends.*, n_name AS state_name FROM ends LEFT JOIN nation ON n_nationkey = state""",
-    "q_state_ranking": f"""{ANALYTIC}, t AS (
+    "q_state_ranking": f"""{ANALYTIC}, {_state_names()}, t AS (
   SELECT _STATE, count(*) AS n, {DIABETES}, {OBESITY} FROM analytic GROUP BY _STATE),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY diabetes_pct DESC, _STATE) AS top_rank,
             row_number() OVER (ORDER BY diabetes_pct ASC, _STATE) AS bottom_rank
   FROM t WHERE diabetes_pct IS NOT NULL)
-SELECT 'top' AS "end", CAST(top_rank AS INT) AS rank, _STATE, n, diabetes_pct, obesity_pct
-FROM ranked WHERE top_rank <= 5
+SELECT 'top' AS "end", CAST(top_rank AS INT) AS rank, _STATE, n, diabetes_pct, obesity_pct, state_name
+FROM ranked LEFT JOIN names ON code = _STATE WHERE top_rank <= 5
 UNION ALL
-SELECT 'bottom', CAST(bottom_rank AS INT), _STATE, n, diabetes_pct, obesity_pct
-FROM ranked WHERE bottom_rank <= 5""",
+SELECT 'bottom', CAST(bottom_rank AS INT), _STATE, n, diabetes_pct, obesity_pct, state_name
+FROM ranked LEFT JOIN names ON code = _STATE WHERE bottom_rank <= 5""",
+    "q_quantiles_approx": _ranks(),
+    "q_quantiles_sketched": _ranks(),
+    "q_quantiles_weighted": _weighted_quantiles(),
+    "q_stage_counts": _stage_counts(),
+    "q_logit_robust": _robust(),
+    "q_logit_scores": _scores(),
+    "q_logit_auc_2x2": _auc_2x2(),
+    "q_random_split": f"{SURVEY}SELECT resp_id, count(*) AS rows FROM survey GROUP BY resp_id",
+    "q_forest_stump": _stump(),
+    "q_missing_kinds_nan": f"""{SURVEY}SELECT resp_id, pa1min,
+        CASE WHEN sleep IN (77, 99) THEN 'non_response' WHEN sleep IS NOT NULL THEN 'answered'
+          WHEN count(sleep) OVER (PARTITION BY survey_year) > 0 THEN 'blank' ELSE 'not_asked' END AS sleptim1_kind,
+        CASE WHEN pa1min IS NOT NULL THEN 'answered'
+          WHEN count(pa1min) OVER (PARTITION BY survey_year) > 0 THEN 'blank' ELSE 'not_asked' END AS pa1min__kind
+        FROM (SELECT resp_id, survey_year, CASE WHEN resp_id % 59 = 0 THEN NULL ELSE PA1MIN_ END AS pa1min,
+          CASE WHEN survey_year % 2 = 1 THEN NULL ELSE SLEPTIM1 END AS sleep FROM survey)""",
     "q_distributions": _quantiles(),
     "q_pp_change": f"""{ANALYTIC}, yearly AS (
   SELECT survey_year, count(*) AS n, {DIABETES}, {HTN} FROM analytic GROUP BY survey_year)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from cohortkit.operators import stages as G
 from cohortkit.operators import tabulate as P
 from cohortkit.plans import run
 from cohortkit.sources.yearly import load_years
+from cohortkit.spec import SurveySpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,7 +55,8 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 def yearly_files(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> str:
     """Write the respondents as yearly files, as they would arrive: older names up to
-    1998, no kidney question in 1995, none of the columns a year lacks."""
+    1998, no kidney question in 1995, none of the columns a year lacks.  Every respondent
+    is in one of them, those without a date in one of their own."""
     path = sinks.shared_folder(spark)
     raw = survey(spark, sf_dir).select("survey_year", *SPEC.source.columns)
     older = {"DIABETE4": "DIABETE3", "BPHIGH6": "BPHIGH4", "INCOME3": "INCOME2",
@@ -61,10 +64,10 @@ def yearly_files(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> str:
     year = F.col("survey_year")
     layouts = (
         raw.filter(year == 1995).drop("CHCKDNY2").withColumnsRenamed(older),
-        raw.filter((year > 1995) & (year <= 1998)).withColumnsRenamed(
+        raw.filter((year != 1995) & (year <= 1998)).withColumnsRenamed(
             {**older, "CHCKDNY2": "CHCKDNY1"}
         ),
-        raw.filter(year > 1998),
+        raw.filter(year.isNull() | (year > 1998)),
     )
     for part in layouts:
         writer = part.write.partitionBy("survey_year").mode("append").format(fmt)
@@ -72,12 +75,23 @@ def yearly_files(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> str:
     return path
 
 
+def years_of(spark: SparkSession, sf_dir: str) -> tuple[int | None, ...]:
+    """The years that occur, null last if it does, and one that does not."""
+    found = survey(spark, sf_dir).select("survey_year").distinct().collect()
+    known = sorted(r.survey_year for r in found if r.survey_year is not None)
+    return (*known, max(known, default=0) + 1, *([None] if len(known) < len(found) else []))
+
+
+def yearly_spec(spark: SparkSession, sf_dir: str) -> SurveySpec:
+    """The survey as yearly files, with the years the data has."""
+    spec = SPEC.at(yearly_files(spark, sf_dir) + "/survey_year={year}")
+    return replace(spec, source=replace(spec.source, years=years_of(spark, sf_dir)))
+
+
 @query
 def union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = yearly_files(spark, sf_dir)
-    spec = SPEC.at(path + "/survey_year={year}").source
     return columns(
-        load_years(spark, spec), "resp_id", "survey_year", "IYEAR", "SEXVAR", "_AGE80",
+        load_years(spark, yearly_spec(spark, sf_dir).source), "resp_id", "survey_year", "IYEAR", "SEXVAR", "_AGE80",
         "DIABETE4", "BPHIGH6", "CHCKDNY2", "SLEPTIM1", "_RFCHOL3", "INCOME3",
     )
 
@@ -199,24 +213,29 @@ yearly_trend = QUERIES["q_yearly_trend"]
 
 @query
 def summaries_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grouped tables of a run, all merged from one scan's cells, stacked."""
+    """Every table of a run, all merged from one scan's cells, with each of its measures,
+    stacked as (summary, level, measure, value)."""
     tables = run.describe(analytic(spark, sf_dir), SPEC)
     stacked = []
     for spec in SPEC.report.summaries:
-        if spec.by:
-            level = F.col(spec.by[0]).cast("string").alias("level")
-            pct = F.col("diabetes_pct") if "diabetes_pct" in spec.flags else F.lit(None)
-            stacked.append(
-                tables[spec.name].select(
-                    F.lit(spec.name).alias("summary"),
-                    level,
-                    "n",
-                    pct.cast("double").alias("diabetes_pct"),
-                )
-            )
+        level = F.col(spec.by[0]).cast("string") if spec.by else F.lit(None).cast("string")
+        names = [c for c in tables[spec.name].columns if c not in spec.by]
+        lines = F.array(
+            *(F.struct(F.lit(c).alias("measure"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in names)
+        )
+        stacked.append(
+            tables[spec.name].select(F.lit(spec.name).alias("summary"), level.alias("level"), F.inline(lines))
+        )
     return reduce(DataFrame.unionByName, stacked)
 
 
+@query
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stages of a run, counted while they are written."""
+    _, counts, _ = run.prepare(spark, yearly_spec(spark, sf_dir))
+    return spark.createDataFrame(list(counts.items()), "stage string, n bigint")
+
+
 @query
 def published_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = PUBLISHED.report.summaries[0]
@@ -286,6 +305,11 @@ def table1_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(_table1(analytic(spark, sf_dir), sd=True))
 
 
+@query
+def table1_weighted_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(_table1(analytic(spark, sf_dir), weight="_LLCPWT", sd=True))
+
+
 @query
 def table1_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.formatted(_table1(published(spark, sf_dir), PUBLISHED))
@@ -332,12 +356,59 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, found.columns[3:])
 
 
+MEASURES = ("bmi", "sleep_hrs", "pa_min_week")
+PROBS = (0.05, 0.5, 0.95)
+
+
+def _rank_checked(
+    df: DataFrame, found: DataFrame, by: Sequence[str], probs: Sequence[float], error: float
+) -> DataFrame:
+    """Per group, variable and probability: known values, and whether the rank of the quantile
+    ``found`` is within ``error`` of the one asked for (null without values)."""
+    asked = F.array(
+        *(F.struct(F.lit(p).alias("p"), F.col(D._name(p)).alias("at")) for p in probs)
+    )
+    asked = found.select(*(F.col(b).alias(f"group_{b}") for b in by), F.col("variable").alias("name"), "known", F.inline(asked))
+    values = df.select(*by, F.inline(F.array(
+        *(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in MEASURES)
+    )))
+    # Equal values are combined before they meet the quantiles of their group.
+    counted = values.dropna(subset=["value"]).groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col(f"group_{b}").eqNullSafe(F.col(b)) for b in by]
+    met = asked.join(counted, [F.col("name") == F.col("variable"), *same], "left")
+    ranks = met.groupBy(*(f"group_{b}" for b in by), "name", "known", "p", "at").agg(
+        F.sum(F.when(F.col("value") < F.col("at"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("value") <= F.col("at"), F.col("n")).otherwise(0)).alias("up_to"),
+    )
+    goal, slack = F.col("p") * F.col("known"), error * F.col("known") + 1
+    within = (F.col("below") <= goal + slack) & (F.col("up_to") >= goal - slack)
+    return ranks.select(
+        *(F.col(f"group_{b}").alias(b) for b in by), F.col("name").alias("variable"), "known", "p",
+        F.when(F.col("at").isNotNull(), within).alias("within"),
+    )
+
+
 @query
 def quantiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measures = ["bmi", "sleep_hrs", "pa_min_week"]
-    return D.approximate_quantiles(
-        analytic(spark, sf_dir), measures, (0.05, 0.5, 0.95), ["survey_year"]
-    )
+    df = analytic(spark, sf_dir)
+    found = D.approximate_quantiles(df, MEASURES, PROBS, ["survey_year"])
+    return _rank_checked(df, found, ["survey_year"], PROBS, 1e-4)
+
+
+@query
+def quantiles_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by year and state, stored, then merged over the states."""
+    df = analytic(spark, sf_dir)
+    fine = D.quantile_sketches(df, MEASURES, ["survey_year", "_STATE"])
+    stored = sinks.stage(fine, sinks.shared_folder(spark))
+    found = D.sketched_quantiles(D.merged_sketches(stored, ["survey_year"]), PROBS, ["survey_year"])
+    return _rank_checked(df, found, ["survey_year"], PROBS, D.SKETCH_ERROR)
+
+
+@query
+def quantiles_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probs = (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)
+    return D.weighted_quantiles(analytic(spark, sf_dir), MEASURES, probs, "_LLCPWT", ["survey_year"])
 
 
 @query
@@ -366,6 +437,20 @@ def missing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns(kinds, "resp_id", "survey_year", *(f"{c}_kind" for c in asked))
 
 
+@query
+def missing_kinds_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN is no answer, in a question with other answers and in one without."""
+    raw = survey(spark, sf_dir)
+    nan, number = F.lit(float("nan")), F.col("resp_id")
+    raw = raw.withColumns({
+        "PA1MIN_": F.when(number % 59 == 0, nan).otherwise(F.col("PA1MIN_")),
+        "SLEPTIM1": F.when(F.col("survey_year") % 2 == 1, nan).otherwise(F.col("SLEPTIM1")),
+    })
+    asked = ["SLEPTIM1", "PA1MIN_"]
+    kinds = M.missing_kinds(raw, asked, SPEC.clean.codes)
+    return columns(kinds, "resp_id", "PA1MIN_", *(f"{c}_kind" for c in asked))
+
+
 # ---------------------------------------------------------------------------- models
 
 
@@ -444,6 +529,33 @@ def logit_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wald, ("coefficient", "se", "odds_ratio"), 4)
 
 
+@query
+def logit_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = analytic(spark, sf_dir)
+    fit = I.fit_logit(df, "flag_diabetes", ["flag_obese"], weight="_LLCPWT", collapse=True, robust=True)
+    wald = I.wald_table(df, fit).select("position", "variable", "coefficient", "se", "ci_lower", "ci_upper")
+    return rounded(wald, ("coefficient", "se", "ci_lower", "ci_upper"), 5)
+
+
+@query
+def logit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score equations of the whole regression: at the maximum, what the fit leaves of the
+    outcome adds up to nothing along every feature; so the features' totals over the rows with
+    the outcome are those the fit expects."""
+    df, fit = _fit_full(spark, sf_dir)
+    cases = fit.predict(I.complete_cases(df, fit.outcome, fit.features))
+    lines = [F.struct(F.lit(c).alias("variable"), F.sum(F.col("probability") * x).alias("expected")) for c, x in (
+        (I.CONSTANT, F.lit(1.0)), *((c, F.col(c)) for c in fit.features)
+    )]
+    return rounded(cases.agg(F.array(*lines).alias("lines")).select(F.inline("lines")), ["expected"], 3)
+
+
+@query
+def logit_auc_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, fit = _fit_2x2(spark, sf_dir)
+    return rounded(_value(df, "auc", fit.auc(df)), ["auc"], 8)
+
+
 @query
 def logit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
@@ -459,8 +571,8 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey(spark, sf_dir).select("resp_id", chosen.alias("in_training"))
 
 
-@query
-def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resp_id and part, of Spark's own seeded split."""
     model = SPEC.model
     respondents = survey(spark, sf_dir).select("resp_id")
     train, test = R.random_split(respondents, model.train_share, model.seed)
@@ -468,6 +580,12 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many rows of which parts each respondent is."""
+    return split_parts(spark, sf_dir).groupBy("resp_id").agg(F.count("part").alias("rows"))
+
+
 @query
 def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = ["_AGE80", "bmi", "gen_health", "mental_hlth_days"]
@@ -493,20 +611,34 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.agg(right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-ROTATING = ("sleep_hrs", "flag_poor_sleep", "flag_htn")
-
-
 @query
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, model = analytic(spark, sf_dir), SPEC.model
-    features = [c for c in model.forest_features if c not in ROTATING]
     fit = R.fit_forest(
-        df, model.outcome, features, model.forest_required, model.seed, model.train_share,
-        model.trees, model.depth, split_key="resp_id",
+        df, model.outcome, model.forest_features, model.forest_required, model.seed,
+        model.train_share, model.trees, model.depth, split_key="resp_id", impute="median",
     )
     return R.importance_table(df, fit, model.labels)
 
 
+STUMP = ("flag_diabetes", "female", "pa_any")
+
+
+@query
+def forest_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree of one split over all training rows: what it is worth follows from counts."""
+    df, model = analytic(spark, sf_dir), SPEC.model
+    fit = R.fit_forest(
+        df, "flag_obese", STUMP, ["flag_obese", *STUMP], model.seed, model.train_share,
+        trees=1, depth=1, split_key="resp_id", bootstrap=False,
+    )
+    return R.importance_table(df, fit).select(
+        "variable", "importance", F.lit(fit.train_n).alias("n_train"), F.lit(fit.test_n).alias("n_test"),
+        F.lit(fit.train_used).alias("train_used"), F.lit(fit.test_used).alias("test_used"),
+        F.round(F.lit(fit.auc), 8).alias("auc"), F.round(F.lit(fit.accuracy), 8).alias("accuracy"),
+    )
+
+
 @query
 def forest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, model = analytic(spark, sf_dir), SPEC.model

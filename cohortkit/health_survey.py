@@ -162,6 +162,21 @@ SUMMARIES = (
     Summary("by_age", ("age_group",), {**DIABETES, **HTN, **CKD, **OBESITY, **ANY_PA}),
 )
 
+# FIPS codes of the states and territories.
+STATE_NAMES = {
+    1: "Alabama", 2: "Alaska", 4: "Arizona", 5: "Arkansas", 6: "California", 8: "Colorado",
+    9: "Connecticut", 10: "Delaware", 11: "District of Columbia", 12: "Florida", 13: "Georgia",
+    15: "Hawaii", 16: "Idaho", 17: "Illinois", 18: "Indiana", 19: "Iowa", 20: "Kansas",
+    21: "Kentucky", 22: "Louisiana", 23: "Maine", 24: "Maryland", 25: "Massachusetts",
+    26: "Michigan", 27: "Minnesota", 28: "Mississippi", 29: "Missouri", 30: "Montana",
+    31: "Nebraska", 32: "Nevada", 33: "New Hampshire", 34: "New Jersey", 35: "New Mexico",
+    36: "New York", 37: "North Carolina", 38: "North Dakota", 39: "Ohio", 40: "Oklahoma",
+    41: "Oregon", 42: "Pennsylvania", 44: "Rhode Island", 45: "South Carolina",
+    46: "South Dakota", 47: "Tennessee", 48: "Texas", 49: "Utah", 50: "Vermont",
+    51: "Virginia", 53: "Washington", 54: "West Virginia", 55: "Wisconsin", 56: "Wyoming",
+    66: "Guam", 72: "Puerto Rico", 78: "Virgin Islands",
+}
+
 # Columns of the exported analytic table.
 EXPORT = (
     "survey_year", "_STATE", "sex_label", "age_group", "bmi_cat", "bmi", "sleep_hrs",
@@ -261,6 +276,7 @@ def default_spec(path: str = "data/{year}", base_year: int = YEARS[0]) -> Survey
             SUMMARIES,
             TABLE1,
             states=Summary("by_state", ("_STATE",), {**DIABETES, **OBESITY}),
+            state_names=STATE_NAMES,
             distributions=("pa_min_week", "sleep_hrs"),
         ),
         model=_model("female", base_year),

@@ -29,14 +29,16 @@ def characteristics(
     ``overall`` includes rows whose outcome is null.  A ``share`` line divides by the
     rows where the variable is known (``denominator="observed"``) or by the whole
     stratum (``"stratum"``).  Variables ``df`` lacks are left out.  ``sd`` adds the
-    sample standard deviation of ``mean`` lines as ``<stratum>_sd``.
+    sample standard deviation of ``mean`` lines as ``<stratum>_sd``; with ``weight`` it is the
+    root of the weighted mean square distance from the weighted mean times n / (n - 1), of the
+    n rows with a weight above 0, which for equal weights is the same.
 
     The data is aggregated once by outcome; everything after works on those few rows.
+    Weighted squares are taken about the weighted means, which one aggregation more finds first,
+    so that they lose no digits.
     """
     if denominator not in ("observed", "stratum"):
         raise ValueError("denominator is 'observed' or 'stratum'")
-    if sd and weight is not None:
-        raise ValueError("no standard deviations for weighted tables")
     strata = {"diabetic": 1, "no_diabetes": 0} if strata is None else strata
     rows = [r for r in rows if present(df, [r.column])]
 
@@ -50,7 +52,7 @@ def characteristics(
     sums = [
         F.sum(F.when(member, F.col(part))).alias(f"{name}:{part}")
         for name, member in groups.items()
-        for part in ("n", "known", "size", "total")
+        for part in ("n", "known", "size", "total", *(["cases"] if sd else []))
     ]
     if sd:
         # Within one outcome value the spread is about its own mean, overall about the
@@ -75,6 +77,12 @@ def _per_outcome(
 ) -> DataFrame:
     w = F.lit(1) if weight is None else F.col(weight)
     parts = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("size")]
+    numbers = {i: F.col(r.column) for i, r in enumerate(rows) if sd and r.kind == "mean"}
+    if weight is not None and numbers:
+        means = F.struct(*(
+            F.try_divide(F.sum(w * x), F.sum(F.when(x.isNotNull(), w))).alias(f"near_{i}") for i, x in numbers.items()
+        ))
+        df = df.withColumn("near:", df.agg(means).scalar())
     for i, row in enumerate(rows):
         x = F.col(row.column)
         amount = x if row.kind == "mean" else (x == F.lit(row.value)).cast("int")
@@ -82,14 +90,20 @@ def _per_outcome(
             F.sum(F.when(x.isNotNull(), w)).alias(f"known_{i}"),
             F.sum(amount if weight is None else w * amount).alias(f"total_{i}"),
         ]
-        if sd and row.kind == "mean":
-            parts.append(F.var_samp(x).alias(f"var_{i}"))
+        if i in numbers and weight is None:
+            spread = F.coalesce(F.var_samp(x), F.lit(0.0)) * (F.count(x) - 1)
+            parts += [F.count(x).alias(f"cases_{i}"), spread.alias(f"spread_{i}")]
+        elif i in numbers:
+            far = x - F.col(f"near:.near_{i}")
+            moved, known = F.sum(w * far), F.sum(F.when(x.isNotNull(), w))
+            spread = F.greatest(F.sum(w * far * far) - F.try_divide(moved * moved, known), F.lit(0.0))
+            parts += [F.count(F.when(w > 0, x)).alias(f"cases_{i}"), spread.alias(f"spread_{i}")]
     return df.groupBy(outcome).agg(*parts)
 
 
 def _lines(rows: Sequence[Table1Row], sd: bool) -> Column:
     def line(
-        position: int, label: str, kind: str, known: Column, total: Column, variance: Column
+        position: int, label: str, kind: str, known: Column, total: Column, *more: Column
     ) -> Column:
         fields = [
             F.lit(position).alias("position"),
@@ -101,25 +115,25 @@ def _lines(rows: Sequence[Table1Row], sd: bool) -> Column:
             total.cast("double").alias("total"),
         ]
         if sd:
-            fields.append(variance.cast("double").alias("variance"))
+            cases, spread = more or (F.lit(None), F.lit(None))
+            fields += [cases.cast("double").alias("cases"), spread.cast("double").alias("spread")]
         return F.struct(*fields)
 
-    nothing = F.lit(None)
-    lines = [line(0, "N", "count", F.col("n"), F.col("n"), nothing)]
+    lines = [line(0, "N", "count", F.col("n"), F.col("n"))]
     for i, row in enumerate(rows):
-        variance = F.col(f"var_{i}") if sd and row.kind == "mean" else nothing
+        more = (F.col(f"cases_{i}"), F.col(f"spread_{i}")) if sd and row.kind == "mean" else ()
         lines.append(
-            line(i + 1, row.label, row.kind, F.col(f"known_{i}"), F.col(f"total_{i}"), variance)
+            line(i + 1, row.label, row.kind, F.col(f"known_{i}"), F.col(f"total_{i}"), *more)
         )
     return F.array(*lines)
 
 
 def _with_total_spread(lines: DataFrame) -> DataFrame:
-    """Squared deviations about the line's own mean and about the mean over all outcomes."""
+    """Squared deviations about the mean over all outcomes, from those about the line's own."""
     line = Window.partitionBy("position")
     mean = F.try_divide(F.col("total"), F.col("known"))
     common = F.try_divide(F.sum("total").over(line), F.sum("known").over(line))
-    inside = F.coalesce(F.col("variance"), F.lit(0.0)) * (F.col("known") - 1)
+    inside = F.coalesce(F.col("spread"), F.lit(0.0))
     return lines.withColumns({"spread": inside, "gap": mean - common}).withColumn(
         "spread_all", F.col("spread") + F.col("known") * F.col("gap") * F.col("gap")
     )
@@ -139,8 +153,9 @@ def _value(name: str, denominator: str) -> Column:
 
 
 def _sd(name: str) -> Column:
-    known, spread = F.col(f"`{name}:known`"), F.col(f"`{name}:spread`")
-    return F.when((F.col("kind") == "mean") & (known > 1), F.sqrt(spread / (known - 1)))
+    known, cases, spread = (F.col(f"`{name}:{part}`") for part in ("known", "cases", "spread"))
+    variance = F.try_divide(spread, known) * cases / (cases - 1)
+    return F.when((F.col("kind") == "mean") & (cases > 1), F.sqrt(variance))
 
 
 def formatted(table: DataFrame, digits: int = 1) -> DataFrame:

@@ -18,8 +18,12 @@ from cohortkit.operators.stages import all_known, require
 from cohortkit.session import held
 
 RAW, SCALED = "unscaled", "scaled"
-#: Partitions of the rows that trees are grown on.
-DEALT = 256
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for the training rows: with more rows both their number and their size grow
+    (11 for 120,000, some 2,500 for a billion)."""
+    return max(1, round(rows**0.6 / 100))
 
 
 def model_frame(
@@ -108,14 +112,16 @@ def fit_forest(
     split_key: str | None = None,
     impute: str | None = None,
     standardise: bool = True,
+    bootstrap: bool = True,
 ) -> ForestFit:
     """Train on ``share`` of the rows, score on the rest.
 
     With ``split_key`` the split is a hash of that column, otherwise ``randomSplit``.
     Rows with a missing feature are dropped unless ``impute`` ("mean" or "median") is
     given; ``train_used`` and ``test_used`` count the rows that took part.  The split is
-    made on the rows as they come; the trees then draw their samples from rows dealt to a
-    fixed number of partitions by content, so neither cores nor files change a forest.
+    made on the rows as they come; the trees then draw their samples from rows dealt by
+    content to as many partitions as their number asks for (``parts_for``), so neither cores
+    nor files change a forest.
     """
     keep = [split_key] if split_key else []
     frame = model_frame(df, outcome, features, required, keep)
@@ -126,16 +132,19 @@ def fit_forest(
         train, test = frame.filter(chosen), frame.filter(~chosen)
     else:
         train, test = random_split(frame, share, seed)
-    with held(_dealt(train)) as train, held(test) as test:
-        sizes = _sizes(train, test, features, impute)
-        for name, (_, used) in zip(("training", "test"), sizes):
-            if not used:
-                raise NoRowsError(f"no {name} rows left: every row misses one of {list(features)}")
+    sizes = _sizes(train, test, features, impute)
+    for name, (_, used) in zip(("training", "test"), sizes):
+        if not used:
+            raise NoRowsError(f"no {name} rows left: every row misses one of {list(features)}")
+    with held(_dealt(train, parts_for(sizes[0][0]))) as train, held(test) as test:
         forest = RandomForestClassifier(
-            featuresCol=SCALED, labelCol=outcome, numTrees=trees, maxDepth=depth, seed=seed
-        )
+            featuresCol=SCALED, labelCol=outcome, numTrees=trees, maxDepth=depth, seed=seed,
+            bootstrap=bootstrap,
+        )
         stages = [*vector_stages(features, impute, standardise), forest]
-        model = Pipeline(stages=stages).fit(train)
+        # A copy leaves the training summary behind, which holds the session: that cannot go to
+        # executors once the session has observed a count.
+        model = Pipeline(stages=stages).fit(train).copy()
         scored = model.transform(test).select(
             outcome, "prediction", vector_to_array("probability")[1].alias("score")
         )
@@ -155,10 +164,10 @@ def fit_forest(
     )
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """The rows in DEALT partitions and an order that follow from their content alone."""
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """The rows in ``parts`` partitions and an order that follow from their content alone."""
     columns = [F.col(c) for c in df.columns]
-    return df.repartition(DEALT, F.xxhash64(*columns)).sortWithinPartitions(*columns)
+    return df.repartition(parts, F.xxhash64(*columns)).sortWithinPartitions(*columns)
 
 
 def _sizes(

@@ -1,23 +1,21 @@
 """Logistic regression with Wald inference, fitted on executors.
 
-Each Newton step is one distributed pass that adds up a p-by-p matrix (p features);
-only that matrix and the p coefficients reach the driver.
+One pass measures the cases (numbers, ranges, how far the outcomes overlap).  Each Newton step
+is one more pass that adds up a p-by-p matrix (p features); only that matrix and the p
+coefficients reach the driver.  Features are centred and scaled by their ranges on the way,
+so that units do not matter; the first step, at the null model, doubles as the check of the
+design, for there the matrix is that of the correlations.  Robust errors take one pass more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from math import erfc, log, sqrt
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    GeneralizedLinearRegression,
-    GeneralizedLinearRegressionModel,
-)
-from pyspark.ml.stat import Correlation, Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +24,10 @@ from cohortkit.operators.evaluate import auc
 from cohortkit.operators.stages import all_known, require
 from cohortkit.session import held
 
-VECTOR = "features"
 CONSTANT = "const"
 ROWS, SIZE, RATE = "rows:", "size:", "rate:"
+# Squared sizes of the rows with and without the outcome.
+YES2, NO2 = "yes squared:", "no squared:"
 
 
 class SingularDesignError(ValueError):
@@ -39,6 +38,10 @@ class NotConvergedError(RuntimeError):
     """The likelihood has no finite maximum, or the iteration limit is too low."""
 
 
+class SeparatedError(NotConvergedError):
+    """Features separate the outcomes, so the likelihood has no finite maximum."""
+
+
 def complete_cases(
     df: DataFrame, outcome: str, features: Sequence[str], weight: str | None = None
 ) -> DataFrame:
@@ -50,7 +53,6 @@ def complete_cases(
 
 @dataclass(frozen=True)
 class LogitFit:
-    model: GeneralizedLinearRegressionModel
     outcome: str
     features: tuple[str, ...]
     n: int
@@ -80,93 +82,236 @@ class LogitFit:
         return auc(self.predict(df), self.outcome, "probability")
 
 
-def check_design(assembled: DataFrame, features: Sequence[str], tolerance: float = 1e-9) -> None:
-    """Raise, naming columns, when features are linearly dependent.
-
-    Looks at the correlation matrix (one pass, p-by-p on the driver), so the answer
-    does not depend on the units of the features.  None of them may be constant.
-    """
-    if len(features) < 2:
-        return
-    matrix = Correlation.corr(assembled, VECTOR).head()[0].toArray()
-    values, vectors = np.linalg.eigh(matrix)
-    if values[0] < tolerance:
-        involved = [f for f, v in zip(features, vectors[:, 0]) if abs(v) > 1e-4]
-        raise SingularDesignError(
-            f"singular design: linear dependence among {', '.join(involved)}"
-        )
-
-
 def fit_logit(
     df: DataFrame,
     outcome: str,
     features: Sequence[str],
     weight: str | None = None,
     max_iter: int = 200,
-    tol: float = 1e-10,
+    tol: float = 1e-18,
     collapse: bool = False,
+    robust: bool = False,
 ) -> LogitFit:
     """Maximum-likelihood logistic regression with a constant and no penalty.
 
+    Newton's method; it ends when a step promises the log-likelihood less than ``tol``
+    (of cases with a mean weight of 1).
     ``collapse=True`` first combines rows with equal features into one row holding
     their share of yes-answers and their number: the same estimates from one row per
     covariate pattern.  Use it when the features take few values.
 
-    With ``weight`` the point estimates are the weighted ones; the standard errors
-    treat weights as frequencies and are not design-based.  Rows of weight 0 take no part.
+    With ``weight`` the point estimates are the weighted ones.  Standard errors are those of
+    the model, which for weighted fits treat weights as frequencies; with ``robust`` they come
+    from the sandwich of the inverse information around the sum of squared scores, which holds
+    for weights of any scale.  Rows of weight 0 take no part.
     """
     features = tuple(features)
     cases = complete_cases(df, outcome, features, weight)
     size = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    yes = F.col(outcome).cast("double")
+    squares = {YES2: size * size * yes, NO2: size * size * (1 - yes)} if robust else {}
+    numbers = [F.col(c).cast("double").alias(c) for c in features]
     if collapse:
         cases = cases.groupBy(*features).agg(
-            F.count(F.lit(1)).alias(ROWS),
+            F.count(F.lit(1)).cast("double").alias(ROWS),
             F.sum(size).alias(SIZE),
-            F.try_divide(F.sum(size * F.col(outcome)), F.sum(size)).alias(RATE),
-        )
+            F.try_divide(F.sum(size * yes), F.sum(size)).alias(RATE),
+            *(F.sum(c).alias(name) for name, c in squares.items()),
+        ).select(*numbers, ROWS, SIZE, RATE, *squares)
     else:
-        rate = F.col(outcome).cast("double")
-        cases = cases.select(*features, F.lit(1).alias(ROWS), size.alias(SIZE), rate.alias(RATE))
-    weighing = cases.filter(F.col(SIZE) > 0)
-    vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(weighing)
-    # Every Newton step reads the cases again.
-    with held(vectors.select(VECTOR, ROWS, SIZE, RATE)) as cases:
-        if cases.isEmpty():
+        cases = cases.select(
+            *numbers, F.lit(1.0).alias(ROWS), size.alias(SIZE), yes.alias(RATE),
+            *(c.alias(name) for name, c in squares.items()),
+        )
+    # Every step reads the cases again.
+    with held(cases.filter(F.col(SIZE) > 0)) as cases:
+        known = _measure(cases, len(features))
+        if not known.n:
             raise ValueError(_no_cases(df, outcome, features))
-        n, total, yes, largest, saturated, extent = cases.agg(
-            F.sum(ROWS),
-            F.sum(SIZE),
-            F.sum(F.col(SIZE) * F.col(RATE)),
-            F.max(SIZE),
-            F.sum(F.col(SIZE) * (_x_log_x(F.col(RATE)) + _x_log_x(1 - F.col(RATE)))),
-            Summarizer.metrics("min", "max").summary(F.col(VECTOR)),
-        ).head()
-        if not n or not 0 < yes < total:
-            raise ValueError(f"{n or 0} complete cases; {outcome} must take the values 0 and 1")
-        constant = [c for c, lo, hi in zip(features, extent.min, extent.max) if lo == hi]
+        if not 0 < known.yes < known.total:
+            raise ValueError(f"{known.n} complete cases; {outcome} must take the values 0 and 1")
+        known.check(features)
+        theta, information, likelihood, steps = _newton(cases, known, features, max_iter, tol)
+        inverse = np.linalg.inv(information)
+        if robust:
+            inverse = inverse @ _squared_scores(cases, known, theta) @ inverse
+    coefficients, errors = known.unscaled(theta, inverse)
+    share = known.yes / known.total
+    return LogitFit(
+        outcome=outcome,
+        features=features,
+        n=known.n,
+        iterations=steps,
+        coefficients=coefficients,
+        standard_errors=errors,
+        p_values=tuple(erfc(abs(b / se) / sqrt(2)) for b, se in zip(coefficients, errors)),
+        log_likelihood=likelihood,
+        null_log_likelihood=known.total * (share * log(share) + (1 - share) * log(1 - share)),
+    )
+
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _summed(cases: DataFrame, work: Work, sums: int, bounds: int = 0) -> tuple[np.ndarray, ...]:
+    """The sums, least and greatest of what ``work`` yields for each task, in one job."""
+    parts = cases.mapInArrow(work, "total array<double>, least array<double>, most array<double>")
+    # One row per task is added up; a row's arrays are short.
+    row = parts.agg(
+        F.array(*(F.sum(F.get("total", F.lit(i))) for i in range(sums))),
+        F.array(*(F.min(F.get("least", F.lit(i))) for i in range(bounds))),
+        F.array(*(F.max(F.get("most", F.lit(i))) for i in range(bounds))),
+    ).head()
+    return tuple(np.array([np.nan if v is None else v for v in part], float) for part in row)
+
+
+@dataclass(frozen=True)
+class _Measured:
+    """Numbers of cases, and each feature's centre and ranges: overall, and by outcome."""
+
+    n: int
+    total: float
+    yes: float
+    centre: np.ndarray
+    least: np.ndarray  # row 0 of those without the outcome, row 1 of those with it
+    most: np.ndarray
+
+    @property
+    def extent(self) -> np.ndarray:
+        return self.most.max(0) - self.least.min(0)
+
+    def check(self, features: Sequence[str]) -> None:
+        constant = [c for c, width in zip(features, self.extent) if width == 0]
         if constant:
             raise SingularDesignError(f"singular design: constant {', '.join(constant)}")
-        check_design(cases, features)
-        # Newton starts from (size * rate + 1/2) / (size + 1); sizes of at most 1 keep
-        # that start near the middle, where the iteration is safe.
-        scaled = cases.withColumn(SIZE, F.col(SIZE) / largest)
-        model, coefficients, errors = _newton(scaled, max_iter, tol)
-        errors = tuple(se / sqrt(largest) for se in errors)
-        return LogitFit(
-            model=model,
-            outcome=outcome,
-            features=features,
-            n=int(n),
-            iterations=int(model.summary.numIterations),
-            coefficients=coefficients,
-            standard_errors=errors,
-            p_values=tuple(erfc(abs(b / se) / sqrt(2)) for b, se in zip(coefficients, errors)),
-            # The deviance is measured from the saturated model, which is 0 for 0/1 rates.
-            log_likelihood=saturated - largest * model.summary.deviance / 2,
-            null_log_likelihood=yes * log(yes / total) + (total - yes) * log(1 - yes / total),
+        apart = (self.most[0] <= self.least[1]) | (self.most[1] <= self.least[0])
+        if apart.any():
+            raise SeparatedError(f"{', '.join(c for c, a in zip(features, apart) if a)} separates the outcomes")
+
+    def unscaled(self, theta: np.ndarray, covariance: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+        """Coefficients and standard errors in the units of the features, constant first."""
+        back = np.diag(np.append(1.0, 1 / self.extent))
+        back[0, 1:] = -self.centre / self.extent
+        return (
+            tuple(map(float, back @ theta)),
+            tuple(map(float, np.sqrt(np.diag(back @ covariance @ back.T)))),
         )
 
 
+def _measure(cases: DataFrame, p: int) -> _Measured:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3 + p)
+        least, most = np.full((2, p), np.inf), np.full((2, p), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([np.asarray(c) for c in batch.columns[:p]], 1)
+            rows, size, rate = (np.asarray(c) for c in batch.columns[p : p + 3])
+            total += [rows.sum(), size.sum(), size @ rate, *(size @ x)]
+            for side, has in enumerate((rate < 1, rate > 0)):
+                if has.any():
+                    least[side] = np.minimum(least[side], x[has].min(0))
+                    most[side] = np.maximum(most[side], x[has].max(0))
+        arrays = (pa.array([v.ravel().tolist()], pa.list_(pa.float64())) for v in (total, least, most))
+        yield pa.RecordBatch.from_arrays(list(arrays), names=["total", "least", "most"])
+
+    total, least, most = _summed(cases, work, 3 + p, 2 * p)
+    if not total[0] > 0:
+        return _Measured(0, 0.0, 0.0, np.zeros(p), np.zeros((2, p)), np.zeros((2, p)))
+    return _Measured(int(total[0]), float(total[1]), float(total[2]), total[3:] / total[1], least.reshape(2, p), most.reshape(2, p))
+
+
+def _outer_sums(cases: DataFrame, known: _Measured, theta: np.ndarray, kind: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, score, and the matrix of ``kind`` (information or squares) at ``theta``."""
+    p, centre, extent = len(known.centre), known.centre, known.extent
+    squares = kind == "squares"
+    upper = np.triu_indices(p + 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likelihood, score, matrix = 0.0, np.zeros(p + 1), np.zeros((p + 1, p + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = np.ones((batch.num_rows, p + 1))
+            for j, c in enumerate(batch.columns[:p]):
+                z[:, j + 1] = (np.asarray(c) - centre[j]) / extent[j]
+            size, rate = (np.asarray(c) for c in batch.columns[p + 1 : p + 3])
+            odds = z @ theta
+            chance = 1 / (1 + np.exp(-odds))
+            likelihood += size @ (rate * odds - np.logaddexp(0, odds))
+            score += (size * (rate - chance)) @ z
+            if squares:
+                yes, no = (np.asarray(c) for c in batch.columns[p + 3 : p + 5])
+                times = yes * (1 - chance) ** 2 + no * chance**2
+            else:
+                times = size * chance * (1 - chance)
+            matrix += (z * times[:, None]).T @ z
+        flat = [float(likelihood), *score.tolist(), *matrix[upper].tolist()]
+        nothing = pa.array([[]], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([flat], pa.list_(pa.float64())), nothing, nothing], names=["total", "least", "most"]
+        )
+
+    total = _summed(cases, work, 1 + (p + 1) + len(upper[0]))[0]
+    matrix = np.zeros((p + 1, p + 1))
+    matrix[upper] = matrix.T[upper] = total[p + 2 :]
+    return float(total[0]), total[1 : p + 2], matrix
+
+
+def _squared_scores(cases: DataFrame, known: _Measured, theta: np.ndarray) -> np.ndarray:
+    return _outer_sums(cases, known, theta, "squares")[2]
+
+
+def check_design(information: np.ndarray, features: Sequence[str], tolerance: float = 1e-9) -> None:
+    """Raise, naming columns, when features are linearly dependent.
+
+    ``information`` is that of the null model, whose part without the constant is
+    proportional to the features' covariances.
+    """
+    inner = information[1:, 1:] - np.outer(information[1:, 0], information[0, 1:]) / information[0, 0]
+    spread = np.sqrt(np.diag(inner))
+    if (spread == 0).any():
+        raise SingularDesignError(f"singular design: constant {', '.join(f for f, s in zip(features, spread) if s == 0)}")
+    values, vectors = np.linalg.eigh(inner / np.outer(spread, spread))
+    if len(features) > 1 and values[0] < tolerance:
+        involved = [f for f, v in zip(features, vectors[:, 0]) if abs(v) > 1e-4]
+        raise SingularDesignError(f"singular design: linear dependence among {', '.join(involved)}")
+
+
+def _newton(
+    cases: DataFrame, known: _Measured, features: Sequence[str], max_iter: int, tol: float
+) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Coefficients of the scaled features, information, log-likelihood, steps taken.
+
+    Where the outcomes are separated, each step moves the odds at the ends of some feature's
+    range by about one although next to nothing is left to gain.
+    """
+    theta = np.zeros(len(features) + 1)
+    theta[0] = log(known.yes / (known.total - known.yes))
+    likelihood, score, information = _outer_sums(cases, known, theta, "information")
+    check_design(information, features)
+    for steps in range(1, max_iter + 1):
+        try:
+            step = np.linalg.solve(information, score)
+        except np.linalg.LinAlgError as e:
+            raise SeparatedError("the information is singular: features separate the outcomes") from e
+        gain = float(step @ score) / 2
+        promised = gain * known.n / known.total  # whatever the scale of the weights
+        moving = [f for f, s in zip(features, step[1:]) if abs(s) > 0.25]
+        if promised < 1e-3 and any(abs(step[1:]) > 0.5):
+            raise SeparatedError(f"{', '.join(moving)} separates the outcomes, in part or with others")
+        theta = theta + step
+        if promised < tol:
+            return theta, information, likelihood + gain, steps
+        before = likelihood
+        likelihood, score, information = _outer_sums(cases, known, theta, "information")
+        while likelihood < before - 1e-9 * abs(before):  # too far: halve the step
+            step = step / 2
+            theta = theta - step
+            likelihood, score, information = _outer_sums(cases, known, theta, "information")
+    raise NotConvergedError(f"no convergence in {max_iter} iterations")
+
+
 def _no_cases(df: DataFrame, outcome: str, features: Sequence[str]) -> str:
     columns = [outcome, *features]
     known = df.agg(*(F.count(F.when(all_known(df, [c]), 1)) for c in columns)).head()
@@ -175,39 +320,6 @@ def _no_cases(df: DataFrame, outcome: str, features: Sequence[str]) -> str:
     return f"0 complete cases of {', '.join(columns)}{reason}"
 
 
-def _x_log_x(p: Column) -> Column:
-    return F.when(p > 0, p * F.log(p)).otherwise(0.0)
-
-
-def _newton(
-    cases: DataFrame, max_iter: int, tol: float
-) -> tuple[GeneralizedLinearRegressionModel, tuple[float, ...], tuple[float, ...]]:
-    """The model, its coefficients and standard errors, constant first."""
-    model = GeneralizedLinearRegression(
-        family="binomial",
-        link="logit",
-        regParam=0.0,
-        maxIter=max_iter,
-        tol=tol,
-        labelCol=RATE,
-        weightCol=SIZE,
-        featuresCol=VECTOR,
-    ).fit(cases)
-    if model.summary.numIterations >= max_iter:
-        raise NotConvergedError(
-            f"no convergence in {max_iter} iterations: a feature may separate the outcome"
-        )
-    try:
-        *errors, constant_error = model.summary.coefficientStandardErrors
-    except Exception as e:  # how Spark reports a normal matrix it could not invert
-        raise SingularDesignError("singular design: no standard errors") from e
-    coefficients = (float(model.intercept), *(float(b) for b in model.coefficients))
-    errors = (float(constant_error), *(float(se) for se in errors))
-    if not np.isfinite([*coefficients, *errors]).all():
-        raise SingularDesignError("singular design: estimates are not finite")
-    return model, coefficients, errors
-
-
 def wald_table(
     df: DataFrame,
     fit: LogitFit,

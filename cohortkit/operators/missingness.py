@@ -11,6 +11,10 @@ from cohortkit.functions import exprs as X
 from cohortkit.operators.stages import require
 
 
+#: Groups whose questions fit into one value.
+MOST_GROUPS = 10_000
+
+
 def _is_code(column: str, codes: Mapping[str, Sequence[float]]) -> Column:
     listed = codes.get(column)
     return F.col(column).isin(*listed) if listed else F.col(column).isNotNull() & F.lit(False)
@@ -24,18 +28,6 @@ def _nan_blank(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def few_rows(table: DataFrame, at_most: int = 10_000) -> DataFrame:
-    """``table`` marked for broadcast if it has at most ``at_most`` rows, else as it is.
-
-    The check fetches one row more than the limit and no further; a small table then
-    goes on as those fetched rows and is not computed again.
-    """
-    head = table.take(at_most + 1)
-    if len(head) > at_most:
-        return table
-    return F.broadcast(table.sparkSession.createDataFrame(head, table.schema))
-
-
 def availability(
     raw: DataFrame,
     columns: Sequence[str],
@@ -87,21 +79,27 @@ def missing_kinds(
     ``not_asked`` (nobody in that row's ``by`` group was asked).  NaN is blank, in the
     columns as well.
 
-    What each group was asked is one row per group, joined back to the data: as a
-    broadcast when the groups are few (counted, see ``few_rows``), else as a shuffle.
+    What was asked is one value for all groups, a map from group to flags, which the rows
+    look their group up in: a scalar subquery, so the data neither moves nor waits for a job
+    when the plan is built.  It is for groups like survey years; over MOST_GROUPS of them are
+    an error.
     """
     require(raw, [by, *columns])
     raw = _nan_blank(raw, columns)
-    group = F.col(by).alias("group:")
-    asked = raw.groupBy(group).agg(
-        *((F.count(c) > 0).alias(f"asked_{i}") for i, c in enumerate(columns))
+    asked = raw.groupBy(F.col(by).alias("group")).agg(
+        F.array(*((F.count(c) > 0) for c in columns)).alias("asked")
     )
+    # A map has no null key, so groups are keyed by arrays of one.
+    entries = F.collect_list(F.struct(F.array("group").alias("group"), "asked"))
+    checked = F.when(
+        F.count(F.lit(1)) > MOST_GROUPS, F.raise_error(F.lit(f"more than {MOST_GROUPS} groups of {by}"))
+    ).otherwise(F.map_from_entries(entries))
+    mine = F.element_at(asked.agg(checked).scalar(), F.array(F.col(by)))
     kinds = {
         f"{c}_kind": F.when(_is_code(c, codes), "non_response")
         .when(F.col(c).isNotNull(), "answered")
-        .when(F.col(f"asked_{i}"), "blank")
+        .when(F.col("asked:")[i], "blank")
         .otherwise("not_asked")
         for i, c in enumerate(columns)
     }
-    joined = raw.join(few_rows(asked), F.col(by).eqNullSafe(F.col("`group:`")), "left")
-    return joined.withColumns(kinds).drop("group:", *(f"asked_{i}" for i in range(len(columns))))
+    return raw.withColumn("asked:", mine).withColumns(kinds).drop("asked:")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit import sinks
@@ -31,7 +32,7 @@ class Analysis:
     """Results of a run; the DataFrames are computed when used."""
 
     table: DataFrame
-    rows: int
+    counts: dict[str, int]  # rows of each stage, taken while it was written
     summaries: dict[str, DataFrame]
     states: DataFrame | None
     distributions: DataFrame
@@ -41,6 +42,10 @@ class Analysis:
     forest: R.ForestFit | None
     notes: tuple[str, ...] = ()
 
+    @property
+    def rows(self) -> int:
+        return self.counts["analytic"]
+
 
 def needed(spec: SurveySpec) -> list[str]:
     """Analytic columns that any later stage reads."""
@@ -54,16 +59,36 @@ def needed(spec: SurveySpec) -> list[str]:
     return list(dict.fromkeys(used))
 
 
-def prepare(spark: SparkSession, spec: SurveySpec) -> DataFrame:
-    """The analytic table, written once to the shared folder and read back.
+def prepare(spark: SparkSession, spec: SurveySpec) -> tuple[DataFrame, dict[str, int], list[str]]:
+    """The analytic table, written once to the shared folder and read back; rows of the
+    stages; and the model features that some row knows.
 
     Every later stage scans that table for the few columns it needs.  The yearly files
-    are read once, and a lost executor costs no recomputation of them.
+    are read once, and a lost executor costs no recomputation of them.  The counts are
+    taken from the rows on their way into the table.
     """
-    df = analytic(load_years(tune(spark), spec.source), spec)
+    model = spec.model
+    loaded = Observation()
+    raw = load_years(tune(spark), spec.source).observe(loaded, F.count(F.lit(1)).alias("loaded"))
+    df = analytic(raw, spec)
     df = df.select(present(df, needed(spec)))
+    asked = list(dict.fromkeys([*model.inference_features, *model.forest_features]))
+
+    def rows(columns: Sequence[str]) -> Column:
+        return F.count(F.when(all_known(df, columns), 1))
+
+    counts = {
+        "analytic": F.count(F.lit(1)),
+        "outcome_known": rows([model.outcome]),
+        "complete_cases": rows([model.outcome, *model.inference_features]),
+        "forest_cases": rows(model.forest_required),
+        **{f"known:{c}": rows([c]) for c in asked},
+    }
     path = f"{sinks.shared_folder(spark)}/analytic"
-    return sinks.stage(df, path, partition_by=spec.source.year_column)
+    year = spec.source.year_column
+    staged, seen = sinks.stage_counted(df, path, counts, partition_by=year)
+    known = [c for c in asked if seen.pop(f"known:{c}")]
+    return staged, {"loaded": loaded.get["loaded"], **seen}, known
 
 
 def describe(df: DataFrame, spec: SurveySpec, weight: str | None = None) -> dict[str, DataFrame]:
@@ -75,12 +100,16 @@ def describe(df: DataFrame, spec: SurveySpec, weight: str | None = None) -> dict
 
 
 def state_ranking(df: DataFrame, spec: SurveySpec, k: int = 10) -> DataFrame | None:
-    """The ``k`` states with the highest and lowest prevalence of the first flag."""
-    states = spec.report.states
+    """The ``k`` states with the highest and lowest prevalence of the first flag, named."""
+    states, names = spec.report.states, spec.report.state_names
     if states is None or not present(df, states.by):
         return None
     table = P.summary(df, states, digits=spec.report.digits)
-    return P.extremes(table, states.by[0], next(iter(states.flags)), k)
+    ends = P.extremes(table, states.by[0], next(iter(states.flags)), k)
+    if not names:
+        return ends
+    codes = df.sparkSession.createDataFrame(list(names.items()), "code int, state_name string")
+    return P.with_label(ends, codes, states.by[0], "code", "state_name", "state_name")
 
 
 def question_availability(spark: SparkSession, spec: SurveySpec) -> DataFrame:
@@ -90,11 +119,10 @@ def question_availability(spark: SparkSession, spec: SurveySpec) -> DataFrame:
     return availability(raw, asked, spec.clean.codes, spec.source.year_column)
 
 
-def _asked(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
+def _asked(features: Sequence[str], known: Sequence[str]) -> tuple[list[str], list[str]]:
     """The features of which anything is known, and a note on each of the others."""
-    known = df.agg(*(F.count(F.when(all_known(df, [c]), 1)) for c in features)).head()
-    notes = [f"{c} left out: no year asked it" for c, n in zip(features, known) if not n]
-    return [c for c, n in zip(features, known) if n], notes
+    notes = [f"{c} left out: no year asked it" for c in features if c not in known]
+    return [c for c in features if c in known], notes
 
 
 def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None = None) -> Analysis:
@@ -105,9 +133,8 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
     ``notes`` says so.  What is ready is written before the next model is fitted.
     """
     model = spec.model
-    df = prepare(spark, spec)
-    rows = df.count()  # from the file footers
-    log.info("analytic table: %d rows", rows)
+    df, counts, known = prepare(spark, spec)
+    log.info("rows: %s", counts)
     summaries = describe(df, spec)
     table1 = C.characteristics(
         df, model.outcome, spec.report.table1, denominator=spec.report.denominator
@@ -116,14 +143,14 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
     year = spec.source.year_column
     if score is None:
         sinks.write_parquet(df, f"{output}/analytic", spec.export, partition_by=year)
-    asked, notes = _asked(df, model.inference_features)
+    asked, notes = _asked(model.inference_features, known)
     logit = I.fit_logit(df, model.outcome, asked, max_iter=model.max_iter)
     table2 = I.wald_table(df, logit, model.labels)
     sinks.write_table_csv(I.formatted_wald(table2), f"{output}/table2")
     if score is not None:
         exported, columns = logit.predict(df, into=score), [*spec.export, score]
         sinks.write_parquet(exported, f"{output}/analytic", columns, partition_by=year)
-    usable, more = _asked(df, model.forest_features)
+    usable, more = _asked(model.forest_features, known)
     notes += [note for note in more if note not in notes]
     forest = None
     try:
@@ -146,7 +173,7 @@ def run(spark: SparkSession, spec: SurveySpec, output: str, score: str | None =
 
     return Analysis(
         table=df,
-        rows=rows,
+        counts=counts,
         summaries=summaries,
         states=state_ranking(df, spec),
         distributions=approximate_quantiles(df, spec.report.distributions, QUANTILES, [year]),

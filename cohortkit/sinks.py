@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from cohortkit.operators.stages import present
 
@@ -35,6 +35,17 @@ def stage(df: DataFrame, path: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(
+    df: DataFrame, path: str, counts: Mapping[str, Column], partition_by: str | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """``stage``, and the aggregates ``counts`` of the rows written, taken as they pass by:
+    no job and no scan of their own."""
+    seen = Observation()
+    watched = df.observe(seen, *(c.alias(name) for name, c in counts.items()))
+    staged = stage(watched, path, partition_by=partition_by)
+    return staged, {name: seen.get[name] for name in counts}
+
+
 def write_parquet(
     df: DataFrame,
     path: str,

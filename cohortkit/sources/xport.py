@@ -51,9 +51,14 @@ class Layout:
     rows: int
 
 
+# Names that Hadoop gives to stores which pyarrow knows under another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _filesystem(path: str) -> tuple[FileSystem, str]:
     if "://" in path:
-        return FileSystem.from_uri(path)
+        scheme, rest = path.split("://", 1)
+        return FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     return LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
 
 

@@ -36,7 +36,7 @@ def _canonical_column(raw: DataFrame, canonical: str, spec: SourceSpec) -> Colum
     return c.alias(canonical)
 
 
-def to_canonical(raw: DataFrame, year: int, spec: SourceSpec) -> DataFrame:
+def to_canonical(raw: DataFrame, year: int | None, spec: SourceSpec) -> DataFrame:
     """Project one year's raw table to the canonical columns plus the year tag.
 
     The projection sits right on the scan, so only the columns used are read.
@@ -63,12 +63,16 @@ def _read(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame | None:
         return None
 
 
-def read_year(spark: SparkSession, year: int, spec: SourceSpec) -> DataFrame | None:
-    """One year's canonical table, or None (with a warning) when its files are absent."""
-    path = spec.path.format(year=year)
+def read_year(spark: SparkSession, year: int | None, spec: SourceSpec) -> DataFrame | None:
+    """One year's canonical table, or None (with a warning) when its files are absent.
+
+    The year None stands for respondents without one; their folder has the name that Spark
+    writes for a null.
+    """
+    path = spec.path.format(year="__HIVE_DEFAULT_PARTITION__" if year is None else year)
     raw = _read(spark, path, spec)
     if raw is None:
-        log.warning("no files for %d, skipped: %s", year, path)
+        log.warning("no files for %s, skipped: %s", year, path)
         return None
     return to_canonical(raw, year, spec)
 

@@ -234,6 +234,7 @@ class ReportSpec:
     summaries: tuple[Summary, ...]
     table1: tuple[Table1Row, ...]
     states: Summary | None = None  # ranked by its first flag
+    state_names: Mapping[int, str] = field(default_factory=dict)
     distributions: tuple[str, ...] = ()
     denominator: str = "observed"  # or "stratum"
     digits: int | None = None

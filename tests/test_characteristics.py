@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def test_standard_deviations(df):
     assert t.overall_sd == pytest.approx(statistics.stdev([60, 70, 30, 50, 90]))
 
 
+def test_weighted_standard_deviations(spark):
+    """About the weighted mean, far from zero, with weights of any scale; equal ones change nothing."""
+    rng = np.random.default_rng(8)
+    y, x, w = rng.integers(0, 2, 400), rng.normal(1e8, 1.0, 400), rng.random(400) * 50
+    rows = [(int(a), float(b), float(c)) for a, b, c in zip(y, x, w)] + [(1, None, 3.0), (1, 5.0, 0.0), (None, 1e8, 2.0)]
+    df = spark.createDataFrame(rows, "y int, age double, w double")
+    lines_ = [C.Table1Row("age", "Age")]
+
+    def want(part):
+        v = np.array([r[1] for r in part if r[1] is not None and r[2] > 0])
+        u = np.array([r[2] for r in part if r[1] is not None and r[2] > 0])
+        near = v - 1e8
+        return math.sqrt(np.average((near - np.average(near, weights=u)) ** 2, weights=u) * len(v) / (len(v) - 1))
+
+    for scale in (1, 1e-6):
+        scaled = df.withColumn("w", F.col("w") * scale)
+        t = lines(C.characteristics(scaled, "y", lines_, weight="w", sd=True))["Age"]
+        assert t.diabetic_sd == pytest.approx(want([r for r in rows if r[0] == 1]), rel=1e-6)
+        assert t.no_diabetes_sd == pytest.approx(want([r for r in rows if r[0] == 0]), rel=1e-6)
+        assert t.overall_sd == pytest.approx(want(rows), rel=1e-6)
+    equal = df.filter("w > 0").withColumn("w", F.lit(3.0))
+    a = lines(C.characteristics(equal, "y", lines_, weight="w", sd=True))["Age"]
+    b = lines(C.characteristics(equal, "y", lines_, sd=True))["Age"]
+    assert a.overall_sd == pytest.approx(b.overall_sd, rel=1e-7)
+
+
 def test_weighted_table(df):
     t = lines(C.characteristics(df, "y", LINES, weight="w"))
     assert t["N"].overall == 6
@@ -60,8 +88,6 @@ def test_other_strata(df):
 def test_bad_options(df):
     with pytest.raises(ValueError, match="denominator"):
         C.characteristics(df, "y", LINES, denominator="rows")
-    with pytest.raises(ValueError, match="weighted"):
-        C.characteristics(df, "y", LINES, weight="w", sd=True)
 
 
 def test_formatting(spark, df):
@@ -108,10 +134,7 @@ def test_availability(spark):
     assert t[2019, "a"] == (1, 0, 0, 1, "not_asked")
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_missing_kinds(spark, monkeypatch, limit):
-    few_rows = M.few_rows
-    monkeypatch.setattr(M, "few_rows", lambda t: few_rows(t, at_most=limit))
+def test_missing_kinds(spark):
     raw = spark.createDataFrame(RAW, "survey_year int, a double, b double")
     t = M.missing_kinds(raw, ["a", "b"], CODES)
     assert t.columns == ["survey_year", "a", "b", "a_kind", "b_kind"]
@@ -125,6 +148,28 @@ def test_missing_kinds(spark, monkeypatch, limit):
     ]
 
 
+def test_missing_kinds_wait_for_an_action(spark):
+    """No job while the plan is built, no join and no shuffle of the rows; null and NaN groups."""
+    rows = [(1, 1.0), (1, None), (None, None), (None, 5.0), (2, None), (3, float("nan"))]
+    raw = spark.createDataFrame(rows, "g int, a double")
+    spark.sparkContext.setJobGroup("plan only", "plan only")
+    t = M.missing_kinds(raw, ["a"], {}, by="g")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.g or 0, r.a_kind) for r in t.collect()) == [
+        (0, "answered"), (0, "blank"), (1, "answered"), (1, "blank"), (2, "not_asked"), (3, "not_asked"),
+    ]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_too_many_groups_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_GROUPS", 2)
+    raw = spark.createDataFrame([(i, 1.0) for i in range(3)], "g int, a double")
+    with pytest.raises(Exception, match="more than 2 groups"):
+        M.missing_kinds(raw, ["a"], {}, by="g").collect()
+
+
 # ---------------------------------------------------------------------- distributions
 
 
@@ -149,3 +194,68 @@ def test_approximate_quantiles_are_close(spark):
     for r in D.approximate_quantiles(df, ["x"], (0.025, 0.5), ["g"]).collect():
         assert r.p50 == pytest.approx(50_000, abs=20)
         assert r.p2_5 == pytest.approx(2_500, abs=20)
+
+
+def test_merged_sketches_answer_for_coarser_groups(spark, tmp_path):
+    n = 60_000
+    df = spark.range(n).select(
+        (F.col("id") * 7919 % n).cast("double").alias("x"), (F.col("id") % 7).alias("year"), (F.col("id") % 50).alias("state"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    fine = D.quantile_sketches(df, ["x", "none"], ["year", "state"])
+    fine.write.parquet(str(tmp_path / "sketches"))
+    stored = spark.read.parquet(str(tmp_path / "sketches"))
+    assert stored.count() == 2 * 350
+    assert stored.agg(F.max(F.length("sketch"))).head()[0] < 10_000
+    for by in ([], ["year"]):
+        found = D.sketched_quantiles(D.merged_sketches(stored, by), (0, 0.1, 0.5, 0.9, 1), by).collect()
+        assert len(found) == 2 * (7 if by else 1)
+        for r in found:
+            if r.variable == "none":
+                assert r.known == 0 and r.p50 is None
+                continue
+            assert r.known == pytest.approx(n / (7 if by else 1), abs=1)
+            for p, at in ((0, r.p0), (0.1, r.p10), (0.5, r.p50), (0.9, r.p90), (1, r.p100)):
+                assert abs(at / n - p) <= D.SKETCH_ERROR + 1e-3
+
+
+def brute_weighted(values, weights, p):
+    order = np.argsort(values, kind="stable")
+    run = np.cumsum(np.array(weights)[order])
+    return np.array(values)[order][np.searchsorted(run, p * run[-1] * (1 - 1e-12))]
+
+
+@pytest.mark.parametrize("kind", ["many", "few", "far", "one"])
+def test_weighted_quantiles_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(4)
+    n = 5_000
+    x = {
+        "many": rng.normal(size=n), "few": rng.integers(0, 5, n).astype(float),
+        "far": np.exp(rng.normal(0, 40, n)) * rng.choice([-1, 1], n), "one": np.full(n, 3.5),
+    }[kind]
+    w = rng.integers(0, 60, n).astype(float)
+    group = rng.choice([0, 0, 0, 1, 2], n)
+    rows = [(None if g == 2 else int(g), float(a), float(b)) for g, a, b in zip(group, x, w)]
+    df = spark.createDataFrame([*rows, (0, None, 5.0), (0, 1.0, None), (0, float("nan"), 1.0), (9, 1.0, 0.0)], "g int, x double, w double")
+    probs = (0, 0.001, 0.25, 0.5, 0.75, 0.999, 1)
+    got = {r.g: r for r in D.weighted_quantiles(df, ["x"], probs, "w", ["g"]).collect()}
+    assert set(got) == {0, 1, None}
+    for g, r in got.items():
+        mine = [(a, b) for h, a, b in rows if h == g and b > 0]
+        assert r.known == len(mine)
+        want = [brute_weighted(*zip(*mine), p) for p in probs]
+        assert [r.p0, r.p0_1, r.p25, r.p50, r.p75, r.p99_9, r.p100] == want
+
+
+def test_weighted_quantiles_have_no_window_over_a_whole_group(spark):
+    """Windows run over a group's ranges and over the values of single ranges; the data is
+    read once, into counted values."""
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("w"))
+    t = D.weighted_quantiles(df, ["x"], (0.5,), "w")
+    assert t.head().p50 == 499.0
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("variable" in line for line in windows)  # all partitioned
+    over_values = [line for line in windows if "value#" in line]
+    assert over_values and all("which:" in line for line in over_values)
+    assert D.weighted_quantiles(df.limit(0), ["x"], (0.5,), "w").count() == 0

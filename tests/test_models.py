@@ -10,12 +10,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from brute import auc, newton
-from catalog.queries import ROTATING
 from catalog.survey_view import SPEC
 from cohortkit.operators import evaluate as E
 from cohortkit.operators import forest as R
 from cohortkit.operators import inference as I
 
+#: Questions of different years.
+ROTATING = ("sleep_hrs", "flag_poor_sleep", "flag_htn")
 FEATURES = ("_AGE80", "bmi", "female", "gen_health")
 
 
@@ -129,10 +130,89 @@ def test_single_constant_feature(respondents):
 
 def test_separated_outcome(spark):
     df = spark.createDataFrame([(int(i >= 10), float(i)) for i in range(20)], "y int, x double")
-    with pytest.raises((I.NotConvergedError, I.SingularDesignError)):
+    with pytest.raises(I.SeparatedError, match="x separates"):
         I.fit_logit(df, "y", ["x"], max_iter=25)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e6])
+def test_separation_by_two_features_is_found_early(spark, scale):
+    """Neither x nor z separates the outcome, their sum does; noise does not matter."""
+    rng = np.random.default_rng(3)
+    x, z, noise = rng.normal(size=(3, 4_000))
+    rows = [(int(a + b > 0), float(a * 1e3), float(b), float(c), scale) for a, b, c in zip(x, z, noise)]
+    df = spark.createDataFrame(rows, "y int, x double, z double, noise double, w double")
+    with pytest.raises(I.SeparatedError, match="x, z"):
+        I.fit_logit(df, "y", ["x", "z", "noise"], weight="w", max_iter=30)
+
+
+def test_quasi_separation_by_a_flag(spark):
+    """Nobody with the flag lacks the outcome; among the others both occur."""
+    rows = [(1, 1, 0.1 * i) for i in range(30)] + [(i % 2, 0, 0.1 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "y int, flag int, x double")
+    with pytest.raises(I.SeparatedError, match="flag"):
+        I.fit_logit(df, "y", ["flag", "x"], max_iter=30)
+
+
+def test_strong_effects_are_not_separation(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=6_000)
+    y = (rng.random(6_000) < 1 / (1 + np.exp(-6 * x - 2))).astype(int)
+    df = spark.createDataFrame(list(zip(y.tolist(), x.tolist())), "y int, x double")
+    b, se, _ = newton(x[:, None], y.astype(float))
+    fit = I.fit_logit(df, "y", ["x"])
+    assert fit.coefficients == pytest.approx(b, rel=1e-7) and fit.standard_errors == pytest.approx(se, rel=1e-6)
+
+
+def test_rare_outcomes_and_far_away_features(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(1e6, 1, 20_000)
+    y = (rng.random(20_000) < 0.002 * np.exp(x - 1e6)).astype(int)
+    df = spark.createDataFrame(list(zip(y.tolist(), x.tolist())), "y int, x double")
+    b, se, ll = newton((x - 1e6)[:, None], y.astype(float))
+    fit = I.fit_logit(df, "y", ["x"])
+    assert fit.coefficients[1] == pytest.approx(b[1], rel=1e-6)
+    assert fit.standard_errors[1] == pytest.approx(se[1], rel=1e-6)
+    assert fit.log_likelihood == pytest.approx(ll, rel=1e-9)
+
+
+@pytest.mark.parametrize("weight", [None, "_LLCPWT"])
+def test_robust_errors_equal_brute_force(respondents, cases, weight):
+    x = np.column_stack([np.ones(len(cases)), cases[list(FEATURES)].to_numpy(float)])
+    y = cases.flag_diabetes.to_numpy(float)
+    w = cases["_LLCPWT"].to_numpy(float) if weight else np.ones(len(cases))
+    if weight is None:
+        respondents = respondents.dropna(subset=["_LLCPWT"])
+    b, _, _ = newton(x[:, 1:], y, w)
+    p = 1 / (1 + np.exp(-x @ b))
+    bread = np.linalg.inv((x * (w * p * (1 - p))[:, None]).T @ x)
+    meat = (x * ((w * (y - p)) ** 2)[:, None]).T @ x
+    want = np.sqrt(np.diag(bread @ meat @ bread))
+    fit = I.fit_logit(respondents, "flag_diabetes", FEATURES, weight=weight, robust=True)
+    assert fit.standard_errors == pytest.approx(want, rel=1e-6)
+    scaled = respondents.withColumn("_LLCPWT", F.col("_LLCPWT") / 1000)
+    again = I.fit_logit(scaled, "flag_diabetes", FEATURES, weight=weight, robust=True)
+    assert again.standard_errors == pytest.approx(want, rel=1e-6)  # whatever the weights' scale
+
+
+def test_robust_errors_of_collapsed_rows(respondents):
+    features = ["female", "flag_obese"]
+    one, two = (
+        I.fit_logit(respondents, "flag_diabetes", features, weight="_LLCPWT", collapse=c, robust=True)
+        for c in (False, True)
+    )
+    assert one.standard_errors == pytest.approx(two.standard_errors, rel=1e-6)
+
+
+def test_a_fit_takes_one_job_a_step(spark, respondents):
+    tracker, group = spark.sparkContext.statusTracker(), "count the jobs of a fit"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        fit = I.fit_logit(respondents, "flag_diabetes", FEATURES)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 2 * (fit.iterations + 1) + 2  # a shuffle's stages are jobs
+
+
 def test_one_sided_outcome(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (None, 3.0)], "y int, x double")
     with pytest.raises(ValueError, match="2 complete cases"):
@@ -267,6 +347,15 @@ def test_forest_does_not_follow_the_layout(respondents):
     assert fits[0].auc == fits[1].auc
 
 
+def test_parts_grow_with_the_rows():
+    sizes = [10**k for k in range(13)]
+    parts = [R.parts_for(n) for n in sizes]
+    assert parts[0] == 1 and parts == sorted(parts)
+    rows = [n / p for n, p in zip(sizes, parts)]
+    assert all(a < b for a, b in zip(rows, rows[1:]))
+    assert R.parts_for(120_000) == 11 and 2_000 < R.parts_for(10**9) < 3_000
+
+
 def test_shares_beyond_hundredths_are_refused():
     from cohortkit.operators.forest import in_training
 

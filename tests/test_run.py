@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from catalog.queries import analytic, yearly_files
+import check
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES, analytic, yearly_files
 from catalog.survey_view import PUBLISHED, SPEC
 from cohortkit.__main__ import main
 from cohortkit.operators import characteristics as C
@@ -110,3 +113,27 @@ def test_command_line(spark, files, tmp_path, capsys):
     assert "table2" in shown and "Self-rated health" in shown
     assert analysis.logit.features[-1] == "years_since_1995"
     assert sorted(p.name for p in tmp_path.iterdir()) == ["analytic", "table1", "table2"]
+
+
+def test_counts_ride_along(spark, done):
+    """Rows of the stages, known features included, without a job of their own."""
+    analysis, _ = done
+    counts, table = analysis.counts, analysis.table
+    assert counts["loaded"] == counts["analytic"] == analysis.rows == table.count()
+    assert counts["outcome_known"] == table.filter("flag_diabetes IS NOT NULL").count()
+    assert counts["complete_cases"] == table.dropna(subset=[SPEC.model.outcome, *SPEC.model.inference_features]).count()
+    assert counts["forest_cases"] == analysis.forest.train_n + analysis.forest.test_n
+
+
+def test_years_come_from_the_data(spark, tmp_path):
+    """Dates before the first named year and none at all."""
+    dates = ["1993-05-01", "1995-02-03", "1997-01-01", "1999-09-09", "2004-12-31", None]
+    rows = [(i, i % 7, float(1000 + i), d) for i, d in enumerate(dates * 20)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, d string")
+    orders = orders.withColumn("o_orderdate", F.to_date("d")).drop("d")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["q_union_years"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert check.differences(got, con.execute(ORACLES["q_union_years"]).df()) == []
+    assert len(got) == 120 and got.survey_year.isna().sum() == 20

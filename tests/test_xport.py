@@ -139,3 +139,12 @@ def test_no_transport_files(spark, tmp_path):
     source = SourceSpec((2017,), f"{tmp_path}/{{year}}.xpt", ("A",), format="xport")
     with pytest.raises(RuntimeError, match="no survey files"):
         load_years(spark, source)
+
+
+def test_store_names_of_spark_paths(monkeypatch):
+    """Paths as Spark writes them reach pyarrow's stores."""
+    asked = []
+    monkeypatch.setattr(xport, "FileSystem", type("Stores", (), {"from_uri": staticmethod(lambda u: asked.append(u) or (None, ""))}))
+    for path in ("s3a://survey/2017.xpt", "s3://survey/2017.xpt", "hdfs://host/x", "file:///x", "gs://b/x"):
+        xport._filesystem(path)
+    assert asked == ["s3://survey/2017.xpt", "s3://survey/2017.xpt", "hdfs://host/x", "file:///x", "gs://b/x"]
