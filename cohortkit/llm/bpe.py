@@ -8,7 +8,8 @@ left.  Decoding joins token rows with the vocabulary and aggregates bytes by pos
 
 Nulls encode like empty texts, to no ids.  The same text gives the same ids in any row.
 Rows are only mapped: repeated rows, ties and extra columns stay as they are; empty tables
-give empty tables.  An id outside the vocabulary is an error when decoding.
+give empty tables.  Helper columns take free names; a column that has the name of a result
+gives way to it.  An id outside the vocabulary is an error when decoding.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.llm.common import limited
+from cohortkit.llm.common import free_names, limited, release, without
 from cohortkit.llm.pieces import gather, pieces
 
-#: Words kept between batches; beyond it the memory starts anew.
-REMEMBERED = 800_000
+#: Bytes of words and ids kept between the batches of a task; beyond it the memory starts anew.
+REMEMBERED = 64 << 20
+#: What a word takes beside its own bytes and ids: a string, a dictionary entry, an end.
+WORD_COST = 160
 #: Words of one recursive query.
 TOGETHER = 20_000
 #: The recursive query keeps the rows of all its steps, which for a word of n bytes are up
@@ -83,25 +86,53 @@ def _database() -> duckdb.DuckDBPyConnection:
     return base
 
 
-class Encoder:
-    """One task's merge table and the words it has met lately."""
-
-    _own: dict[tuple[str, str], Encoder] = {}
-
-    def __init__(self, path: str, pattern: str) -> None:
-        self.ranks = ranks = read_ranks(path)
-        pairs = [
-            (ranks[token[:i]], ranks[token[i:]], rank)
-            for token, rank in ranks.items()
-            for i in range(1, len(token))
-            if token[:i] in ranks and token[i:] in ranks
-        ]
+class Task:
+    """A task's DuckDB, with the merge table and the vocabulary.  Ends with the task.
+
+    Only the tables' rows stay with the worker process for its next task: some megabytes,
+    whatever the texts.
+    """
+
+    _rows: dict[str, tuple[dict[bytes, int], pa.Table, pa.Table]] = {}
+
+    def __init__(self, path: str) -> None:
+        if path not in Task._rows:
+            Task._rows = {path: _tables(path)}
+        self.ranks, merges, vocabulary = Task._rows[path]
         self.base = _database()
-        columns = np.array(pairs, np.int32).reshape(-1, 3).T
-        merges = pa.table(dict(zip(("l", "r", "merged"), map(pa.array, columns), strict=True)))
-        self.base.register("merge_rows", merges)
-        self.base.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
+            self.base.register("rows", rows)
+            self.base.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+            self.base.unregister("rows")
+
+    def __enter__(self) -> Task:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.base.close()
+        release()
+
+
+def _tables(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table]:
+    ranks = read_ranks(path)
+    pairs = [
+        (ranks[token[:i]], ranks[token[i:]], rank)
+        for token, rank in ranks.items()
+        for i in range(1, len(token))
+        if token[:i] in ranks and token[i:] in ranks
+    ]
+    columns = np.array(pairs, np.int32).reshape(-1, 3).T
+    merges = pa.table(dict(zip(("l", "r", "merged"), map(pa.array, columns), strict=True)))
+    ids = pa.array(list(ranks.values()), pa.int32())
+    return ranks, merges, pa.table({"id": ids, "hex": [t.hex() for t in ranks]})
+
+
+class Encoder:
+    """The words a task has met lately, and how to contract others."""
+
+    def __init__(self, task: Task, pattern: str) -> None:
+        self.ranks, self.base = task.ranks, task.base
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
         self.forget()
 
@@ -109,12 +140,7 @@ class Encoder:
         self.known: dict[str, int] = {}  # number of a word, whose ids lie between two ends
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
-
-    @classmethod
-    def of(cls, path: str, pattern: str) -> Encoder:
-        if (path, pattern) not in cls._own:
-            cls._own = {(path, pattern): cls(path, pattern)}
-        return cls._own[path, pattern]
+        self.bytes = 0
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words end to end and their number for each, by the recursive query."""
@@ -184,12 +210,13 @@ class Encoder:
             first = len(self.known)
             self.known.update(zip([*names, *plain], range(first, first + len(names) + len(plain)), strict=True))
             self.ids = np.concatenate(parts)
+            self.bytes += sum(WORD_COST + 5 * len(w) for w in chain(names, plain))
             self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text starts."""
         different, numbers, first = pieces(texts)
-        if len(self.known) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.forget()
         words = [self.split(piece) for piece in different.to_pylist()]
         per_piece = np.fromiter(map(len, words), np.int64, len(words))
@@ -213,11 +240,12 @@ def encode(
     """``docs`` with the column ``text`` replaced by ``ids``, array<int>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary, pattern)
-        for batch in limited(batches, text):
-            got, bounds = encoder.encode(batch.column(batch.schema.get_field_index(text)))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got, pa.int32()))
-            yield _with_column(batch, ids, lists, text)
+        with Task(vocabulary) as task:
+            encoder = Encoder(task, pattern)
+            for batch in limited(batches, text):
+                got, bounds = encoder.encode(batch.column(batch.schema.get_field_index(text)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got, pa.int32()))
+                yield _with_column(batch, ids, lists, text)
 
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
@@ -226,25 +254,11 @@ def encode(
 
 
 class Decoder:
-    """One task's vocabulary in DuckDB."""
-
-    _own: dict[str, Decoder] = {}
-
-    def __init__(self, path: str) -> None:
-        ranks = read_ranks(path)
-        rows = pa.table(
-            {"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}
-        )
-        self.last = max(ranks.values(), default=-1)
-        self.base = _database()
-        self.base.register("vocabulary_rows", rows)
-        self.base.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
+    """Bytes of ids, from a task's vocabulary."""
 
-    @classmethod
-    def of(cls, path: str) -> Decoder:
-        if path not in cls._own:
-            cls._own = {path: cls(path)}
-        return cls._own[path]
+    def __init__(self, task: Task) -> None:
+        self.last = max(task.ranks.values(), default=-1)
+        self.base = task.base
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """Bytes of each list of ids, the lists end to end between ``bounds``."""
@@ -281,13 +295,14 @@ def decode(
     """``df`` with the column ``ids`` replaced by ``decoded``, the bytes they stand for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder.of(vocabulary)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            counts = np.asarray(lists.value_lengths().fill_null(0))
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            bytes_ = decoder.decode(np.asarray(lists.flatten(), np.int32), bounds)
-            yield _with_column(batch, decoded, pa.array(bytes_, pa.binary()), ids)
+        with Task(vocabulary) as task:
+            decoder = Decoder(task)
+            for batch in batches:
+                lists = batch.column(batch.schema.get_field_index(ids))
+                counts = np.asarray(lists.value_lengths().fill_null(0))
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                bytes_ = decoder.decode(np.asarray(lists.flatten(), np.int32), bounds)
+                yield _with_column(batch, decoded, pa.array(bytes_, pa.binary()), ids)
 
     kept = [f for f in df.schema.fields if f.name != ids]
     return df.mapInArrow(work, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))
@@ -298,26 +313,31 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool =
 
     The first digest is of the decimal ids joined by spaces, the second of the bytes that
     decoding these ids gives.  ``keep_ids`` adds the ids.  One task encodes and decodes, so
-    that a core has one Python worker.
+    that a core has one Python worker.  A column of ``docs`` that has the name of a result
+    gives way to it.
     """
+    docs = without(docs, ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
+    ids_, bytes_, text_ = free_names(docs, 3)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder.of(vocabulary, pattern), Decoder.of(vocabulary)
-        for batch in limited(batches):
-            ids, bounds = encoder.encode(batch.column(batch.schema.get_field_index("text")))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            back = pa.array(decoder.decode(ids, bounds), pa.binary())
-            yield _with_column(_with_column(batch, "__ids", lists, "text"), "__bytes", back, "")
+        with Task(vocabulary) as task:
+            encoder, decoder = Encoder(task, pattern), Decoder(task)
+            for batch in limited(batches, text_):
+                ids, bounds = encoder.encode(batch.column(batch.schema.get_field_index(text_)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                back = pa.array(decoder.decode(ids, bounds), pa.binary())
+                yield _with_column(_with_column(batch, ids_, lists, text_), bytes_, back, "")
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("__ids", T.ArrayType(T.IntegerType(), False)), T.StructField("__bytes", T.BinaryType())])
+    schema = T.StructType([*kept, T.StructField(ids_, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_, T.BinaryType())])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    done = docs.withColumn("text", text).mapInArrow(work, schema)
+    done = docs.select(*(f.name for f in kept), text.alias(text_)).mapInArrow(work, schema)
+    ids = F.col(ids_)
     return done.withColumns(
         {
-            "n_tokens": F.size("__ids").cast("long"),
-            "ids_sha256": F.sha2(F.concat_ws(" ", F.col("__ids").cast("array<string>")), 256),
-            "decoded_sha256": F.sha2("__bytes", 256),
-            **({"ids": F.col("__ids")} if keep_ids else {}),
+            "n_tokens": F.size(ids).cast("long"),
+            "ids_sha256": F.sha2(F.concat_ws(" ", ids.cast("array<string>")), 256),
+            "decoded_sha256": F.sha2(bytes_, 256),
+            **({"ids": ids} if keep_ids else {}),
         }
-    ).drop("__ids", "__bytes")
+    ).drop(ids_, bytes_)

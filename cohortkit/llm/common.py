@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +36,18 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names for ``n`` helper columns that no column of ``df`` has, whatever the letters' case."""
+    have = {c.lower() for c in df.columns}
+    return [name for name in (f"helper{i}" for i in range(len(have) + n)) if name not in have][:n]
+
+
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` without the columns that results of these ``names`` replace."""
+    taken = {n.lower() for n in names}
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in taken))
+
+
 def limited(
     batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -68,17 +82,35 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 # Fixed random numbers, one for a byte; and an odd base with its inverse modulo 2**64.
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+_STEP = 2048
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers 0 to n - 1 of the base and of its inverse; nothing is kept between calls."""
+
+    def row(base: int, size: int) -> np.ndarray:
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        return np.multiply.accumulate(p)
+
+    def all_(base: int) -> np.ndarray:
+        return np.multiply.outer(row(pow(base, _STEP, 2**64), -(-n // _STEP)), row(base, _STEP)).ravel()[:n]
+
+    return all_(_BASE), all_(pow(_BASE, -1, 2**64))
+
+
+def release() -> None:
+    """Give memory that this worker process no longer uses back to the machine.
+
+    Spark reuses Python workers; what one task has freed should not stand beside the next
+    task's memory.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not on this platform
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
