@@ -2,23 +2,25 @@
 
 The text view sees how kinds of characters follow each other and how words repeat; the
 metadata view sees source, language, length and line layout.  Both are logistic models,
-first fitted on labelled documents.  In each round either view labels those unlabelled
-documents of the pool on which its calibrated probability is confident, and both refit.  A
-confident label is one at a probability where the view's held-out precision is CONFIDENT.
-At the end each view is calibrated on held-out labelled documents, a last regression weighs
-the two log-odds, and every document is scored in one pass.
-
-The models are fitted on at most SAMPLE labelled and POOL unlabelled documents, drawn by
-hash of doc_id; equal doc_ids count once.  Labels that are null, or differ for one doc_id,
-are left out.  With fewer than two classes every score is the share of good labels (0.5
-without labels).  Nulls are empty texts and unknown metadata; empty texts are scored as such.
-Repeated rows get equal scores; extra columns stay; an empty table gives an empty table.
+first fitted on labelled documents.  In each round both views score all unlabelled documents
+in one Spark pass; each labels those on which its calibrated probability is confident, for the
+other to learn from, and both refit.  A confident label is one at a probability where the
+view's held-out precision is CONFIDENT.  At the end each view is calibrated on held-out
+labelled documents, a last regression weighs the two log-odds, and every document is scored.
+
+The models are fitted on bounded samples of labelled rows, drawn by hash of doc_id: at most
+SAMPLE documents labelled by hand, and of those labelled by either view in a round, at most
+TAUGHT for each view and class.  Equal doc_ids count once.  Labels that are null, or differ
+for one doc_id, are left out.  With fewer than two classes every score is the share of good
+labels (0.5 without labels).  Nulls are empty texts and unknown metadata; empty texts are
+scored as such.  Repeated rows get equal scores; extra columns stay; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm import boost
-from cohortkit.llm.common import raw_text, span_hashes, word_spans
+from cohortkit.llm.common import raw_text, span_hashes, staged, word_spans
 
 SAMPLE = 3_000
-POOL = 3_000
+TAUGHT = 750
 ROUNDS = 4
 CONFIDENT = 0.97
 #: Documents whose views are made at once.
@@ -133,36 +135,45 @@ def _sure(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return edge(p, y == 1), 1 - edge(1 - p, y == 0)
 
 
+#: Views of documents and the labels given to them.
+Taught = tuple[tuple[np.ndarray, np.ndarray], np.ndarray]
+
+
 def cotrain(
-    views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray],
+    views: tuple[np.ndarray, np.ndarray], y: np.ndarray,
+    teach: Callable[[int, list[np.ndarray], list[tuple[float, float]], list[tuple[float, float]]], list[Taught]],
     rounds: int = ROUNDS,
 ) -> Model:
-    """``views`` of labelled rows with labels ``y``, and the same views of unlabelled rows."""
+    """From ``views`` of labelled rows with labels ``y``.  ``teach`` is told the round, both
+    views' weights, calibration lines and confident probabilities (least for good, most for
+    bad), and returns what each view labels."""
     if len(y) < 20 or y.min() == y.max():
         return Model(None, None, constant=float(y.mean()) if len(y) else 0.5)
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::3]] = True
-    guess = [np.full(len(pool[0]), np.nan) for _ in views]  # labels given by each view
-    weights: list[np.ndarray] = []
-    for _ in range(rounds):
-        weights = []
-        for k in (0, 1):
-            other = guess[1 - k]
-            taught = ~np.isnan(other)
-            x = np.vstack([views[k][~held], pool[k][taught]])
-            weights.append(boost.fit_logistic(x, np.concatenate([y[~held], other[taught]])))
+    taught: list[Taught] = []
+    for turn in range(rounds):
+        weights, lines, sure = [], [], []
         for k in (0, 1):
+            x, labels = views[k][~held], y[~held]
+            if taught:
+                other, guess = taught[1 - k]
+                x, labels = np.vstack([x, other[k]]), np.concatenate([labels, guess])
+            weights.append(boost.fit_logistic(x, labels))
             s = views[k][held] @ weights[k][:-1] + weights[k][-1]
-            a, b = boost.fit_line(s, y[held])
-            high, low = _sure(1 / (1 + np.exp(-(a * s + b))), y[held])
-            p = 1 / (1 + np.exp(-(a * (pool[k] @ weights[k][:-1] + weights[k][-1]) + b)))
-            guess[k] = np.where(p >= high, 1.0, np.where(p <= low, 0.0, np.nan))
-    raw = [views[k][held] @ weights[k][:-1] + weights[k][-1] for k in (0, 1)]
-    lines = tuple(boost.fit_line(s, y[held]) for s in raw)
-    odds = np.stack([a * s + b for (a, b), s in zip(lines, raw, strict=True)], 1)
+            lines.append(boost.fit_line(s, y[held]))
+            sure.append(_sure(_probability(views[k][held], weights[k], lines[k]), y[held]))
+        if turn + 1 < rounds:
+            taught = teach(turn, weights, lines, sure)
+    odds = np.stack([a * (v[held] @ w[:-1] + w[-1]) + b for v, w, (a, b) in zip(views, weights, lines, strict=True)], 1)
     combine = boost.fit_logistic(np.clip(odds, -30, 30), y[held], ridge=1e-2)
-    return Model(weights[0], weights[1], lines, combine)
+    return Model(weights[0], weights[1], tuple(lines), combine)
+
+
+def _probability(x: np.ndarray, weights: np.ndarray, line: tuple[float, float]) -> np.ndarray:
+    odds = line[0] * (x @ weights[:-1] + weights[-1]) + line[1]
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -184,8 +195,9 @@ def _views(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
-    """Fit on about ``sample`` labelled and ``pool`` other documents, drawn by hash."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, taught: int = TAUGHT) -> Model:
+    """Fit on about ``sample`` labelled documents, and in each round on about ``taught`` of those
+    that either view labels good or bad, from all others."""
     known = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .where("doc_id is not null and quality in (0, 1)")
@@ -193,20 +205,53 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = PO
         .where("quality = most").drop("most")
     )
     scale = 1_000_003
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
+    rows = docs.where("doc_id is not null").select("doc_id", *_columns(docs))
 
-    def drawn(df: DataFrame, n: int, most: int) -> DataFrame:
-        return df.where(draw < int(scale * min(1.0, most / max(n, 1))) + 1)
+    def drawn(salt: int, n: int, most: int) -> Column:
+        """About ``most`` of ``n`` documents, by hash."""
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale)) < int(scale * min(1.0, most / max(n, 1))) + 1
+
+    def fetched(picked: DataFrame) -> pd.DataFrame:
+        """The rows of a drawn, hence bounded, sample of doc_ids."""
+        return rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+
+    def teach(
+        turn: int, weights: list[np.ndarray], lines: list[tuple[float, float]], sure: list[tuple[float, float]]
+    ) -> list[Taught]:
+        @F.pandas_udf("text double, meta double")
+        def chances(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                frame = pd.concat(part, axis=1, keys=["text", *META, "n_chars"])
+                got = [np.zeros((0, 2))]
+                for i in range(0, len(frame), 512):
+                    both = zip(_views(frame.iloc[i : i + 512]), weights, lines, strict=True)
+                    got.append(np.stack([_probability(x, w, line) for x, w, line in both], 1))
+                yield pd.DataFrame(np.concatenate(got), columns=["text", "meta"])
+
+        def guess(view: str, high: float, low: float) -> Column:
+            p = F.col(f"p.{view}")
+            return F.when(p >= high, 1).when(p <= low, 0).alias(view)
+
+        scored = rows.select("doc_id", chances("text", *META, "n_chars").alias("p"))
+        guesses = scored.select("doc_id", guess("text", *sure[0]), guess("meta", *sure[1]))
+        sure_ = guesses.where("text is not null or meta is not null").join(known, "doc_id", "left_anti")
+        sure_ = staged(sure_)
+        found = [(view, c) for view in ("text", "meta") for c in (0, 1)]
+        counts = sure_.agg(*(F.count(F.when(F.col(view) == c, 1)) for view, c in found)).first()
+        picks = [(F.col(view) == c) & drawn(turn + 1, n, taught) for (view, c), n in zip(found, counts, strict=True)]
+        few = sure_.select("doc_id", *(
+            F.when(picks[2 * k], 0).when(picks[2 * k + 1], 1).alias(f"by_{view}") for k, view in enumerate(("text", "meta"))
+        ))
+        frame = fetched(few.where("by_text is not null or by_meta is not null"))
+        views = _views(frame)
+        out: list[Taught] = []
+        for name in ("by_text", "by_meta"):
+            own = frame[name].notna().to_numpy()
+            out.append(((views[0][own], views[1][own]), frame[name][own].to_numpy(float)))
+        return out
 
-    n_docs, n_known = docs.count(), known.count()
-    # Twice the asked for, so that the pool still has enough without the labelled ones.
-    picked = drawn(known, n_known, sample)
-    unlabelled = drawn(docs.where("doc_id is not null").select("doc_id", *_columns(docs)), n_docs, 2 * pool)
-    rows = docs.where("doc_id is not null").select("doc_id", *_columns(docs))
-    some = rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    more = unlabelled.join(known, "doc_id", "left_anti").dropDuplicates(["doc_id"]).toPandas()
-    some, more = some.sort_values("doc_id"), more.sort_values("doc_id").head(pool)
-    return cotrain(_views(some), some.quality.to_numpy(float), _views(more))
+    some = fetched(known.where(drawn(0, known.count(), sample)))
+    return cotrain(_views(some), some.quality.to_numpy(float), teach)
 
 
 def score(docs: DataFrame, model: Model) -> Column:
