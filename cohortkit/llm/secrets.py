@@ -5,7 +5,8 @@ run).  Beside them every long base64 or hex run is decoded, and reported only if
 structure holds: a signed token whose header and payload are JSON objects, the header naming
 an algorithm; a DER key whose nested lengths all fit and whose elements are those of a
 private key; an OpenSSH key whose length-prefixed fields fit; a PEM block around either, or
-one that its label or headers call encrypted.
+one that its label or headers call encrypted.  A run wrapped over lines is joined first; a hex
+run is tried from its first and its second digit.
 
 A null is an empty text; texts without secrets give no spans and the digest of the empty
 string.  Spans count code points, the end exclusive.  Rows are only mapped, so repeated
@@ -49,7 +50,9 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:(?!-----).)*
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 _HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:\s*\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}+={0,2}")
-_HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){32,}+|(?:[0-9A-F]{2}){32,}+")
+# Full lines and a last one; the last may be text that follows.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{40,}+[ \t]*\r?\n[ \t]*)++(?:[A-Za-z0-9+/]++={0,2})?")
+_HEX_ANY = re.compile(r"[0-9a-f]{64,}+|[0-9A-F]{64,}+")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 Span = tuple[int, int, str]
@@ -119,6 +122,28 @@ def der_elements(raw: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+# Object identifiers of key algorithms.
+_RSA, _EC, _DSA = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2a8648ce380401")
+#: Curves whose private key is a string of so many bytes.
+_CURVES = {b"\x2b\x65\x6e": 32, b"\x2b\x65\x6f": 56, b"\x2b\x65\x70": 32, b"\x2b\x65\x71": 57}
+
+
+def _is_inner_key(algorithm: bytes, raw: bytes) -> bool:
+    """Whether the string of a PKCS 8 key holds a key of its algorithm."""
+    elements = der_elements(raw)
+    if not elements or len(elements) != 1:
+        return False
+    tag, value = elements[0]
+    if algorithm in (_RSA, _EC):
+        tags = [t for t, _ in der_elements(value) or []]
+        return tag == 0x30 and (len(tags) == 9) == (algorithm == _RSA) and is_der_key(raw)
+    if algorithm == _DSA:
+        return tag == 0x02 and len(value) >= 16
+    if algorithm in _CURVES:
+        return tag == 0x04 and len(value) == _CURVES[algorithm]
+    return tag in (0x02, 0x04, 0x30) and len(value) >= 16
+
+
 def is_der_key(raw: bytes) -> bool:
     """One SEQUENCE that fills ``raw`` and holds what a private key holds."""
     outer = der_elements(raw) if raw[:1] == b"\x30" else None
@@ -134,7 +159,7 @@ def is_der_key(raw: bytes) -> bool:
         return len(inner[1][1]) >= 16 and all(tag in (0xA0, 0xA1) for tag in tags[2:])
     if tags[1] == 0x30 and len(tags) > 2 and tags[2] == 0x04:  # PKCS 8: algorithm, key
         algorithm = der_elements(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06
+        return bool(algorithm) and algorithm[0][0] == 0x06 and _is_inner_key(algorithm[0][1], inner[2][1])
     return False
 
 
@@ -203,11 +228,23 @@ def confirmed_spans(text: str) -> list[Span]:
             kind = _key_kind(_unbase64(m[0]))
             if kind:
                 found.append((*m.span(), kind))
+    for m in _WRAPPED.finditer(text):
+        if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC"):
+            full = m[0][: m[0].rindex("\n")].rstrip()
+            for run in (m[0].rstrip(), full):
+                kind = _key_kind(_unbase64("".join(run.split())))
+                if kind and "\n" in run:
+                    found.append((m.start(), m.start() + len(run), kind))
+                    break
     for m in _HEX_ANY.finditer(text):
-        if m[0].startswith("30") or m[0][:8].lower() == "6f70656e":
-            kind = _key_kind(bytes.fromhex(m[0]))
-            if kind:
-                found.append((*m.span(), kind))
+        for skip in (0, 1):
+            run = m[0][skip:]
+            run = run[: len(run) // 2 * 2]
+            if run.startswith("30") or run[:8].lower() == "6f70656e":
+                kind = _key_kind(bytes.fromhex(run))
+                if kind:
+                    found.append((m.start() + skip, m.start() + skip + len(run), kind))
+                    break
     return found
 
 
