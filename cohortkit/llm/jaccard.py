@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm.common import (
-    limited, lower_ascii, mix, raw_text, shingle_hashes, span_hashes, staged, tasks, text_column,
+    free_names, limited, lower_ascii, mix, raw_text, shingle_hashes, span_hashes, staged, tasks, text_column,
     word_spans,
 )
 
@@ -430,9 +430,10 @@ def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     text = text_column(docs)
     # Rows of equal doc_id and text share a fate; of those that repeat, one stays.
     fate = staged(marked.groupBy("doc_id", "text_hash", (F.col("n_shingles") > 0).alias("some")).agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("kept"))
-    fate = fate.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("some") & (F.col("times") > 1)).alias("__repeats"))
-    keyed = docs.withColumn("__text_hash", F.xxhash64(text))
-    stay = keyed.join(fate, (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    once = stay.where("not __repeats").select(*docs.columns)
-    again = stay.where("__repeats").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    id_, hash_, repeats, own = free_names(docs, 4)
+    fate = fate.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), (F.col("some") & (F.col("times") > 1)).alias(repeats))
+    keyed = docs.withColumn(own, F.xxhash64(text))
+    stay = keyed.join(fate, (F.col(own) == F.col(hash_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    once = stay.where(~F.col(repeats)).select(*docs.columns)
+    again = stay.where(F.col(repeats)).dropDuplicates([id_, hash_]).select(*docs.columns)
     return once.unionByName(again)
