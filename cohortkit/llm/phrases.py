@@ -2,14 +2,16 @@
 
 Counting.  Every place in a piece of text starts a phrase of up to LONGEST words; the counts of
 all shorter phrases follow from those, as their prefixes.  A task puts its phrases into a
-trie of word ids: hash containers of id strings hang under the first words, and a container
-that grows beyond BURST bursts into one for each next word.  When a trie holds more than
-HELD phrases, its largest subtrees are spilled whole as sorted runs.  Runs are dealt
-to partitions by ranges of prefixes, sorted (which merges them), and read once: a prefix is
-counted while its rows pass by.  A prefix that touches the edge of its partition may go on in
-the next, so the parts of such prefixes are added up at the end.  The ranges are cut at
-quantiles of a hashed sample of phrases; they decide who counts a phrase, not its count, and
-split a first word or pair of any size over as many partitions as it fills.
+trie of word ids: hash containers of id strings, each shared by neighbouring first words until
+it grows beyond BURST and bursts, first into one for each word, then by the next word.  When
+a task's tries hold more than HELD phrases, the largest subtrees are spilled whole as sorted
+runs.  Runs are cut into blocks and dealt to partitions by ranges of prefixes; each partition
+gets its blocks in the order of their first phrases and merges them as they come, with no more
+in memory than overlaps.  A prefix is counted while its phrases pass by.  One that touches the
+edge of its partition may go on in the next, so the parts of such prefixes are added up at the
+end.  The ranges are cut at quantiles of a hashed sample of phrases; they decide who counts a
+phrase, not its count, and split a first word or pair of any size over as many partitions as
+it fills.
 
 Scoring.  A phrase of two or more words that occurs ``least`` times or more is a candidate.
 Cut after k words, it has a score floor(1000 a n / (l r)), exact in decimals of 38 digits;
@@ -23,7 +25,6 @@ phrases.  Words may hold control characters.  Only text and lang are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,18 +34,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import limited, lower_ascii, mix, raw_text, span_hashes, staged, tasks
+from cohortkit.llm.common import limited, lower_ascii, mix, raw_text, release, span_hashes, staged, tasks
 
 LONGEST = 5
 #: Phrases in a container before it bursts, in a task's tries before subtrees are spilled,
 #: and words a task knows before everything is.
 BURST = 16_384
-HELD = 800_000
-WORDS = 500_000
-#: Rows of one batch of a run.
+HELD = 400_000
+WORDS = 300_000
+#: Bytes of text counted at once.
+TEXT = 2 << 20
+#: Phrases of one block of a run, and those that a partition lets wait before it counts them.
 ROWS = 20_000
-#: Phrases sampled for each range, to cut the ranges.
+MERGED = 100_000
+#: Phrases sampled for each range, to cut the ranges, and texts that they come from.
 SAMPLED = 100
+DOCS = 50
 #: Best phrases are found in so many parts of a language first.
 PARTS = 64
 
@@ -55,7 +60,8 @@ _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 
 # Keys are words joined by tabs.  So that a tab sorts before what words hold, the control
 # characters below it are written as a line feed, which no word holds, and a letter.
-_TAB, _MARK = b"\t", b"\n"
+# No word holds a carriage return either; it ends a key in a block.
+_TAB, _MARK, _END = b"\t", b"\n", b"\r"
 
 
 def _escaped(word: bytes) -> bytes:
@@ -124,13 +130,16 @@ class Trie:
 
     def add(self, strings: list[bytes]) -> int:
         """Count strings, those with the same first id next to each other; how many are new."""
-        width, children, before = self.width, self.children, self.size
+        width = self.width
         heads = [s[:width] for s in strings]
-        tails = [s[width:] for s in strings]
         ends = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]]
-        start = 0
-        for end in (*ends, len(heads)):
-            head, own = heads[start], tails[start:end]
+        return self.add_groups([heads[0], *(heads[i] for i in ends)], [*ends, len(heads)], [s[width:] for s in strings])
+
+    def add_groups(self, heads: list[bytes], ends: list[int], tails: list[bytes]) -> int:
+        """The same from heads, where the strings of each end, and what follows the heads."""
+        width, children, before, start = self.width, self.children, self.size, 0
+        for head, end in zip(heads, ends, strict=True):
+            own = tails[start:end]
             start = end
             child = children.get(head)
             if child is None:
@@ -181,30 +190,35 @@ class TaskCounts:
         if not len(starts):
             return
         coded = _words(raw, starts, ends).dictionary_encode()
-        ids = []
-        for w in coded.dictionary.to_pylist():
-            k = self.number.setdefault(w, len(self.word))
-            if k == len(self.word):
-                self.word.append(_escaped(w))
-            ids.append(k)
+        own_words = coded.dictionary.to_pylist()
+        new = [w for w in own_words if w not in self.number]
+        self.number.update(zip(new, range(len(self.word) + 1, len(self.word) + 1 + len(new)), strict=True))
+        self.word += map(_escaped, new)
         # Id 0 stands for no word.
-        of_word = np.array(ids, np.uint32)[coded.indices.to_numpy(zero_copy_only=False)] + np.uint32(1)
-        table = np.zeros((len(of_word), LONGEST), np.uint32)
-        for j in range(LONGEST):
-            has = np.flatnonzero(left > j)
-            table[has, j] = of_word[has + j]
+        ids = np.fromiter(map(self.number.__getitem__, own_words), np.uint32, len(own_words))
+        of_word = ids[coded.indices.to_numpy(zero_copy_only=False)]
+        ahead = np.concatenate([of_word.astype(">u4"), np.zeros(LONGEST - 1, ">u4")])
+        table = np.lib.stride_tricks.sliding_window_view(ahead, LONGEST) * (left[:, None] > np.arange(LONGEST))
+        rows = np.ascontiguousarray(table.astype(">u4")).view(f"V{4 * LONGEST}").ravel()
+        two = of_word.astype(np.uint64) << np.uint64(32)
+        two[:-1] |= np.where(left[:-1] > 1, of_word[1:], 0).astype(np.uint64)
         tongues = langs.dictionary_encode()
         tongue = tongues.indices.to_numpy(zero_copy_only=False)[owner]
-        two = table[:, 0].astype(np.uint64) << np.uint64(32) | table[:, 1]
         for t, lang in enumerate(tongues.dictionary.to_pylist()):
             own = np.flatnonzero(tongue == t)
             if not len(own):
                 continue
-            strings = _bytes(table[own[np.argsort(two[own])]])
-            self.held += self.tries.setdefault(lang, Trie()).add(strings)
-
-    def spill(self, down_to: int) -> Iterator[pa.RecordBatch]:
-        """Whole subtrees as sorted runs, largest first, until ``down_to`` phrases are held."""
+            order = own[np.argsort(two[own])]
+            bucket = of_word[order] >> np.uint32(8)
+            at = np.flatnonzero(np.diff(bucket)) + 1
+            flat = rows[order].tobytes()
+            heads = [int(k).to_bytes(3, "big") for k in bucket[np.concatenate([[0], at])]]
+            tails = [flat[i + 3 : i + 4 * LONGEST] for i in range(0, len(flat), 4 * LONGEST)]
+            self.held += self.tries.setdefault(lang, Trie()).add_groups(heads, [*at.tolist(), len(own)], tails)
+
+    def spill(self, down_to: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+        """Whole subtrees as sorted runs (language, keys, counts), largest first, until
+        ``down_to`` phrases are held."""
         words = pa.array([b"", *self.word], pa.large_binary())
         rank = np.empty(len(words), np.uint64)
         rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.uint64)
@@ -222,26 +236,147 @@ class TaskCounts:
         for lang, (strings, times) in taken.items():
             ids = np.frombuffer(b"".join(strings), ">u4").reshape(-1, LONGEST).astype(np.uint32)
             counts = np.array(times, np.int64)
-            by = rank[ids]
-            half = np.uint64(32)
-            at = np.lexsort((by[:, 4], by[:, 2] << half | by[:, 3], by[:, 0] << half | by[:, 1]))
-            for i in range(0, len(at), ROWS):
-                part = at[i : i + ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), keys(words, ids[part]), pa.array(counts[part])], names=["lang", "key", "c"]
-                )
-
-
-def _bytes(ids: np.ndarray) -> list[bytes]:
-    """Each row as an id string."""
-    width, flat = 4 * ids.shape[1], ids.astype(">u4").tobytes()
-    return [flat[i : i + width] for i in range(0, len(flat), width)]
+            by, bits = rank[ids], np.uint64(len(words).bit_length())
+            code = np.zeros((2, len(ids)), np.uint64)  # a task knows few words: three in 64 bits
+            for j in range(LONGEST):
+                code[j // 3] = code[j // 3] << bits | by[:, j]
+            at = np.lexsort((code[1], code[0]))
+            yield lang, keys(words, ids[at]), counts[at]
 
 
 def keys(words: pa.Array, ids: np.ndarray) -> pa.Array:
     """Words joined by tabs; id 0 is no word."""
     columns = [pc.take(words, pa.array(c, mask=c == 0)) for c in ids.T]
-    return pc.binary_join_element_wise(*columns, pa.scalar(_TAB, pa.large_binary()), null_handling="skip").cast(pa.binary())
+    return pc.binary_join_element_wise(*columns, pa.scalar(_TAB, pa.large_binary()), null_handling="skip")
+
+
+def _first_from(own: pa.Array, bound: bytes) -> int:
+    """The place of the first of sorted keys that is not below ``bound``."""
+    low, high = 0, len(own)
+    while low < high:
+        middle = (low + high) // 2
+        if own[middle].as_py() < bound:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+_BLOCK = "to int, lang string, first binary, keys binary, counts binary"
+
+
+def blocks(lang: str, own: pa.Array, counts: np.ndarray, begin: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """A sorted run in blocks, none across the beginning of a range."""
+    code = lang.encode()
+    to = sum(b < code for b, _ in begin)  # ranges that begin in a language before
+    cuts = [_first_from(own, key) for b, key in begin if b == code]
+    rows: list[tuple] = []
+    for low, high in zip([0, *cuts], [*cuts, len(own)], strict=True):
+        for i in range(low, high, ROWS):
+            part = own.slice(i, min(ROWS, high - i))
+            ends = pa.array([0, len(part)], pa.int64())
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(ends, part), pa.scalar(_END, pa.large_binary()))
+            rows.append((to, lang, part[0].as_py(), joined[0].as_py(), counts[i : i + len(part)].tobytes()))
+        to += 1
+    if rows:
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["to", "lang", "first", "keys", "counts"])
+
+
+def _opened(block: bytes) -> pa.Array:
+    """The keys of a block."""
+    raw = np.frombuffer(block, np.uint8)
+    ends = np.append(np.flatnonzero(raw == _END[0]), len(raw))
+    return _words(raw, np.concatenate([[0], ends[:-1] + 1]), ends)
+
+
+class Merger:
+    """Merges one partition's blocks, in the order of their first keys, and counts prefixes.
+
+    What it yields is language, key, words and count.
+    """
+
+    def __init__(self, least: int) -> None:
+        self.least = least
+        self.lang = ""
+        self.keys: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+        self.open: dict[int, list] = {}
+        self.words: Counter[str] = Counter()
+
+    def add(self, lang: str, first: bytes, block: bytes, counts: bytes) -> Iterator[tuple[str, bytes, int, int]]:
+        if lang != self.lang:
+            yield from self.settle(None)
+            self.lang = lang
+        elif self.waiting > MERGED:
+            yield from self.settle(first)
+        self.keys.append(_opened(block))
+        self.counts.append(np.frombuffer(counts, np.int64))
+        self.waiting += len(self.counts[-1])
+
+    def settle(self, first: bytes | None) -> Iterator[tuple[str, bytes, int, int]]:
+        """Count the waiting phrases below ``first``, which no later block can add to."""
+        if not self.keys:
+            return
+        own, counts = pa.concat_arrays(self.keys), np.concatenate(self.counts)
+        order = pc.sort_indices(own)
+        own, counts = own.take(order), counts[order.to_numpy()]
+        cut = len(own) if first is None else _first_from(own, first)
+        self.keys, self.counts = ([own.slice(cut)], [counts[cut:]]) if cut < len(own) else ([], [])
+        self.waiting = len(own) - cut
+        for i in range(0, cut, MERGED):
+            part = slice(i, min(i + MERGED, cut))
+            self.words[self.lang] += int(counts[part].sum())
+            yield from prefixes(self.lang, own.slice(i, part.stop - i), counts[part], self.open, self.least)
+
+    def close(self) -> Iterator[tuple[str, bytes | None, int, int]]:
+        yield from self.settle(None)
+        for k, (lang, key, count, _) in self.open.items():
+            yield lang, key, k, count  # may go on in the next range
+        for lang, n in self.words.items():
+            yield lang, None, 0, n
+
+
+def prefixes(
+    lang: str, own: pa.Array, counts: np.ndarray, open_: dict[int, list], least: int
+) -> Iterator[tuple[str, bytes, int, int]]:
+    """lang, key, words, count of the prefixes that end within these sorted keys.
+
+    ``open_`` keeps, for each number of words, the prefix that may go on: its language, key and
+    count, and whether it was the first of the partition.
+    """
+    offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    data = np.frombuffer(own.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    tabs = np.append(np.flatnonzero(data == _TAB[0]), len(data))
+    first = np.searchsorted(tabs[:-1], offsets)
+    words = np.diff(first) + 1
+    for k in range(1, LONGEST + 1):
+        rows = np.flatnonzero(words >= k)
+        if not len(rows):
+            continue
+        end = np.where(words[rows] > k, tabs[np.minimum(first[rows] + k - 1, len(tabs) - 1)], offsets[rows + 1])
+        heads = _words(data, offsets[rows], end)
+        new = np.ones(len(rows), bool)
+        new[1:] = pc.not_equal(heads.slice(1), heads.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(counts[rows], at)
+        held = open_.get(k)
+        if held is not None and (held[0], held[1]) == (lang, heads[0].as_py()):
+            total[0] += held[2]
+            edge = held[3]
+        else:
+            if held is not None and (held[2] >= least or held[3]):
+                yield held[0], held[1], k, int(held[2])
+            edge = held is None
+        done = total[:-1] >= least
+        if edge and len(done):
+            done[0] = True
+        for i in np.flatnonzero(done):
+            yield lang, heads[int(at[i])].as_py(), k, int(total[i])
+        open_[k] = [lang, heads[int(at[-1])].as_py(), int(total[-1]), edge and len(at) == 1]
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -254,13 +389,16 @@ def _text_rows(docs: DataFrame) -> DataFrame:
 def _ranges(texts: DataFrame, parts: int) -> list[tuple[str, bytes]]:
     """Where the ranges of prefixes begin, from the second on.
 
-    From the phrases with the least hashes of all; at most SAMPLED for each range.
+    From the phrases with the least hashes of a sample of texts, drawn by hash; at most
+    SAMPLED for each range.
     """
+    share = min(1.0, DOCS * parts / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) <= int(1_000_003 * share))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.zeros(0, np.uint64)
         held: dict[int, tuple[str, bytes]] = {}
-        for batch in limited(batches):
+        for batch in limited(batches, most=TEXT):
             raw, starts, ends, left, owner = word_rows(batch.column(1))
             if not len(starts):
                 continue
@@ -282,134 +420,66 @@ def _ranges(texts: DataFrame, parts: int) -> list[tuple[str, bytes]]:
             h, lang, key = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lang), pa.array(key, pa.binary())], names=["h", "lang", "key"])
 
-    found = texts.mapInArrow(sample, "h long, lang string, key binary")
+    found = drawn.mapInArrow(sample, "h long, lang string, key binary")
     cuts = found.orderBy("h").limit(SAMPLED * parts).select("lang", "key").collect()  # bounded by the limit
     cuts = sorted({(r.lang.encode(), bytes(r.key)) for r in cuts})
     at = np.unique(np.linspace(0, len(cuts), parts + 1).astype(int)[1:-1])
     return [(cuts[i][0].decode(), cuts[i][1]) for i in at if i < len(cuts)]
 
 
-def _merged(rows: pa.RecordBatch, open_: dict[int, list], least: int) -> Iterator[tuple[str, bytes, int, int]]:
-    """lang, key, words, count of the prefixes that end with this batch of sorted rows.
-
-    ``open_`` keeps, for each number of words, the prefix that may go on: its key, its count
-    and whether it was the first of the partition.
-    """
-    lang = rows.column(0)[0].as_py()
-    whole = rows.column(1).cast(pa.large_binary())
-    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
-    data = np.frombuffer(whole.buffers()[2], np.uint8)[: offsets[-1]]
-    counts = np.asarray(rows.column(2))
-    tabs = np.flatnonzero(data == 9)
-    first = np.searchsorted(tabs, offsets[:-1])
-    words = np.searchsorted(tabs, offsets[1:]) - first + 1
-    for k in range(1, LONGEST + 1):
-        has = words >= k
-        if not has.any():
-            continue
-        place = first + k - 1
-        end = np.where(words > k, tabs[np.minimum(place, max(len(tabs) - 1, 0))] if len(tabs) else 0, offsets[1:])
-        size = end - offsets[:-1]
-        own = np.flatnonzero(has)
-        prefixes = _words(data, offsets[:-1][own], offsets[:-1][own] + size[own])
-        new = np.ones(len(own), bool)
-        new[1:] = pc.not_equal(prefixes.slice(1), prefixes.slice(0, len(own) - 1)).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(counts[own], at)
-        held = open_.get(k)
-        if held is not None and (held[0], held[1]) == (lang, prefixes[0].as_py()):
-            total[0] += held[2]
-            edge = held[3]
-        else:
-            if held is not None and (held[2] >= least or held[3]):
-                yield held[0], held[1], k, int(held[2])
-            edge = held is None
-        for i in np.flatnonzero((total[:-1] >= least) | (edge & (np.arange(len(at) - 1) == 0))):
-            yield lang, prefixes[int(at[i])].as_py(), k, int(total[i])
-        open_[k] = [lang, prefixes[int(at[-1])].as_py(), int(total[-1]), edge and len(at) == 1]
-
-
 def frequent(docs: DataFrame, least: int) -> DataFrame:
     """lang, phrase (words joined by blanks), words, f: the phrases of up to LONGEST words that
     occur ``least`` times or more, and for each lang a row without phrase whose f is the number
     of all words."""
     texts = _text_rows(docs)
     parts = tasks(docs)
-    starts = _ranges(texts, parts)
+    begin = [(lang.encode(), key) for lang, key in _ranges(texts, parts)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TaskCounts()
-
-        def dealt(runs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for run in runs:
-                lang = run.column(0)[0].as_py().encode()
-                own = run.column(1).to_pylist()
-                # A sorted run falls into consecutive ranges.
-                to, i = np.zeros(len(own), np.int32), 0
-                while i < len(own):
-                    r = bisect_right(begin, (lang, own[i]))
-                    j = len(own) if r == len(begin) else _first_from(own, i, lang, begin[r])
-                    to[i:j] = r
-                    i = j
-                yield pa.RecordBatch.from_arrays([pa.array(to), *run.columns], names=["to", "lang", "key", "c"])
-
-        begin = [(lang.encode(), key) for lang, key in starts]
-        for batch in limited(batches):
-            counter.add(batch.column(0), batch.column(1))
-            if len(counter.word) > WORDS:
-                yield from dealt(counter.spill(0))
-                counter.forget()
-            elif counter.held > HELD:
-                yield from dealt(counter.spill(HELD // 4))
-        yield from dealt(counter.spill(0))
+        counts = TaskCounts()
+
+        def spilt(down_to: int) -> Iterator[pa.RecordBatch]:
+            for run in counts.spill(down_to):
+                yield from blocks(*run, begin)
+
+        for batch in limited(batches, most=TEXT):
+            counts.add(batch.column(0), batch.column(1))
+            if len(counts.word) > WORDS:
+                yield from spilt(0)
+                counts.forget()
+            elif counts.held > HELD:
+                yield from spilt(HELD // 4)
+        yield from spilt(0)
+        counts.forget()
+        release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, list] = {}
-        words: dict[str, int] = {}
-        out: list[tuple] = []
+        merger, out = Merger(least), []
 
         def sent() -> pa.RecordBatch:
             lang, key, k, f = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang), pa.array([_plain(x) if x is not None else None for x in key], pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())],
-                names=["lang", "phrase", "words", "f"],
-            )
+            phrase = [None if x is None else _plain(x) for x in key]
+            columns = [pa.array(lang), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "f"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs = batch.column(0).dictionary_encode()
-            codes = langs.indices.to_numpy(zero_copy_only=False)
-            ends = [*(np.flatnonzero(np.diff(codes)) + 1), batch.num_rows]
-            start = 0
-            for end in ends:
-                part = batch.slice(start, end - start)
-                lang = part.column(0)[0].as_py()
-                words[lang] = words.get(lang, 0) + int(np.asarray(part.column(2)).sum())
-                out += _merged(part, open_, least)
-                start = end
-            if len(out) > ROWS:
-                yield sent()
-                out = []
-        out += [(lang, key, k, c) for k, (lang, key, c, _) in open_.items()]  # may go on in the next range
-        out += [(lang, None, 0, n) for lang, n in words.items()]
+            for i in range(batch.num_rows):
+                out += merger.add(*(c[i].as_py() for c in batch.columns))
+                if len(out) > ROWS:
+                    yield sent()
+                    out = []
+        out += merger.close()
         if out:
             yield sent()
+        release()
 
-    runs = texts.mapInArrow(count, "to int, lang string, key binary, c long")
-    dealt = runs.repartitionById(parts, F.col("to")).drop("to").sortWithinPartitions("lang", "key")
+    runs = texts.mapInArrow(count, _BLOCK)
+    dealt = runs.repartitionById(parts, F.col("to")).drop("to").sortWithinPartitions("lang", "first")
     counted = dealt.mapInArrow(merge, "lang string, phrase string, words int, f long")
     whole = counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return whole.where((F.col("f") >= least) | F.col("phrase").isNull())
 
 
-def _first_from(own: list[bytes], start: int, lang: bytes, bound: tuple[bytes, bytes]) -> int:
-    """The first place from ``start`` on that lies in the range beginning with ``bound``."""
-    if lang < bound[0]:
-        return len(own)
-    return max(start + 1, bisect_left(own, bound[1], start))
-
-
 def collocations(docs: DataFrame, least: int, most: int) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``most`` best phrases of each language."""
     found = staged(frequent(docs, least))
