@@ -144,7 +144,7 @@ def document_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The filters A to D of ``text_failures`` and E, a text that a smaller doc_id has as well,
     over ``docs`` by lang, with the labelled good and toxic documents each order loses.
 
-    Several labels of a document count as the union of what they say.
+    Several labels of a document count as the union of what they say; a null doc_id has none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     judged = docs.select(

@@ -59,7 +59,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     The pattern ``example.net/en/`` fits the host and its subdomains if the path begins with
     ``/en/``.  Of equally long ones the first listed wins.
     """
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for pattern, verdict in sorted(reversed(rules), key=lambda r: len(r[0])):
         name, _, start = pattern.partition("/")
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -138,6 +139,33 @@ def test_key_blocks_with_headers_and_tokens_with_blanks():
             assert secrets.confirmed_spans(f"In.Dec.{token} x") == [(7, 7 + len(token), "jwt")]
 
 
+def test_inner_keys_wrapped_runs_and_odd_digits():
+    number = der(2, b"\x01" * 40)
+    rsa = der(0x30, der(2, b"\0") + number * 8)
+    ec = der(0x30, der(2, b"\x01") + der(4, bytes(range(32))))
+
+    def pkcs8(oid, inner):
+        return der(0x30, der(2, b"\0") + der(0x30, der(6, oid) + der(5, b"")) + der(4, inner))
+
+    good = [pkcs8(secrets._RSA, rsa), pkcs8(secrets._EC, ec), pkcs8(b"\x2b\x65\x70", der(4, bytes(32))), pkcs8(secrets._DSA, number)]
+    bad = [
+        pkcs8(secrets._RSA, bytes(range(200))), pkcs8(secrets._RSA, ec), pkcs8(secrets._EC, rsa),
+        pkcs8(b"\x2b\x65\x70", der(4, bytes(31))), pkcs8(b"\x2a\x03", b"any content"),
+    ]
+    assert all(map(secrets.is_der_key, good)) and not any(map(secrets.is_der_key, bad))
+
+    body = base64.b64encode(rsa).decode()
+    for width, end in ((64, "\n"), (76, "\r\n"), (40, "\n  ")):
+        wrapped = end.join(body[k : k + width] for k in range(0, len(body), width))
+        for after in ("", "\n", "\nHello there", " x"):
+            text = f"key:\n{wrapped}{after}"
+            assert (5, 5 + len(wrapped), "der") in secrets.confirmed_spans(text), (width, after)
+    for before in ("", "a", "0"):
+        for after in ("", "b"):
+            run = rsa.hex()
+            assert secrets.confirmed_spans(f"x {before}{run}{after} y") == [(2 + len(before), 2 + len(before) + len(run), "der")]
+
+
 # ---------------------------------------------------------------- 4 jaccard
 
 
@@ -468,6 +496,51 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def near_copies(kind, n=7_000):
+    """Vectors of which five in seven are near copies of one, or copies of it to scale."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 32))
+    copies = rng.permutation(n)[: n * 5 // 7]
+    centre = rng.normal(size=32)
+    if kind == "near":
+        x[copies] = centre * (1 + 1e-3 * rng.normal(size=(len(copies), 32)))
+    else:
+        x[copies] = centre * 2.0 ** rng.integers(-20, 20, (len(copies), 1))
+    return x
+
+
+@pytest.mark.parametrize("kind", ["near", "scaled"])
+def test_recall_among_copies(spark, kind):
+    """Ids are compared, not only scores; ties go to the smaller id."""
+    x = near_copies(kind)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(rows, F.col("vec_id") % 50 == 0, 5).toPandas()
+    units = x / np.abs(x).max(1, keepdims=True)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = units[::50] @ units.T
+    near[np.arange(len(near)), np.arange(0, len(x), 50)] = -9
+    if kind == "scaled":
+        near = np.round(near, 12)  # exact ties
+    ids = np.arange(len(x))
+    want = {(50 * q, int(v)) for q, row in enumerate(near) for v in np.lexsort((ids, -row))[:5]}
+    got = set(zip(found.query_id, found.vec_id, strict=True))
+    assert len(found) == 5 * len(near) and len(want & got) / len(want) >= 0.95
+
+
+def test_a_wider_beam_does_not_expand_again(spark):
+    """Widening goes on from what is scored: no node is expanded twice for a query."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>").cache()
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ring = spark.createDataFrame([(i, [(i + d) % 600 for d in (1, 2, 7, 50, 599)]) for i in range(600)], "at long, tos array<long>").cache()
+    narrow = neighbours.walk(nodes, ring, neighbours._begin(spark, [0, 300]), units[[0, 300]], 8)
+    done = {(r.q, r.node) for r in narrow.where("done").collect()}
+    wide = neighbours.walk(nodes, ring, narrow, units[[0, 300]], 16)
+    assert {(r.q, r.node) for r in wide.where("done").collect()} >= {(r.q, r.node) for r in wide.where("k <= 16").collect()}
+    assert len(done) >= 16 and {(r.q, r.node) for r in wide.where("done").collect()} & done
+
+
 def test_widths_follow_the_measured_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "DEGREE", 6)
     monkeypatch.setattr(neighbours, "BEAM", 8)
@@ -492,6 +565,61 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+# ---------------------------------------------------------------- clashing names, memory
+
+CLASHING = ["__id", "__hash", "__repeats", "__text_hash", "helper0", "HELPER1", "__score", "__found", "__bytes"]
+
+
+def test_helper_names_do_not_clash(spark, sf):
+    import corpus_pipeline
+
+    rows = [(k, f"one two three four five six seven {k // 2}", "en", "s", 40, *range(len(CLASHING))) for k in range(6)]
+    names = ", ".join(f"{c} int" for c in CLASHING)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(tuple(r)[5:] == tuple(range(len(CLASHING))) for r in out.collect())
+    one = jaccard.one_of_each(docs, 5, 80).collect()
+    assert {r.doc_id for r in one} == {0, 2, 4}
+    # The last stage's results replace columns of their names; others stay.
+    more = docs.withColumns({"ids": F.lit("x"), "N_tokens": F.lit(-1), "ids_sha256": F.lit(0)})
+    last = corpus_pipeline.STAGES[-1][1](spark, more, sf)
+    assert sorted(last.columns) == sorted([*(c for c in docs.columns if c != "text"), "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+    for r in last.collect():
+        assert r.n_tokens == len(r.ids) > 5 and r["__bytes"] == CLASHING.index("__bytes")
+
+
+def test_bpe_of_odd_rows(spark, odd, none):
+    """Nulls, repeated rows, empty tables and an extra column, against the library."""
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.extra) for r in bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect())
+    want = []
+    for r in odd.collect():
+        ids = own.encode_ordinary(r.text or "")
+        want.append((str(r.doc_id), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), r.extra))
+    assert got == sorted(want)
+    assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_tasks_leave_nothing_open(monkeypatch):
+    """The database ends with its task; the words kept are bounded in bytes."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    with bpe.Task(RANKS) as task:
+        encoder = bpe.Encoder(task, public_tokenizers.PATTERN)
+        for i in range(30):
+            encoder.encode(pa.array([" ".join(f"zq{i}x{j}" for j in range(200))]))
+            assert encoder.bytes < 20_000 + 2 * 200 * (bpe.WORD_COST + 60)
+    with pytest.raises(Exception, match="closed"):
+        task.base.execute("SELECT 1")
+
+
+def test_secrets_of_odd_rows(spark, odd, none):
+    rows = odd.select("doc_id", secrets.scan(F.col("text")).alias("found")).select("doc_id", "found.*").collect()
+    assert len(rows) == 9 and all(r.n_assign == r.n_access == r.n_hex == 0 and r.spans == "" for r in rows)
+    assert none.select(secrets.scan(F.col("text")).alias("found")).count() == 0
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
@@ -508,7 +636,9 @@ def test_pipeline(spark, sf, odd, none):
     assert len({r.doc_id for r in got}) == len(got)
 
 
-@pytest.mark.parametrize("name", ["op4_jaccard", "op6_decontamination"])
+@pytest.mark.parametrize(
+    "name", ["op4_jaccard", "op6_decontamination", "op11_filter_audit", "op12_phrases", "op13_url_reputation"]
+)
 def test_equals_sql(spark, sf, name):
     import check
 
