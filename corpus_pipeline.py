@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet
 to the shared folder and reads it back for the next.  All but the last return the columns of
 documents.  Nulls, empty texts, repeated rows and extra columns fare as in each operator's
-docstring; an empty table passes through empty.
+docstring; an empty table passes through empty.  Helper columns take names that documents do
+not have; the last stage's results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm import bpe, decontaminate, jaccard, pii, quality
-from cohortkit.llm.common import staged, table
+from cohortkit.llm.common import free_names, staged, table
 from cohortkit.llm.queries import KEEP
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__score", quality.score(docs, model)).where(F.col("__score") >= KEEP).drop("__score")
+    (score,) = free_names(docs, 1)
+    return docs.withColumn(score, quality.score(docs, model)).where(F.col(score) >= KEEP).drop(score)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontaminate.matches(F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("__found", found).where(F.size("__found") == 0).drop("__found")
+    (name,) = free_names(docs, 1)
+    return docs.withColumn(name, found).where(F.size(name) == 0).drop(name)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
