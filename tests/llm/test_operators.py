@@ -565,6 +565,16 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_windows_of_few_shingles_are_all_found():
+    """A window of 4 shingles in an item of 5 has a similarity of exactly 0.8."""
+    rng = np.random.default_rng(2)
+    for n, m in ((4, 5), (8, 10), (12, 15)):
+        for _ in range(700):
+            item = rng.integers(0, 2**63, m).astype(np.uint64)
+            part = decontaminate.Slice(5, [1], [m + 4], [np.sort(item)]).close()
+            assert part.alike(m + 4, item[:n]) == [(0, pytest.approx(0.8))]
+
+
 # ---------------------------------------------------------------- clashing names, memory
 
 CLASHING = ["__id", "__hash", "__repeats", "__text_hash", "helper0", "HELPER1", "__score", "__found", "__bytes"]
