@@ -20,17 +20,17 @@ empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm import boost
-from cohortkit.llm.common import raw_text, span_hashes, staged, word_spans
+from cohortkit.llm.common import limited, raw_text, span_hashes, staged, word_spans
 
 SAMPLE = 3_000
 TAUGHT = 750
@@ -184,14 +184,13 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [text.alias("text"), meta[0].alias("source"), meta[1].alias("lang"), chars.alias("n_chars")]
 
 
-def _views(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _views(columns: Sequence[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch: text, source, lang and n_chars."""
     parts = []
-    for i in range(0, max(len(frame), 1), TOGETHER):
-        some = frame.iloc[i : i + TOGETHER]
-        texts = pa.array(some.text, pa.string(), from_pandas=True)
-        chars = [None if pd.isna(c) else c for c in some.n_chars]
-        meta = {c: [v if isinstance(v, str) else None for v in some[c]] for c in META}
-        parts.append((text_view(texts), meta_view({**meta, "n_chars": chars}, texts)))
+    for i in range(0, max(len(columns[0]), 1), TOGETHER):
+        text, source, lang, chars = (c.slice(i, TOGETHER) for c in columns)
+        meta = {"source": source.to_pylist(), "lang": lang.to_pylist(), "n_chars": chars.to_pylist()}
+        parts.append((text_view(text), meta_view(meta, text)))
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -211,59 +210,56 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, taught: int =
         """About ``most`` of ``n`` documents, by hash."""
         return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale)) < int(scale * min(1.0, most / max(n, 1))) + 1
 
-    def fetched(picked: DataFrame) -> pd.DataFrame:
+    def fetched(picked: DataFrame) -> pa.Table:
         """The rows of a drawn, hence bounded, sample of doc_ids."""
-        return rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+        found = rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+        return found.toArrow().sort_by("doc_id").combine_chunks()
+
+    def viewed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _views([pa.concat_arrays(table[c].chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
+                       for c in ("text", *META, "n_chars")])
 
     def teach(
         turn: int, weights: list[np.ndarray], lines: list[tuple[float, float]], sure: list[tuple[float, float]]
     ) -> list[Taught]:
-        @F.pandas_udf("text double, meta double")
-        def chances(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                frame = pd.concat(part, axis=1, keys=["text", *META, "n_chars"])
-                got = [np.zeros((0, 2))]
-                for i in range(0, len(frame), 512):
-                    both = zip(_views(frame.iloc[i : i + 512]), weights, lines, strict=True)
-                    got.append(np.stack([_probability(x, w, line) for x, w, line in both], 1))
-                yield pd.DataFrame(np.concatenate(got), columns=["text", "meta"])
-
-        def guess(view: str, high: float, low: float) -> Column:
-            p = F.col(f"p.{view}")
-            return F.when(p >= high, 1).when(p <= low, 0).alias(view)
-
-        scored = rows.select("doc_id", chances("text", *META, "n_chars").alias("p"))
-        guesses = scored.select("doc_id", guess("text", *sure[0]), guess("meta", *sure[1]))
-        sure_ = guesses.where("text is not null or meta is not null").join(known, "doc_id", "left_anti")
-        sure_ = staged(sure_)
+        def guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in limited(batches):
+                given = []
+                for x, w, line, (high, low) in zip(_views(batch.columns[1:]), weights, lines, sure, strict=True):
+                    p = _probability(x, w, line)
+                    given.append(pa.array((p >= high).astype(np.int32), mask=(p < high) & (p > low)))
+                both = pa.RecordBatch.from_arrays([batch.column(0), *given], names=["doc_id", "text", "meta"])
+                yield both.filter(pc.or_(given[0].is_valid(), given[1].is_valid()))
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        sure_ = staged(rows.mapInArrow(guesses, f"doc_id {kind}, text int, meta int").join(known, "doc_id", "left_anti"))
         found = [(view, c) for view in ("text", "meta") for c in (0, 1)]
         counts = sure_.agg(*(F.count(F.when(F.col(view) == c, 1)) for view, c in found)).first()
         picks = [(F.col(view) == c) & drawn(turn + 1, n, taught) for (view, c), n in zip(found, counts, strict=True)]
         few = sure_.select("doc_id", *(
             F.when(picks[2 * k], 0).when(picks[2 * k + 1], 1).alias(f"by_{view}") for k, view in enumerate(("text", "meta"))
         ))
-        frame = fetched(few.where("by_text is not null or by_meta is not null"))
-        views = _views(frame)
+        table = fetched(few.where("by_text is not null or by_meta is not null"))
+        views = viewed(table)
         out: list[Taught] = []
         for name in ("by_text", "by_meta"):
-            own = frame[name].notna().to_numpy()
-            out.append(((views[0][own], views[1][own]), frame[name][own].to_numpy(float)))
+            labels = table[name].to_numpy().astype(float)  # null is NaN
+            own = ~np.isnan(labels)
+            out.append(((views[0][own], views[1][own]), labels[own]))
         return out
 
     some = fetched(known.where(drawn(0, known.count(), sample)))
-    return cotrain(_views(some), some.quality.to_numpy(float), teach)
+    return cotrain(viewed(some), some["quality"].to_numpy().astype(float), teach)
 
 
 def score(docs: DataFrame, model: Model) -> Column:
     """Probability that a row of ``docs`` is of good quality."""
 
-    @F.pandas_udf("double")
-    def work(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def work(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for part in parts:
-            frame = pd.concat(part, axis=1, keys=["text", *META, "n_chars"])
-            out = [
-                model.score(*_views(frame.iloc[i : i + 512])) for i in range(0, len(frame), 512)
-            ]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            batch = pa.RecordBatch.from_arrays(list(part), names=["text", *META, "n_chars"])
+            found = [model.score(*_views(own.columns)) for own in limited([batch])]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
 
     return work(*_columns(docs))
