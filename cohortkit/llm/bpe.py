@@ -31,16 +31,18 @@ from cohortkit.llm.common import free_names, limited, release, without
 from cohortkit.llm.pieces import gather, pieces
 
 #: Bytes of words and ids kept between the batches of a task; beyond it the memory starts anew.
-REMEMBERED = 64 << 20
+REMEMBERED = 32 << 20
 #: What a word takes beside its own bytes and ids: a string, a dictionary entry, an end.
 WORD_COST = 160
-#: Words of one recursive query.
-TOGETHER = 20_000
 #: The recursive query keeps the rows of all its steps, which for a word of n bytes are up
-#: to n * n / 2.  Longer words are contracted one by one with a heap, in the same order.
+#: to n * n / 2.  Words go together up to this many rows; longer words than LONG_WORD are
+#: contracted one by one with a heap, in the same order.
+STEPS = 1_500_000
 LONG_WORD = 512
 #: Ids decoded by one aggregation (a longer document is one on its own).
-DECODED = 250_000
+DECODED = 100_000
+#: Bytes of text encoded at once.
+TEXT = 2 << 20
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, place, id) AS (
@@ -82,7 +84,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _database() -> duckdb.DuckDBPyConnection:
     base = duckdb.connect()
     base.execute("SET threads = 1")
-    base.execute("SET memory_limit = '150MB'")
+    base.execute("SET memory_limit = '100MB'")
     return base
 
 
@@ -127,6 +129,16 @@ def _tables(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table]:
     return ranks, merges, pa.table({"id": ids, "hex": [t.hex() for t in ranks]})
 
 
+def _in_steps(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in order, in groups whose contraction takes at most STEPS rows (or one word)."""
+    rows = np.cumsum([len(w) * (len(w) + 1) // 2 for w in words], dtype=np.int64)
+    start, base = 0, 0
+    while start < len(words):
+        stop = max(start + 1, int(np.searchsorted(rows, base + STEPS, "right")))
+        yield words[start:stop]
+        start, base = stop, int(rows[stop - 1])
+
+
 class Encoder:
     """The words a task has met lately, and how to contract others."""
 
@@ -202,8 +214,8 @@ class Encoder:
             names.append(word)
             parts.append(own)
             counts.append([len(own)])
-        for i in range(0, len(plain), TOGETHER):
-            ids, sizes = self.contract([w.encode() for w in plain[i : i + TOGETHER]])
+        for together in _in_steps([w.encode() for w in plain]):
+            ids, sizes = self.contract(together)
             parts.append(ids)
             counts.append(sizes)
         if counts:
@@ -242,7 +254,7 @@ def encode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Task(vocabulary) as task:
             encoder = Encoder(task, pattern)
-            for batch in limited(batches, text):
+            for batch in limited(batches, text, TEXT):
                 got, bounds = encoder.encode(batch.column(batch.schema.get_field_index(text)))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got, pa.int32()))
                 yield _with_column(batch, ids, lists, text)
@@ -322,7 +334,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Task(vocabulary) as task:
             encoder, decoder = Encoder(task, pattern), Decoder(task)
-            for batch in limited(batches, text_):
+            for batch in limited(batches, text_, TEXT):
                 ids, bounds = encoder.encode(batch.column(batch.schema.get_field_index(text_)))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 back = pa.array(decoder.decode(ids, bounds), pa.binary())
