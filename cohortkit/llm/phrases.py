@@ -45,7 +45,7 @@ WORDS = 300_000
 #: Bytes of text counted at once.
 TEXT = 2 << 20
 #: Phrases of one block of a run, and those that a partition lets wait before it counts them.
-ROWS = 20_000
+ROWS = 4_096
 MERGED = 100_000
 #: Phrases sampled for each range, to cut the ranges, and texts that they come from.
 SAMPLED = 100
@@ -302,7 +302,7 @@ class Merger:
         self.lang = ""
         self.keys: list[pa.Array] = []
         self.counts: list[np.ndarray] = []
-        self.waiting = 0
+        self.waiting, self.limit = 0, MERGED
         self.open: dict[int, list] = {}
         self.words: Counter[str] = Counter()
 
@@ -310,8 +310,10 @@ class Merger:
         if lang != self.lang:
             yield from self.settle(None)
             self.lang = lang
-        elif self.waiting > MERGED:
+        elif self.waiting > self.limit:
             yield from self.settle(first)
+            # What overlaps stays; sorting it again at each block would take the square of it.
+            self.limit = max(MERGED, 2 * self.waiting)
         self.keys.append(_opened(block))
         self.counts.append(np.frombuffer(counts, np.int64))
         self.waiting += len(self.counts[-1])
