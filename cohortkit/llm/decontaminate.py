@@ -30,14 +30,13 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm.common import (
-    limited, lower_ascii, mix, raw_text, shingle_hashes, span_hashes, word_spans,
+    limited, lower_ascii, mix, raw_text, release, shingle_hashes, span_hashes, word_spans,
 )
 
 WORDS = 5
@@ -197,14 +196,20 @@ def _matches(texts: pa.Array, parts: list[Slice]) -> list[list[dict]]:
     return out
 
 
-def _finder(sent: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    def work(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in parts:
-            whole = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
+_MATCH = pa.list_(pa.struct(
+    [("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())]
+))
+
+
+def _finder(sent: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def work(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            whole = pa.RecordBatch.from_arrays([texts], ["text"])
             rows = [m for batch in limited([whole]) for m in _matches(batch.column(0), sent.value)]
-            yield pd.Series(rows, dtype=object)
+            yield pa.array(rows, _MATCH)
+        release()
 
-    work.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    work.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return work
 
 
@@ -213,7 +218,7 @@ def matches(text: Column, benchmark: DataFrame) -> Column:
     context = benchmark.sparkSession.sparkContext
     whole = F.coalesce(text.cast("string"), F.lit(""))
     found = [
-        F.pandas_udf(_finder(context.broadcast(part)), MATCHES)(whole) for part in slices(benchmark)
+        F.arrow_udf(_finder(context.broadcast(part)), MATCHES)(whole) for part in slices(benchmark)
     ]
     if not found:
         return F.from_json(F.lit("[]"), MATCHES)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.common import (
     free_names, limited, lower_ascii, mix, raw_text, shingle_hashes, span_hashes, staged, tasks, text_column,
-    word_spans,
+    tidy, word_spans,
 )
 
 #: Members of a tile compared at once, on either side.
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     text = text_column(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = "doc_id long, text_hash long, n long, h1 long, h2 long, bits array<long>, keys array<long>"
-    return staged(rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()))
+    return staged(rows.mapInArrow(tidy(work), schema).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _fold(longer: str) -> str:
@@ -234,10 +234,10 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
 
     loaded = found.select("a", "part", "side", "row", "text").mapInArrow(
-        load, "a long, part int, side int, row long, shingles binary"
+        tidy(load), "a long, part int, side int, row long, shingles binary"
     )
     ordered = loaded.repartition(tasks(docs), "a", "part").sortWithinPartitions("a", "part", "side")
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(tidy(compare), "a long, b long")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -304,7 +304,7 @@ def _together(tiled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (tile, row, least)], names)
 
     dealt = tiled.repartition(tasks(tiled), "tile").sortWithinPartitions("tile", "row")
-    return dealt.mapInArrow(work, "tile long, row long, least long")
+    return dealt.mapInArrow(tidy(work), "tile long, row long, least long")
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm import boost
-from cohortkit.llm.common import limited, raw_text, span_hashes, staged, word_spans
+from cohortkit.llm.common import limited, raw_text, release, span_hashes, staged, tidy, word_spans
 
 SAMPLE = 3_000
 TAUGHT = 750
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, taught: int =
                 yield both.filter(pc.or_(given[0].is_valid(), given[1].is_valid()))
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        sure_ = staged(rows.mapInArrow(guesses, f"doc_id {kind}, text int, meta int").join(known, "doc_id", "left_anti"))
+        sure_ = staged(rows.mapInArrow(tidy(guesses), f"doc_id {kind}, text int, meta int").join(known, "doc_id", "left_anti"))
         found = [(view, c) for view in ("text", "meta") for c in (0, 1)]
         counts = sure_.agg(*(F.count(F.when(F.col(view) == c, 1)) for view, c in found)).first()
         picks = [(F.col(view) == c) & drawn(turn + 1, n, taught) for (view, c), n in zip(found, counts, strict=True)]
@@ -261,5 +261,6 @@ def score(docs: DataFrame, model: Model) -> Column:
             batch = pa.RecordBatch.from_arrays(list(part), names=["text", *META, "n_chars"])
             found = [model.score(*_views(own.columns)) for own in limited([batch])]
             yield pa.array(np.concatenate([np.zeros(0), *found]))
+        release()
 
     return work(*_columns(docs))
