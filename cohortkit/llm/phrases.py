@@ -50,6 +50,7 @@ MERGED = 100_000
 #: Phrases sampled for each range, to cut the ranges, and texts that they come from.
 SAMPLED = 100
 DOCS = 50
+LEAST_SAMPLE = 20_000
 #: Best phrases are found in so many parts of a language first.
 PARTS = 64
 
@@ -394,7 +395,10 @@ def _ranges(texts: DataFrame, parts: int) -> list[tuple[str, bytes]]:
     From the phrases with the least hashes of a sample of texts, drawn by hash; at most
     SAMPLED for each range.
     """
-    share = min(1.0, DOCS * parts / max(1, texts.count()))
+    n = max(1, texts.count())
+    share = min(1.0, DOCS * parts / n)
+    # So many phrases as texts of a hundred words would need, however the texts are dealt.
+    bound = np.uint64(min(2**64 - 1, int(2**64 * max(SAMPLED * parts, LEAST_SAMPLE) / (100 * n * share))))
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) <= int(1_000_003 * share))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +413,10 @@ def _ranges(texts: DataFrame, parts: int) -> list[tuple[str, bytes]]:
             for j in range(1, LONGEST):
                 value = np.where(left > j, mix(value * np.uint64(31) + np.roll(words, -j) + np.uint64(j)), value)
             once, first = np.unique(mix(value), return_index=True)
-            once, first = once[: SAMPLED * parts], first[: SAMPLED * parts]
+            few = min(SAMPLED * parts, int(np.searchsorted(once, bound, "right")))
+            if not few:
+                continue
+            once, first = once[:few], first[:few]
             least = np.unique(np.concatenate([least, once]))[: SAMPLED * parts]
             for h, i in zip(once.tolist(), first.tolist(), strict=True):
                 if h <= least[-1]:
