@@ -154,15 +154,15 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _summed(cases: DataFrame, work: Work, sums: int, bounds: int = 0) -> tuple[np.ndarray, ...]:
-    """The sums, least and greatest of what ``work`` yields for each task, in one job."""
-    parts = cases.mapInArrow(work, "total array<double>, least array<double>, most array<double>")
-    # One row per task is added up; a row's arrays are short.
-    row = parts.agg(
-        F.array(*(F.sum(F.get("total", F.lit(i))) for i in range(sums))),
-        F.array(*(F.min(F.get("least", F.lit(i))) for i in range(bounds))),
-        F.array(*(F.max(F.get("most", F.lit(i))) for i in range(bounds))),
-    ).head()
-    return tuple(np.array([np.nan if v is None else v for v in part], float) for part in row)
+    """What ``work`` yields for each task as one array, in one job: the sums of its first
+    ``sums`` numbers, the least of the next ``bounds``, the greatest of the last ``bounds``."""
+    parts = cases.mapInArrow(work, "numbers array<double>")
+    places = parts.select(F.posexplode("numbers").alias("at", "x")).groupBy("at")
+    rows = places.agg(F.sum("x"), F.min("x"), F.max("x")).collect()  # a row for each number
+    out = np.full((3, sums + 2 * bounds), np.nan)
+    for at, *three in rows:
+        out[:, at] = three
+    return out[0, :sums], out[1, sums : sums + bounds], out[2, sums + bounds :]
 
 
 @dataclass(frozen=True)
@@ -212,8 +212,8 @@ def _measure(cases: DataFrame, p: int) -> _Measured:
                 if has.any():
                     least[side] = np.minimum(least[side], x[has].min(0))
                     most[side] = np.maximum(most[side], x[has].max(0))
-        arrays = (pa.array([v.ravel().tolist()], pa.list_(pa.float64())) for v in (total, least, most))
-        yield pa.RecordBatch.from_arrays(list(arrays), names=["total", "least", "most"])
+        flat = np.concatenate([total, least.ravel(), most.ravel()]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["numbers"])
 
     total, least, most = _summed(cases, work, 3 + p, 2 * p)
     if not total[0] > 0:
@@ -247,10 +247,7 @@ def _outer_sums(cases: DataFrame, known: _Measured, theta: np.ndarray, kind: str
                 times = size * chance * (1 - chance)
             matrix += (z * times[:, None]).T @ z
         flat = [float(likelihood), *score.tolist(), *matrix[upper].tolist()]
-        nothing = pa.array([[]], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([flat], pa.list_(pa.float64())), nothing, nothing], names=["total", "least", "most"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["numbers"])
 
     total = _summed(cases, work, 1 + (p + 1) + len(upper[0]))[0]
     matrix = np.zeros((p + 1, p + 1))
