@@ -13,7 +13,9 @@ Within tiles only connectivity is needed.  Equal sets become one representative
 member is compared with its tile's least; then members of one tile that are still in
 different components are compared block by block.  A comparison first counts the bits in
 which two hashed bitmaps differ: each needs a shingle of its own, so the count bounds the
-overlap from above.  Only pairs that can still link are intersected exactly.
+overlap from above.  Only pairs that can still link are intersected exactly: first the pairs
+that would join a block's components, were they links; then, of what those leave apart, all,
+within the block.  Neither step lists more pairs than a block has components.
 
 What is kept of a text: documents without words have no shingles and link with nothing.
 Nulls are empty texts.  Rows may repeat and doc_ids may be null or repeat: links are between
@@ -36,8 +38,9 @@ from cohortkit.llm.common import (
     tidy, word_spans,
 )
 
-#: Members of a tile compared at once, on either side.
+#: Members of a tile compared at once, on either side, and the shingles they may have.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21
 #: Broadcast the documents to fetch up to this many; beyond it the join shuffles.
 FEW = 1_000_000
 
@@ -307,24 +310,31 @@ def _together(tiled: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(work), "tile long, row long, least long")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (tile, row, root, n, bits) of one tile in different components that
-    the bit counts leave.
+def _split(placed: DataFrame, by: list[str]) -> DataFrame:
+    """The members (row, root) of groups ``by`` that are not within one component."""
+    ends = placed.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(ends.select(*by), by, "left_semi")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (tile, row, root, n, bits) of tiles in groups (tile, i, j) of bounded size, in
+    which those of ``side`` 0 meet those of ``side`` 1.
 
     The members outside the component of the tile's least row form blocks; every member
-    meets each block of others once, in groups of bounded size.
+    meets each block of others once.
     """
     facts = members.groupBy("tile").agg(
         F.min(F.struct("row", "root")).getField("root").alias("main"), F.count("*").alias("m"),
         F.min("root").alias("low"), F.max("root").alias("high"),
+        F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.lit(BLOCK_SHINGLES) / F.max("n"))).cast("int").alias("most"),
     ).where("low <> high")
     open_ = members.join(facts, "tile")
     others = open_.where("root <> main").groupBy("tile").agg(F.count("*").alias("others"))
     open_ = open_.join(others, "tile").withColumns(
         {
             "outer": F.col("root") != F.col("main"),
-            "blocks": F.ceil(F.col("others") / BLOCK).cast("int"),
-            "mains": F.ceil((F.col("m") - F.col("others")) / BLOCK).cast("int"),
+            "blocks": F.ceil(F.col("others") / F.col("most")).cast("int"),
+            "mains": F.ceil((F.col("m") - F.col("others")) / F.col("most")).cast("int"),
         }
     )
     own = F.when(F.col("outer"), F.pmod(F.hash("row"), F.col("blocks"))).otherwise(F.pmod(F.hash("row"), F.col("mains")))
@@ -340,40 +350,110 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     as_other = open_.where("outer").select(
         *keep, F.explode(F.expr("sequence(0, own)")).alias("i"), (-F.col("own") - 1).alias("j"), F.lit(1).alias("side")
     )
-    dealt = as_block.unionByName(as_main).unionByName(as_other)
-
-    def compare(group: pa.Table) -> pa.Table:
-        left, right = _bounded(group, percent)
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return dealt.groupBy("tile", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return as_block.unionByName(as_main).unionByName(as_other)
+
+
+class _Group:
+    """The members of a block: rows, sizes, bitmaps folded to one width, labels of components."""
+
+    def __init__(self, group: pa.Table, n: np.ndarray, bits: np.ndarray, at: np.ndarray, percent: int) -> None:
+        self.row, self.n, self.percent = np.asarray(group["row"]), n, percent
+        self.label = np.unique(np.asarray(group["root"]), return_inverse=True)[1]
+        widths = np.diff(at)
+        words = int(widths.min(initial=1 << 30))
+        self.maps = np.zeros((len(n), words), np.uint64)
+        for width in np.unique(widths).tolist():
+            of = np.flatnonzero(widths == width)
+            whole = bits[at[of][:, None] + np.arange(width)].reshape(len(of), -1, words)
+            self.maps[of] = np.bitwise_xor.reduce(whole, axis=1)
+        side = np.asarray(group["side"])
+        self.zero, self.one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Members of side 0 with those of side 1 in other components that the bit counts let
+        link with them, nearest first."""
+        one, n, label, percent = self.one, self.n, self.label, self.percent
+        maps = self.maps[one]
+        step = max(1, (1 << 20) // max(maps.size, 1))
+        for i in range(0, len(self.zero), step):
+            zero = self.zero[i : i + step]
+            differ = np.bitwise_count(self.maps[zero][:, None] ^ maps).sum(2, dtype=np.int64)
+            a, b = n[zero][:, None], n[one]
+            total = a + b
+            fits = ((100 + percent) * ((total - differ) // 2) >= percent * total) & (label[zero][:, None] != label[one])
+            fits &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            for k in np.flatnonzero(fits.any(1)).tolist():
+                at = np.flatnonzero(fits[k])
+                yield int(zero[k]), one[at[np.argsort(differ[k, at] / total[k, at], kind="stable")]]
+
+
+def _merge(label: np.ndarray, k: int, others: np.ndarray) -> None:
+    label[np.isin(label, label[others])] = label[k]
+
+
+def _doubtful(blocks: DataFrame, percent: int) -> DataFrame:
+    """The members of blocks that the bit counts let link with another component there.
+
+    Their ``partners`` are pairs that would join all such components of the block, were all
+    of them links: fewer than the block has components.
+    """
 
+    def mark(group: pa.Table) -> pa.Table:
+        lists = group["bits"].combine_chunks()
+        at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        own = _Group(group, np.asarray(group["n"]), np.asarray(lists.flatten()).view(np.uint64), at, percent)
+        marked, joined = np.zeros(len(own.row), bool), own.label.copy()
+        partners: list[list[int]] = [[] for _ in own.row]
+        for k, near in own.pairs():
+            marked[near] = marked[k] = True
+            near = near[joined[near] != joined[k]]
+            near = near[np.unique(joined[near], return_index=True)[1]]
+            partners[k] = own.row[near].tolist()
+            _merge(joined, k, near)
+        kept = group.select(["tile", "i", "j", "side", "row", "root"])
+        return kept.append_column("partners", pa.array(partners, pa.list_(pa.int64()))).filter(pa.array(marked))
+
+    schema = "tile long, i int, j int, side int, row long, root long, partners array<long>"
+    return blocks.groupBy("tile", "i", "j").applyInArrow(mark, schema)
+
+
+def _within(docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of blocks of ``members``, by intersecting the sets
+    of all pairs that are not joined by then."""
+    wanted = staged(members.select("row").distinct().join(reps.select("row", F.col("doc_id").alias("id"), "text_hash"), "row"))
+    side = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    text = text_column(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    found = rows.join(side, (rows["hash"] == side["text_hash"]) & rows["doc_id"].eqNullSafe(side["id"]))
 
-def _folded(bits: list[list[int]], words: int) -> np.ndarray:
-    out = np.zeros((len(bits), words), np.uint64)
-    for k, row in enumerate(bits):
-        out[k] = np.bitwise_xor.reduce(np.array(row, np.int64).view(np.uint64).reshape(-1, words), axis=0)
-    return out
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in limited(batches):
+            value, bounds = sets(batch.column(1), words)
+            lists = [value[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], names=["row", "shingles"])
 
+    def compare(group: pa.Table) -> pa.Table:
+        values = [np.frombuffer(v.as_buffer(), np.uint64) for v in group["shingles"]]
+        n = np.array([len(v) for v in values], np.int64)
+        own = _Group(group, n, *_bitmaps(np.concatenate(values), np.concatenate([[0], np.cumsum(n)])), percent)
+        joined = own.label.copy()
+        left: list[int] = []
+        right: list[int] = []
+        for k, near in own.pairs():
+            for j in near.tolist():
+                if joined[j] == joined[k]:
+                    continue
+                shared = _shared(values[k], values[j])
+                if 100 * shared >= percent * (n[k] + n[j] - shared):
+                    left.append(int(min(own.row[k], own.row[j])))
+                    right.append(int(max(own.row[k], own.row[j])))
+                    _merge(joined, k, np.array([j]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-def _bounded(group: pa.Table, percent: int) -> tuple[list[int], list[int]]:
-    side = np.asarray(group["side"])
-    row, root, n = (np.asarray(group[c]) for c in ("row", "root", "n"))
-    bits = group["bits"].to_pylist()
-    words = min((len(b) for b in bits), default=1)
-    maps = _folded(bits, words)
-    zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    left: list[int] = []
-    right: list[int] = []
-    for k in zero.tolist():
-        differ = np.bitwise_count(maps[k] ^ maps[one]).sum(1, dtype=np.int64)
-        total = n[k] + n[one]
-        fits = ((100 + percent) * ((total - differ) // 2) >= percent * total) & (root[one] != root[k])
-        fits &= 100 * np.minimum(n[k], n[one]) >= percent * np.maximum(n[k], n[one])
-        for j in one[fits].tolist():
-            left.append(int(min(row[k], row[j])))
-            right.append(int(max(row[k], row[j])))
-    return left, right
+    loaded = found.select("row", "text").mapInArrow(tidy(load), "row long, shingles binary")
+    # Equal rows of ``docs`` give the same set.
+    once = loaded.groupBy("row").agg(F.first("shingles").alias("shingles"))
+    return members.join(once, "row").groupBy("tile", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -402,11 +482,19 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     root = F.coalesce("root", "row")
     placed = members.where("m > 2").join(first, F.col("row") == F.col("node"), "left").select("tile", "row", root.alias("root"))
     # A tile within one component has nothing left to compare.
-    split = placed.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = staged(placed.join(split.select("tile"), "tile", "left_semi"))
-    across = staged(_across(rest.join(reps.select("row", "n", "bits"), "row"), percent))
-    more = staged(verified(docs, reps, across, words, percent).distinct())
-    whole = staged(components(links.union(more)))
+    whole, rest = first, _split(placed, ["tile"]).join(reps.select("row", "n", "bits"), "row")
+    doubtful = staged(_doubtful(_blocks(rest), percent))
+    if not doubtful.isEmpty():
+        likely = doubtful.select(F.col("row").alias("x"), F.explode("partners").alias("y"))
+        likely = staged(likely.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        links = links.union(staged(verified(docs, reps, likely, words, percent).distinct()))
+        whole = staged(components(links))
+        block = ["tile", "i", "j"]
+        placed = doubtful.select(*block, "side", "row").join(whole, F.col("row") == F.col("node"), "left").select(*block, "side", "row", root.alias("root"))
+        apart = _split(placed, block).join(reps.select("row", "n", "bits"), "row")
+        apart = staged(_doubtful(apart, percent).drop("partners"))
+        if not apart.isEmpty():
+            whole = staged(components(links.union(staged(_within(docs, reps, apart, words, percent)))))
     named = groups.join(whole, F.col("rep") == F.col("node"), "left").select(
         "n", "h1", "h2", "rep", "least", F.coalesce("root", "rep").alias("root")
     )

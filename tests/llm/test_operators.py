@@ -213,6 +213,32 @@ def test_jaccard_components_of_edited_copies(spark, words, percent):
     assert sum(r.kept for r in got.values()) == len(set(parts))
 
 
+def test_pairs_of_a_tile_are_never_listed(spark, monkeypatch):
+    """Texts of one tile that link in some pairs only: rows of a step stay below its members,
+    however many pairs the bit counts leave."""
+    base = [f"w{i}" for i in range(56)]
+    rows = []
+    for i in range(240):  # 56 of 64 words are common; each eighth text has 59 of its neighbour's 60
+        rows.append((i, " ".join([f"x{i}", *(f"{k}x{i - (i % 8 == 7)}" for k in "abc"), *base])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    steps = []
+    for name in ("_blocks", "_doubtful", "_within"):
+        def count(*args, own=getattr(jaccard, name), name=name):
+            out = own(*args).localCheckpoint()
+            partners = out.agg(F.sum(F.size("partners"))).first()[0] if "partners" in out.columns else 0
+            steps.append((name, out.count(), partners or 0))
+            return out
+        monkeypatch.setattr(jaccard, name, count)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    got = jaccard.near_duplicates(docs, 1, 88)
+    parts = brute_components(rows, 1, 88)[1]
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: parts.index(part) for i, part in enumerate(parts)}
+    assert len(set(parts)) == 210
+    members = steps[0][1]
+    assert [s[0] for s in steps][:2] == ["_blocks", "_doubtful"] and members
+    assert all(rows <= members and partners < members for _, rows, partners in steps)
+
+
 def test_jaccard_of_odd_rows(odd, none):
     got = jaccard.near_duplicates(odd, 3, 90).collect()
     assert len(got) == odd.count()
