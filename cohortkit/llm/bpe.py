@@ -2,9 +2,9 @@
 
 Each task keeps one small in-memory DuckDB.  A batch of texts is cut into pieces, the
 different pieces into words by the tokenizer's pattern, and the words not seen lately go
-through one recursive query: rows (word, position, token) join the merge table, every word
-contracts its leftmost pair of least rank, words without a pair drop out, until none is
-left.  Decoding joins token rows with the vocabulary and aggregates bytes by position.
+through one recursive query: a word is a row with its tokens, its pairs join the merge table,
+every word contracts its leftmost pair of least rank, words without a pair drop out, until
+none is left.  Decoding joins token rows with the vocabulary and aggregates bytes by position.
 
 Nulls encode like empty texts, to no ids.  The same text gives the same ids in any row.
 Rows are only mapped: repeated rows, ties and extra columns stay as they are; empty tables
@@ -34,8 +34,8 @@ from cohortkit.llm.pieces import gather, pieces
 REMEMBERED = 32 << 20
 #: What a word takes beside its own bytes and ids: a string, a dictionary entry, an end.
 WORD_COST = 160
-#: The recursive query keeps the rows of all its steps, which for a word of n bytes are up
-#: to n * n / 2.  Words go together up to this many rows; longer words than LONG_WORD are
+#: The recursive query keeps the tokens of all its steps, which for a word of n bytes are up
+#: to n * n / 2.  Words go together up to this many tokens; longer words than LONG_WORD are
 #: contracted one by one with a heap, in the same order.
 STEPS = 1_500_000
 LONG_WORD = 512
@@ -45,32 +45,27 @@ DECODED = 100_000
 TEXT = 2 << 20
 
 CONTRACT = """
-WITH RECURSIVE state(step, word, place, id) AS (
-    SELECT 0, word, place, id FROM bytes_of_words
+WITH RECURSIVE state(step, word, ids) AS (
+    SELECT 0, word, ids FROM words
     UNION ALL (
         WITH pairs AS (
-            SELECT s.step, s.word, s.place, s.id, s.next_place, m.merged
-            FROM (SELECT *, lead(id) OVER w AS next_id, lead(place) OVER w AS next_place
-                  FROM state WINDOW w AS (PARTITION BY word ORDER BY place)) s
-            LEFT JOIN merges m ON m.l = s.id AND m.r = s.next_id
+            SELECT word, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS place
+            FROM state WHERE len(ids) > 1
         ), least AS (
-            SELECT word, min(merged::BIGINT * 4294967296 + place) AS code,
-                   arg_min(next_place, merged::BIGINT * 4294967296 + place) AS gone
-            FROM pairs WHERE merged IS NOT NULL GROUP BY word
+            SELECT p.word, min(m.merged::BIGINT * 4294967296 + p.place) AS code
+            FROM pairs p JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY p.word
         )
-        SELECT p.step + 1, p.word, p.place,
-               CASE WHEN p.place = l.code % 4294967296
-                    THEN (l.code // 4294967296)::INTEGER ELSE p.id END
-        FROM pairs p JOIN least l ON l.word = p.word WHERE p.place <> l.gone
+        SELECT s.step + 1, s.word,
+               s.ids[:code % 4294967296 - 1] || [(code // 4294967296)::INTEGER]
+                   || s.ids[code % 4294967296 + 2:]
+        FROM state s JOIN least l ON l.word = s.word
     )
 )
-SELECT word, id
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last ORDER BY word, place
+SELECT word, arg_max(ids, step) AS ids FROM state GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT t.row, unhex(string_agg(v.hex, '' ORDER BY t.place)) AS bytes
+SELECT t.row, unhex(list_aggregate(list(v.hex ORDER BY t.place), 'string_agg', '')) AS bytes
 FROM tokens t LEFT JOIN vocabulary v ON v.id = t.id
 GROUP BY t.row ORDER BY t.row
 """
@@ -130,7 +125,7 @@ def _tables(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table]:
 
 
 def _in_steps(words: list[bytes]) -> Iterator[list[bytes]]:
-    """The words in order, in groups whose contraction takes at most STEPS rows (or one word)."""
+    """The words in order, in groups whose contraction takes at most STEPS tokens (or one word)."""
     rows = np.cumsum([len(w) * (len(w) + 1) // 2 for w in words], dtype=np.int64)
     start, base = 0, 0
     while start < len(words):
@@ -156,20 +151,13 @@ class Encoder:
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words end to end and their number for each, by the recursive query."""
-        sizes = np.array([len(w) for w in words])
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rows = pa.table(
-            {
-                "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-                "place": place.astype(np.int32),
-                "id": self.of_byte[raw],
-            }
+        at = np.concatenate([[0], np.cumsum([*map(len, words)])])
+        lists = pa.ListArray.from_arrays(
+            pa.array(at, pa.int32()), pa.array(self.of_byte[np.frombuffer(b"".join(words), np.uint8)])
         )
-        self.base.register("bytes_of_words", rows)
-        done = self.base.execute(CONTRACT).fetchnumpy()
-        counts = np.bincount(np.asarray(done["word"]), minlength=len(words))
-        return np.asarray(done["id"], np.int32), counts
+        self.base.register("words", pa.table({"word": np.arange(len(words), dtype=np.int32), "ids": lists}))
+        done = self.base.sql(CONTRACT).to_arrow_table()["ids"].combine_chunks()
+        return np.asarray(done.flatten(), np.int32), np.asarray(done.value_lengths())
 
     def contract_long(self, word: bytes) -> np.ndarray:
         """Ids of one word: a heap of pairs by rank and place, over a linked list."""
@@ -199,38 +187,38 @@ class Encoder:
         return np.array([self.ranks[t] for t in token if t], np.int32)
 
     def learn(self, words: Iterable[str]) -> None:
-        names, parts, counts, plain = [], [self.ids], [], []
-        for word in words:
-            if word in self.known:
-                continue
-            raw = word.encode()
-            if raw in self.ranks:
-                own = np.array([self.ranks[raw]], np.int32)
+        fresh = [word for word in words if word not in self.known]
+        if not fresh:
+            return
+        raws = [word.encode() for word in fresh]
+        names, plain, parts, counts = [], [], [self.ids], []
+        for word, raw, whole in zip(fresh, raws, map(self.ranks.get, raws), strict=True):
+            if whole is not None:
+                own = np.array([whole], np.int32)
             elif len(raw) > LONG_WORD:
                 own = self.contract_long(raw)
             else:
-                plain.append(word)
+                plain.append((word, raw))
                 continue
             names.append(word)
             parts.append(own)
             counts.append([len(own)])
-        for together in _in_steps([w.encode() for w in plain]):
+        for together in _in_steps([raw for _, raw in plain]):
             ids, sizes = self.contract(together)
             parts.append(ids)
             counts.append(sizes)
-        if counts:
-            first = len(self.known)
-            self.known.update(zip([*names, *plain], range(first, first + len(names) + len(plain)), strict=True))
-            self.ids = np.concatenate(parts)
-            self.bytes += sum(WORD_COST + 5 * len(w) for w in chain(names, plain))
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
+        first = len(self.known)
+        self.known.update(zip(chain(names, (word for word, _ in plain)), range(first, first + len(fresh)), strict=True))
+        self.ids = np.concatenate(parts)
+        self.bytes += WORD_COST * len(fresh) + 5 * sum(map(len, fresh))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text starts."""
         different, numbers, first = pieces(texts)
         if self.bytes > REMEMBERED:
             self.forget()
-        words = [self.split(piece) for piece in different.to_pylist()]
+        words = [*map(self.split, different.to_numpy(zero_copy_only=False).tolist())]
         per_piece = np.fromiter(map(len, words), np.int64, len(words))
         all_words = list(chain.from_iterable(words))
         self.learn(dict.fromkeys(all_words))

@@ -270,6 +270,20 @@ def test_bpe_equals_the_library_and_decodes(spark):
         assert got[k].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_a_step_of_the_contraction_has_a_row_a_word():
+    with bpe.Task(RANKS) as task:
+        encoder = bpe.Encoder(task, public_tokenizers.PATTERN)
+        words = ["unquestionableness", " Zyxwvutsrq", "éèê" * 9, "aaaaaaaaaaaaaaaaaaaa"]
+        raws = [w.encode() for w in words]
+        ids, counts = encoder.contract(raws)
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=task.ranks, special_tokens={})
+        library = [own.encode_ordinary(w) for w in words]
+        assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library[0] and ids.tolist() == sum(library, [])
+        whole = bpe.CONTRACT[: bpe.CONTRACT.rindex("SELECT word")]
+        rows = task.base.sql(whole + "SELECT count(*) FROM state").fetchall()[0][0]
+        assert rows == sum(len(raw) - len(coded) + 1 for raw, coded in zip(raws, library, strict=True))
+
+
 def test_elias_fano():
     draw = np.random.default_rng(1)
     for values in ([], [0], [5], [0, 0, 0], [7, 7, 2**40], np.sort(draw.integers(0, 10**6, 3000)), np.arange(2000) * 3):
