@@ -19,6 +19,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,19 +134,24 @@ class Tokens:
         different, numbers, first = pieces(texts)
         if len(self.known) > REMEMBERED:
             self.forget()
-        words = different.to_pylist()
-        fresh = [w for w in words if w not in self.known]
+        words = different.to_numpy(zero_copy_only=False).tolist()
+        row = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(row < 0)
+        fresh = [words[k] for k in new.tolist()]
         parts, counts = [self.ids], []
         for i in range(0, len(fresh), TOGETHER):
             coded = self.tokenizer.encode_batch_fast(fresh[i : i + TOGETHER], add_special_tokens=False)
-            lists = [c.ids for c in coded]
-            counts += map(len, lists)
-            parts.append(np.array([x for ids in lists for x in ids], np.uint32))
+            flat: list[int] = []
+            for c in coded:
+                before = len(flat)
+                flat += c.ids  # the property makes a list each time
+                counts.append(len(flat) - before)
+            parts.append(np.fromiter(flat, np.uint32, len(flat)))
         if fresh:
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            row[new] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known.update(zip(fresh, row[new].tolist(), strict=True))
             self.ids = np.concatenate(parts)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return gather(self.ids, self.ends, row[numbers] if len(numbers) else numbers, first)
 
 

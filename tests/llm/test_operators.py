@@ -284,6 +284,34 @@ def test_a_step_of_the_contraction_has_a_row_a_word():
         assert rows == sum(len(raw) - len(coded) + 1 for raw, coded in zip(raws, library, strict=True))
 
 
+def test_a_piece_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = tokens.Tokens(path), Tokenizer.from_file(path)
+    own.known = Counted()
+    texts = ["one two three, one two", "", "two four <s> three"]
+    for k in (1, 2):
+        ids, bounds = own.encode(pa.array(texts))
+        lists = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        library.encode_special_tokens = True
+        assert lists == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert own.known.asked == k * len(own.known)
+
+
 def test_elias_fano():
     draw = np.random.default_rng(1)
     for values in ([], [0], [5], [0, 0, 0], [7, 7, 2**40], np.sort(draw.integers(0, 10**6, 3000)), np.arange(2000) * 3):
