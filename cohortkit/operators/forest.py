@@ -127,30 +127,32 @@ def fit_forest(
     frame = model_frame(df, outcome, features, required, keep)
     numbers = {c: F.col(c).cast("double") for c in dict.fromkeys([outcome, *features])}
     frame = frame.withColumns(numbers)
-    if split_key:
-        chosen = in_training(split_key, seed, share)
-        train, test = frame.filter(chosen), frame.filter(~chosen)
-    else:
-        train, test = random_split(frame, share, seed)
-    sizes = _sizes(train, test, features, impute)
-    for name, (_, used) in zip(("training", "test"), sizes):
-        if not used:
-            raise NoRowsError(f"no {name} rows left: every row misses one of {list(features)}")
-    with held(_dealt(train, parts_for(sizes[0][0]))) as train, held(test) as test:
-        forest = RandomForestClassifier(
-            featuresCol=SCALED, labelCol=outcome, numTrees=trees, maxDepth=depth, seed=seed,
-            bootstrap=bootstrap,
-        )
-        stages = [*vector_stages(features, impute, standardise), forest]
-        # A copy leaves the training summary behind, which holds the session: that cannot go to
-        # executors once the session has observed a count.
-        model = Pipeline(stages=stages).fit(train).copy()
-        scored = model.transform(test).select(
-            outcome, "prediction", vector_to_array("probability")[1].alias("score")
-        )
-        with held(scored) as scored:
-            area = auc(scored, outcome, "score")
-            right = scored.agg(accuracy(outcome, "prediction")).head()[0]
+    # The rows come from the input once; what follows reads the held ones.
+    with held(frame) as frame:
+        if split_key:
+            chosen = in_training(split_key, seed, share)
+            train, test = frame.filter(chosen), frame.filter(~chosen)
+        else:
+            train, test = random_split(frame, share, seed)
+        sizes = _sizes(train, test, features, impute)
+        for name, (_, used) in zip(("training", "test"), sizes):
+            if not used:
+                raise NoRowsError(f"no {name} rows left: every row misses one of {list(features)}")
+        with held(_dealt(train, parts_for(sizes[0][0]))) as train, held(test) as test:
+            forest = RandomForestClassifier(
+                featuresCol=SCALED, labelCol=outcome, numTrees=trees, maxDepth=depth, seed=seed,
+                bootstrap=bootstrap,
+            )
+            stages = [*vector_stages(features, impute, standardise), forest]
+            # A copy leaves the training summary behind, which holds the session: that cannot go to
+            # executors once the session has observed a count.
+            model = Pipeline(stages=stages).fit(train).copy()
+            scored = model.transform(test).select(
+                outcome, "prediction", vector_to_array("probability")[1].alias("score")
+            )
+            with held(scored) as scored:
+                area = auc(scored, outcome, "score")
+                right = scored.agg(accuracy(outcome, "prediction")).head()[0]
     return ForestFit(
         model=model,
         features=tuple(features),

@@ -347,6 +347,20 @@ def test_forest_does_not_follow_the_layout(respondents):
     assert fits[0].auc == fits[1].auc
 
 
+def test_a_forest_reads_its_input_once(spark):
+    """Sizes, training and test rows were each worked out from the input anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def touched(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(600).select(F.col("id").alias("k"), (F.col("id") % 2).alias("y"), touched("id").alias("x"))
+    fit = R.fit_forest(rows, "y", ["x"], ["y"], 7, trees=2, depth=2, split_key="k")
+    assert fit.train_n + fit.test_n == 600 and seen.value == 600
+
+
 def test_parts_grow_with_the_rows():
     sizes = [10**k for k in range(13)]
     parts = [R.parts_for(n) for n in sizes]
