@@ -37,7 +37,7 @@ WORD_COST = 160
 #: The recursive query keeps the tokens of all its steps, which for a word of n bytes are up
 #: to n * n / 2.  Words go together up to this many tokens; longer words than LONG_WORD are
 #: contracted one by one with a heap, in the same order.
-STEPS = 1_500_000
+STEPS = 300_000
 LONG_WORD = 512
 #: Ids decoded by one aggregation (a longer document is one on its own).
 DECODED = 100_000

@@ -40,7 +40,7 @@ from cohortkit.llm.common import (
 
 #: Members of a tile compared at once, on either side, and the shingles they may have.
 BLOCK = 1024
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 18
 #: Broadcast the documents to fetch up to this many; beyond it the join shuffles.
 FEW = 1_000_000
 
