@@ -1,8 +1,8 @@
 """Byte-level BPE in DuckDB: recursive queries merge, an ordered aggregation decodes.
 
 Each task keeps one small in-memory DuckDB.  A batch of texts is cut into pieces, the
-different pieces into words by the tokenizer's pattern, and the words not seen lately go
-through one recursive query: a word is a row with its tokens, its pairs join the merge table,
+different pieces into words by the tokenizer's pattern, and the words not seen lately go,
+those of like lengths together, through a recursive query: a word is a row with its tokens, its pairs join the merge table,
 every word contracts its leftmost pair of least rank, words without a pair drop out, until
 none is left.  Decoding joins token rows with the vocabulary and aggregates bytes by position.
 
@@ -16,30 +16,31 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortkit.llm.common import free_names, limited, release, without
-from cohortkit.llm.pieces import gather, pieces
+from cohortkit.llm.pieces import gather, one_word, pieces
 
 #: Bytes of words and ids kept between the batches of a task; beyond it the memory starts anew.
 REMEMBERED = 32 << 20
-#: What a word takes beside its own bytes and ids: a string, a dictionary entry, an end.
-WORD_COST = 160
+#: What a word takes beside its bytes (twice) and ids: two ends, a place in a lookup's table.
+WORD_COST = 48
 #: The recursive query keeps the tokens of all its steps, which for a word of n bytes are up
 #: to n * n / 2.  Words go together up to this many tokens; longer words than LONG_WORD are
 #: contracted one by one with a heap, in the same order.
 STEPS = 300_000
 LONG_WORD = 512
-#: Ids decoded by one aggregation (a longer document is one on its own).
+#: Ids decoded by one aggregation (a longer run of ids is one on its own).
 DECODED = 100_000
 #: Bytes of text encoded at once.
 TEXT = 2 << 20
@@ -65,9 +66,8 @@ SELECT word, arg_max(ids, step) AS ids FROM state GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT t.row, unhex(list_aggregate(list(v.hex ORDER BY t.place), 'string_agg', '')) AS bytes
+SELECT unhex(list_aggregate(list(v.hex ORDER BY t.place), 'string_agg', '')) AS bytes
 FROM tokens t LEFT JOIN vocabulary v ON v.id = t.id
-GROUP BY t.row ORDER BY t.row
 """
 
 
@@ -144,7 +144,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # number of a word, whose ids lie between two ends
+        self.words = pa.array([], pa.large_string())  # a word's ids lie between two ends
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
         self.bytes = 0
@@ -186,45 +186,58 @@ class Encoder:
             offer(i)
         return np.array([self.ranks[t] for t in token if t], np.int32)
 
-    def learn(self, words: Iterable[str]) -> None:
-        fresh = [word for word in words if word not in self.known]
-        if not fresh:
-            return
-        raws = [word.encode() for word in fresh]
-        names, plain, parts, counts = [], [], [self.ids], []
-        for word, raw, whole in zip(fresh, raws, map(self.ranks.get, raws), strict=True):
-            if whole is not None:
-                own = np.array([whole], np.int32)
-            elif len(raw) > LONG_WORD:
-                own = self.contract_long(raw)
-            else:
-                plain.append((word, raw))
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the different ``words``; those not known yet are contracted first."""
+        numbers = pc.index_in(words, value_set=self.words)
+        at = np.flatnonzero(np.asarray(numbers.is_null()))
+        numbers = np.asarray(numbers.fill_null(0)).astype(np.int64)
+        if not len(at):
+            return numbers
+        fresh = words.take(pa.array(at))
+        raws = fresh.cast(pa.large_binary()).to_pylist()
+        single, plain = [], []
+        parts, counts = [self.ids], []
+        for k, whole in enumerate(map(self.ranks.get, raws)):
+            if whole is None and len(raws[k]) <= LONG_WORD:
+                plain.append(k)
                 continue
-            names.append(word)
+            own = self.contract_long(raws[k]) if whole is None else np.array([whole], np.int32)
+            single.append(k)
             parts.append(own)
             counts.append([len(own)])
-        for together in _in_steps([raw for _, raw in plain]):
+        # A query has as many steps as its longest word.
+        plain.sort(key=lambda k: len(raws[k]))
+        for together in _in_steps([raws[k] for k in plain]):
             ids, sizes = self.contract(together)
             parts.append(ids)
             counts.append(sizes)
-        first = len(self.known)
-        self.known.update(zip(chain(names, (word for word, _ in plain)), range(first, first + len(fresh)), strict=True))
+        order = np.array(single + plain)
+        numbers[at[order]] = len(self.words) + np.arange(len(order))
+        self.words = pa.concat_arrays([self.words, fresh.take(pa.array(order))])
         self.ids = np.concatenate(parts)
-        self.bytes += WORD_COST * len(fresh) + 5 * sum(map(len, fresh))
         self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
+        self.bytes += WORD_COST * len(raws) + 2 * sum(map(len, raws)) + 4 * sum(map(len, parts[1:]))
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text starts."""
         different, numbers, first = pieces(texts)
         if self.bytes > REMEMBERED:
             self.forget()
-        words = [*map(self.split, different.to_numpy(zero_copy_only=False).tolist())]
-        per_piece = np.fromiter(map(len, words), np.int64, len(words))
-        all_words = list(chain.from_iterable(words))
-        self.learn(dict.fromkeys(all_words))
-        rows = np.fromiter(map(self.known.__getitem__, all_words), np.int64, len(all_words))
-        ids, bounds = gather(self.ids, self.ends, rows, np.concatenate([[0], np.cumsum(per_piece)]))
-        return gather(ids, bounds, numbers, first)
+        whole = one_word(different)
+        rest = [*map(self.split, different.filter(pa.array(~whole)).to_pylist())]
+        per_piece = np.ones(len(whole), np.int64)
+        per_piece[~whole] = np.fromiter(map(len, rest), np.int64, len(rest))
+        bounds = np.concatenate([[0], np.cumsum(per_piece)])
+        # The words of pieces that are one, then those of the others; and where each stands.
+        split = pa.array([*chain.from_iterable(rest)], pa.large_string())
+        coded = pa.concat_arrays([different.filter(pa.array(whole)), split]).dictionary_encode()
+        ones = np.repeat(whole, per_piece)
+        place = np.empty(len(ones), np.int64)
+        place[ones], place[~ones] = np.arange(ones.sum()), ones.sum() + np.arange(len(split))
+        rows = self.learn(coded.dictionary)[np.asarray(coded.indices)[place]]
+        ids, ends = gather(self.ids, self.ends, rows, bounds)
+        return gather(ids, ends, numbers, first)
 
 
 def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array, of: str) -> pa.RecordBatch:
@@ -259,34 +272,52 @@ class Decoder:
     def __init__(self, task: Task) -> None:
         self.last = max(task.ranks.values(), default=-1)
         self.base = task.base
+        self.opens = np.zeros(self.last + 1, bool)  # tokens that start with a blank
+        self.sizes = np.zeros(self.last + 1, np.int64)
+        for token, rank in task.ranks.items():
+            self.opens[rank], self.sizes[rank] = token[:1] == b" ", len(token)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-        """Bytes of each list of ids, the lists end to end between ``bounds``."""
+        """Bytes of each list of ids, the lists end to end between ``bounds``.
+
+        Runs of ids from one blank to the next are decoded once, however often they come.
+        """
+        if len(ids) and (ids.min() < 0 or ids.max() > self.last):
+            raise ValueError("ids outside the vocabulary")
+        ids = np.ascontiguousarray(ids, np.int32)
+        cut = np.ones(len(ids) + 1, bool)
+        cut[:-1] = self.opens[ids]
+        cut[bounds] = True
+        places = np.flatnonzero(cut)
+        runs = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places * 4), pa.py_buffer(ids)]
+        ).dictionary_encode()
+        parts = self._runs(np.frombuffer(b"".join(runs.dictionary.to_pylist()), np.int32), np.asarray(pc.binary_length(runs.dictionary)) // 4)
+        numbers = np.asarray(runs.indices)
+        first = np.searchsorted(places, bounds)
+        return [
+            b"".join(map(parts.__getitem__, numbers[i:j].tolist()))
+            for i, j in zip(first[:-1], first[1:], strict=True)
+        ]
+
+    def _runs(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of each run: an aggregation over many runs end to end, cut by the tokens' sizes."""
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[bounds]
         out: list[bytes] = []
         start = 0
-        while start < len(bounds) - 1:
+        while start < len(counts):
             stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + DECODED, "right")) - 1)
-            out += self._decode(ids[bounds[start] : bounds[stop]], np.diff(bounds[start : stop + 1]))
+            whole = self._decode(ids[bounds[start] : bounds[stop]])
+            at = (ends[start : stop + 1] - ends[start]).tolist()
+            out += [whole[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
             start = stop
         return out
 
-    def _decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        if len(ids) and (ids.min() < 0 or ids.max() > self.last):
-            raise ValueError("ids outside the vocabulary")
-        ends = np.cumsum(counts)
-        tokens = pa.table(
-            {
-                "row": np.repeat(np.arange(len(counts), dtype=np.int32), counts),
-                "place": (np.arange(len(ids)) - np.repeat(ends - counts, counts)).astype(np.int32),
-                "id": ids.astype(np.int32),
-            }
-        )
+    def _decode(self, ids: np.ndarray) -> bytes:
+        tokens = pa.table({"place": np.arange(len(ids), dtype=np.int32), "id": ids})
         self.base.register("tokens", tokens)
-        done = self.base.sql(DECODE).to_arrow_table()
-        out = [b""] * len(counts)
-        for row, value in zip(done["row"].to_pylist(), done["bytes"].to_pylist(), strict=True):
-            out[row] = value
-        return out
+        return self.base.sql(DECODE).fetchall()[0][0]
 
 
 def decode(

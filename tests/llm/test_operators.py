@@ -15,12 +15,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortkit.llm import (
-    bpe, decontaminate, hilbert, jaccard, neighbours, pii, quality, secrets, tokens, toxicity,
+    bpe, decontaminate, hilbert, jaccard, neighbours, pieces, pii, quality, secrets, tokens, toxicity,
 )
 from cohortkit.llm.queries import QUERIES
 
@@ -284,6 +285,51 @@ def test_a_step_of_the_contraction_has_a_row_a_word():
         assert rows == sum(len(raw) - len(coded) + 1 for raw, coded in zip(raws, library, strict=True))
 
 
+def test_words_and_runs_that_repeat_are_worked_out_once(monkeypatch):
+    """Words take few bytes of what a task remembers, and are grouped by length; a run of ids
+    from blank to blank is decoded once."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    with bpe.Task(RANKS) as task:
+        encoder, groups = bpe.Encoder(task, public_tokenizers.PATTERN), []
+        contract = encoder.contract
+        encoder.contract = lambda words: groups.append(words) or contract(words)
+        texts = ["".join(f" {c}q{'xvk'[i % 3]}z{'jw' * (i % 4)}{d}" for i, c in enumerate("abcdefghijklmno") for d in "bdfghkpqtw")]
+        once = encoder.encode(pa.array(texts))
+        assert sum(map(len, groups)) > 100
+        assert all([len(w) for w in group] == sorted(len(w) for w in group) for group in groups)
+        del groups[:]
+        for _ in range(3):
+            assert all((a == b).all() for a, b in zip(once, encoder.encode(pa.array(texts)), strict=True))
+        assert not groups
+
+        rows = []
+
+        class Base:
+            sql = staticmethod(task.base.sql)
+
+            def register(self, name, table):
+                rows.append(table.num_rows)
+                task.base.register(name, table)
+
+        texts = [" zqxv jkwq" * 500, "", "zqxv jkwq" * 3]
+        ids, bounds = encoder.encode(pa.array(texts))
+        decoder = bpe.Decoder(task)
+        decoder.base = Base()
+        assert decoder.decode(ids, bounds) == [t.encode() for t in texts]
+        assert sum(rows) < 40 < len(ids)
+        with pytest.raises(ValueError, match="vocabulary"):
+            decoder.decode(np.array([60_000], np.int32), np.array([0, 1]))
+
+
+def test_pieces_that_are_one_word_are_one_match():
+    alike = [" ", "a", " a", "  a", "a ", " ab\n", "été", " Žluť", "×", "a÷b", "don't", "'s", " x1", "\x1ca", "\u1c80", "ŉ", "ſ", "ƀ", "À", "_a"]
+    mask = pieces.one_word(pa.array(alike, pa.large_string()))
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    for text, one in zip(alike, mask, strict=True):
+        assert not one or split(text) == [text]
+    assert mask.sum() == 7
+
+
 def test_a_piece_is_looked_up_once():
     class Counted(dict):
         asked = 0
