@@ -45,8 +45,12 @@ RADIUS = 20
 BLOCKS = 7
 SURE = 24
 SLICE = 2_000_000
+#: Bytes of text cut into shingles at once, and of windows whose items a slice remembers.
+TEXT = 1 << 20
+REMEMBERED = 4 << 20
 
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
+_BITS = int(np.diff(_EDGES).max())
 MATCHES = "array<struct<item_id:long,start_word:int,n_words:int,similarity:double>>"
 
 
@@ -70,6 +74,11 @@ def _block(value: int, k: int) -> int:
     return (value >> low) & ((1 << (high - low)) - 1)
 
 
+def _code(size, block, value):
+    """Key of a block's value in the fingerprint of an item of ``size`` words."""
+    return (size * BLOCKS + block) << _BITS | value
+
+
 def _near(value: int, width: int) -> list[int]:
     """All block values within RADIUS // BLOCKS bits."""
     return [
@@ -90,12 +99,15 @@ class Slice:
 
     def close(self) -> Slice:
         self.prints = [simhash(s) for s in self.shingles]
-        self.index: dict[tuple[int, int, int], list[int]] = {}
-        for i, value in enumerate(self.prints):
-            for block in range(BLOCKS):
-                width = int(_EDGES[block + 1] - _EDGES[block])
-                for near in _near(_block(value, block), width):
-                    self.index.setdefault((self.sizes[i], block, near), []).append(i)
+        values, codes = np.array(self.prints, np.uint64), []
+        for block in range(BLOCKS):
+            width = int(_EDGES[block + 1] - _EDGES[block])
+            own = (values >> np.uint64(_EDGES[block])).astype(np.int64) & ((1 << width) - 1)
+            near = own[:, None] ^ np.array(_near(0, width))
+            codes.append((_code(np.array(self.sizes)[:, None], block, near)).ravel())
+        items = [np.repeat(np.arange(len(values), dtype=np.int32), len(c) // len(values)) for c in codes]
+        order = np.argsort(flat_codes := np.concatenate(codes), kind="stable")
+        self.codes, self.items = flat_codes[order], np.concatenate(items)[order]
         owner = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.shingles])
         flat = np.concatenate(self.shingles)
         order = np.argsort(flat, kind="stable")
@@ -103,6 +115,7 @@ class Slice:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.flat >> np.uint64(42)).astype(np.int64)] = True
         self.memo: dict[bytes, list[tuple[int, float]]] = {}
+        self.held = 0
         return self
 
     def alike(self, size: int, window: np.ndarray) -> list[tuple[int, float]]:
@@ -110,15 +123,15 @@ class Slice:
         window = np.sort(window)
         key = size.to_bytes(4, "big") + window.tobytes()
         if key not in self.memo:
-            if len(self.memo) > 20_000:
+            if self.held > REMEMBERED:
                 self.memo.clear()
+                self.held = 0
+            self.held += len(key) + 200
             value = simhash(window)
-            near = {
-                i
-                for block in range(BLOCKS)
-                for i in self.index.get((size, block, _block(value, block)), ())
-                if (value ^ self.prints[i]).bit_count() <= RADIUS
-            }
+            asked = [_code(size, block, _block(value, block)) for block in range(BLOCKS)]
+            left, right = (np.searchsorted(self.codes, asked, side) for side in ("left", "right"))
+            held = {i for a, b in zip(left, right, strict=True) for i in self.items[a:b].tolist()}
+            near = {i for i in held if (value ^ self.prints[i]).bit_count() <= RADIUS}
             if min(len(window), size - self.k + 1) < SURE:
                 left, right = (np.searchsorted(self.flat, window, side) for side in ("left", "right"))
                 sharing = {i for a, b in zip(left, right, strict=True) for i in self.owner[a:b].tolist()}
@@ -205,7 +218,7 @@ def _finder(sent: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array
     def work(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             whole = pa.RecordBatch.from_arrays([texts], ["text"])
-            rows = [m for batch in limited([whole]) for m in _matches(batch.column(0), sent.value)]
+            rows = [m for batch in limited([whole], most=TEXT) for m in _matches(batch.column(0), sent.value)]
             yield pa.array(rows, _MATCH)
         release()
 

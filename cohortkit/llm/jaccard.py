@@ -41,6 +41,8 @@ from cohortkit.llm.common import (
 #: Members of a tile compared at once, on either side, and the shingles they may have.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 18
+#: Bytes of text cut into shingles at once: they take some fifty times as many.
+TEXT = 1 << 20
 #: Broadcast the documents to fetch up to this many; beyond it the join shuffles.
 FEW = 1_000_000
 
@@ -143,7 +145,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row: size and digests of the set, bitmap, and tile keys; staged under a row number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in limited(batches):
+        for batch in limited(batches, most=TEXT):
             value, bounds = sets(batch.column(2), words)
             sums = []
             for seed in (0x11, 0x22):
@@ -212,7 +214,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, per
     found = rows.join(side, (rows["hash"] == side["text_hash"]) & rows["doc_id"].eqNullSafe(side["id"]))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in limited(batches):
+        for batch in limited(batches, most=TEXT):
             value, bounds = sets(batch.column(4), words)
             lists = [value[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -427,7 +429,7 @@ def _within(docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, pe
     found = rows.join(side, (rows["hash"] == side["text_hash"]) & rows["doc_id"].eqNullSafe(side["id"]))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in limited(batches):
+        for batch in limited(batches, most=TEXT):
             value, bounds = sets(batch.column(1), words)
             lists = [value[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], names=["row", "shingles"])

@@ -8,6 +8,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortkit.llm import (
-    bpe, decontaminate, hilbert, jaccard, neighbours, pieces, pii, quality, secrets, tokens, toxicity,
+    bpe, common, decontaminate, hilbert, jaccard, neighbours, pieces, pii, quality, secrets, tokens, toxicity,
 )
 from cohortkit.llm.queries import QUERIES
 
@@ -694,6 +695,56 @@ def test_directions_take_time_in_proportion_to_their_length(spark):
     assert ways[60:66] == [None] * 6 and ways[66] == ways[67] is not None
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashes_of_words_take_little_beside_the_text():
+    raw = np.frombuffer(b"some words, " * 200_000, np.uint8)
+    starts, ends, _ = common.word_spans(raw, np.array([0, len(raw)]))
+    got, peak = peak_mb(lambda: common.span_hashes(raw, starts, ends))
+    assert peak < 24 * len(raw) / 1e6
+    assert (got[:2] == got[-2:]).all() and len(set(got.tolist())) == 2
+    for n in (1, 2047, 2048, 2049, 5000):
+        again = common.span_hashes(raw[:n], np.array([n // 2]), np.array([n]))
+        assert again == common.span_hashes(raw[n // 2 : n].copy(), np.array([0]), np.array([n - n // 2]))
+
+
+def test_a_slice_of_the_benchmark_takes_little(monkeypatch):
+    """The block index is an array, and windows are remembered up to so many bytes."""
+    draw = np.random.default_rng(3)
+    items = [np.sort(draw.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(400)]
+    part, peak = peak_mb(decontaminate.Slice(5, list(range(400)), [44] * 400, items).close)
+    assert peak < 20
+    monkeypatch.setattr(decontaminate, "REMEMBERED", 50_000)
+    for i, item in enumerate(items):
+        assert part.alike(44, item) == [(i, 1.0)]
+        assert sum(map(len, part.memo)) < 50_000 + 400
+
+
+def test_stages_bound_the_batches_of_texts(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 2_000).alias("text"))
+    held = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.encoded(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(held, "n long").collect()) < 12 << 20
+        spark.conf.set(key, "5m")
+        corpus_pipeline.encoded(spark, docs, "")
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_windows_of_few_shingles_are_all_found():
     """A window of 4 shingles in an item of 5 has a similarity of exactly 0.8."""
     rng = np.random.default_rng(2)
