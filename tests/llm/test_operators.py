@@ -670,6 +670,33 @@ def test_widths_follow_the_measured_recall(spark, monkeypatch):
     assert len(want & set(zip(found.query_id, found.vec_id, strict=True))) / len(want) >= 0.95
 
 
+def wide_stages(spark, work, partitions=13):
+    """Stages of as many tasks as shuffles have partitions."""
+    name = f"wide-{time.monotonic()}"
+    set_ = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(name, name)
+        work()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(job).stageIds}
+    known = [tracker.getStageInfo(s) for s in stages]
+    return sum(1 for s in known if s is not None and s.numCompletedTasks >= partitions)
+
+
+def test_neighbours_take_few_wide_stages(spark):
+    """On 211 partitions the stages, not the rows, took the time: five wide ones a round, three a hop."""
+    x = np.random.default_rng(13).normal(size=(1_500, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert wide_stages(spark, lambda: neighbours.nearest(rows, F.col("vec_id") % 50 == 0, 5).count()) <= 31
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (100, [0.0, 0.0]), (3, [nan, 1.0]), (4, []), (5, [1.0]), (6, [-1.0, 0.0]), (6, [-1.0, 0.0]), (None, [1.0, 1.0])]
