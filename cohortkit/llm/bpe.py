@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.llm.common import free_names, limited, release, without
+from cohortkit.llm.common import free_names, limited, release, trim, without
 from cohortkit.llm.pieces import gather, one_word, pieces
 
 #: Bytes of words and ids kept between the batches of a task; beyond it the memory starts anew.
@@ -188,9 +188,13 @@ class Encoder:
 
     def learn(self, words: pa.Array) -> np.ndarray:
         """Numbers of the different ``words``; those not known yet are contracted first."""
-        numbers = pc.index_in(words, value_set=self.words)
-        at = np.flatnonzero(np.asarray(numbers.is_null()))
-        numbers = np.asarray(numbers.fill_null(0)).astype(np.int64)
+        # The lookup's table is of the batch's words, far fewer than those remembered.
+        met = pc.index_in(self.words, value_set=words)
+        held = np.flatnonzero(np.asarray(met.is_valid()))
+        numbers = np.full(len(words), -1, np.int64)
+        numbers[np.asarray(met.drop_null())] = held
+        del met, held
+        at = np.flatnonzero(numbers < 0)
         if not len(at):
             return numbers
         fresh = words.take(pa.array(at))
@@ -235,7 +239,9 @@ class Encoder:
         ones = np.repeat(whole, per_piece)
         place = np.empty(len(ones), np.int64)
         place[ones], place[~ones] = np.arange(ones.sum()), ones.sum() + np.arange(len(split))
+        del different, rest, split
         rows = self.learn(coded.dictionary)[np.asarray(coded.indices)[place]]
+        del coded, ones, place
         ids, ends = gather(self.ids, self.ends, rows, bounds)
         return gather(ids, ends, numbers, first)
 
@@ -355,6 +361,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool =
             encoder, decoder = Encoder(task, pattern), Decoder(task)
             for batch in limited(batches, text_, TEXT):
                 ids, bounds = encoder.encode(batch.column(batch.schema.get_field_index(text_)))
+                trim()
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 back = pa.array(decoder.decode(ids, bounds), pa.binary())
                 yield _with_column(_with_column(batch, ids_, lists, text_), bytes_, back, "")

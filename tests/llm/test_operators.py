@@ -772,6 +772,52 @@ def test_stages_bound_the_batches_of_texts(spark):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def held_mb():
+    """Memory of this process that is not files."""
+    with open("/proc/self/smaps_rollup") as lines:
+        return sum(int(x) for x in re.findall(r"\nAnonymous:\s+(\d+)", lines.read())) / 1024
+
+
+def test_batches_give_back_what_they_freed():
+    """Small blocks freed below one that stays are not kept by the process until its task ends."""
+    batch = pa.RecordBatch.from_pydict({"text": ["some words"] * 6})
+    common.release()
+    before, pinned, seen = held_mb(), [], []
+    for _ in common.limited([batch], most=10):
+        seen.append(held_mb() - before)
+        pinned.append([bytes(1_000) for _ in range(40_000)][-1])
+    assert len(seen) == 6 and max(seen) < 25
+
+
+def test_stages_send_small_batches(spark):
+    """Texts of a batch stand outside the heap of the JVM, which does not give that memory back."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 2_000).alias("text"))
+    held = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.encoded(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(held, "n long").collect()) < 3 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_remembered_words_are_looked_up_with_a_table_of_the_batch(monkeypatch):
+    """Not with one of all words that a task remembers, built again for each batch."""
+    sizes, index_in = [], bpe.pc.index_in
+    monkeypatch.setattr(bpe.pc, "index_in", lambda values, value_set: sizes.append(len(value_set)) or index_in(values, value_set=value_set))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    with bpe.Task(RANKS) as task:
+        encoder = bpe.Encoder(task, public_tokenizers.PATTERN)
+        for text in (" ".join(f"zq{'abcdefgh'[i % 8]}x{'klmnop'[j % 6]}w{'rstuv'[k]}" for i in range(8) for j in range(6) for k in range(5)), " zqaxkwr new", "", " new zqaxkwr zqbxkwr"):
+            ids, bounds = encoder.encode(pa.array([text]))
+            assert ids.tolist() == own.encode_ordinary(text) and bounds.tolist() == [0, len(ids)]
+    assert max(sizes[1:]) <= 3 < len(encoder.words)
+
+
 def test_windows_of_few_shingles_are_all_found():
     """A window of 4 shingles in an item of 5 has a similarity of exactly 0.8."""
     rng = np.random.default_rng(2)
