@@ -525,6 +525,43 @@ def test_accounts_and_national_phones_are_redacted(spark):
     assert pii.accounts("pay to DE88 3704 0044 0532 0130 00") == []
 
 
+def phones_and_numbers(n, every):
+    """Texts of which one in ``every`` holds a phone and numbers that are none."""
+    draw = random.Random(7)
+    return [
+        (k, "plain words" if k % every else f"plain words call +1 ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)} and year {draw.randrange(1900, 2100)} id {draw.randrange(10**7, 10**8)}")
+        for k in range(n)
+    ]
+
+
+def test_every_document_teaches_the_selector(spark):
+    """Of 4,000 sampled documents about four would hold a phone, too few for a threshold."""
+    df = spark.createDataFrame(phones_and_numbers(120_000, 1_000), "doc_id long, text string")
+    selector = pii.fit_selector(df)
+    text = "plain words call (415) 555-2671 and year 1999 id 12345678"
+    assert pii.redacted_text(text, selector.spans(text)[1]) == "plain words call [NUMBER] and year 1999 id 12345678"
+    cells, _ = pii._cells(df)
+    assert cells.agg(F.sum("n")).first()[0] == sum(len(pii._examples(r.text)) for r in df.collect())
+
+
+def test_copies_of_a_document_teach_once(spark):
+    rows = phones_and_numbers(300, 1)
+    once, often = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows + rows[:150] * 3))
+    a, b = (sorted(map(tuple, pii._cells(df)[0].collect())) for df in (once, often))
+    assert a == b
+
+
+def test_the_selector_is_the_same_on_executors(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TREES", 3)
+    df = spark.createDataFrame(phones_and_numbers(600, 1), "doc_id long, text string").repartition(3)
+    here = pii.fit_selector(df)
+    monkeypatch.setattr(pii, "HELD", 0)
+    there = pii.fit_selector(df)
+    assert here.least and (here.slope, here.shift, here.least) == (there.slope, there.shift, there.least)
+    for name in ("feature", "cut", "leaf"):
+        assert (getattr(here.trees, name) == getattr(there.trees, name)).all()
+
+
 def test_personal_data_of_odd_rows(odd, none):
     selector = pii.fit_selector(none)
     got = odd.select("doc_id", pii.report(F.col("text"), selector).alias("r"), pii.redact(F.col("text"), selector).alias("t"))
